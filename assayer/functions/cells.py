@@ -126,10 +126,15 @@ def cells_of(df: DataFrame, columns: Sequence[str]) -> Column:
 # ---------------------------------------------------------------- numbers
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where no code is generated."""
+    return F.transform(F.array(value), body)[0]
+
+
 def number_text(text: Column) -> Column:
     """The text as a plain or exponent number, NULL when it is none."""
     bare = F.replace(F.trim(text), F.lit("_"), F.lit(""))
-    return F.when(bare.rlike(NUMBER), bare)
+    return let(bare, lambda b: F.when(b.rlike(NUMBER), b))
 
 
 def try_number(kind: Column, text: Column) -> Column:
@@ -137,50 +142,75 @@ def try_number(kind: Column, text: Column) -> Column:
     return F.when(kind.isin("num", "str"), number_text(text).try_cast("decimal(38,18)"))
 
 
-def _parts(number: Column) -> tuple[Column, Column, Column]:
+def _exponent(number: Column) -> Column:
+    return F.regexp_extract(number, r"[eE]([+-]?\d+)$", 1).try_cast("int")
+
+
+def _written_out(number: Column) -> Column:
+    """An exponent number without its exponent; left alone when that would be absurdly long."""
     mantissa = F.regexp_extract(number, r"^[+-]?([0-9.]+)", 1)
-    exponent = F.coalesce(
-        F.regexp_extract(number, r"[eE]([+-]?\d+)$", 1).try_cast("int"), F.lit(0)
-    )
     whole = F.substring_index(mantissa, ".", 1)
-    fraction = F.when(mantissa.contains("."), F.substring_index(mantissa, ".", -1)).otherwise("")
-    return whole, fraction, exponent
+    sign = F.when(number.startswith("-"), "-").otherwise("")
+    parts = F.struct(
+        F.replace(mantissa, F.lit(".")).alias("digits"),
+        (F.length(whole) + _exponent(number)).alias("point"),
+        sign.alias("sign"),
+    )
+
+    def place(p: Column) -> Column:
+        digits, point, size = p["digits"], p["point"], F.length(p["digits"])
+        shifted = (
+            F.when(point <= 0, F.concat(F.lit("."), F.repeat(F.lit("0"), -point), digits))
+            .when(point >= size, F.concat(digits, F.repeat(F.lit("0"), point - size)))
+            .otherwise(
+                F.concat(
+                    F.substring(digits, F.lit(1), point),
+                    F.lit("."),
+                    F.substring(digits, point + 1, size),
+                )
+            )
+        )
+        return F.concat(p["sign"], shifted)
+
+    return F.when(F.abs(_exponent(number)) > 400, F.lower(number)).otherwise(let(parts, place))
 
 
 def decimal_places(number: Column) -> Column:
     """Places after the point that the number's own text carries, 0 for integers."""
-    _, fraction, exponent = _parts(number)
-    has_exponent = number.rlike("[eE]")
-    digits = F.when(has_exponent & (fraction == "0"), 0).otherwise(F.length(fraction))
-    return F.greatest(digits - exponent, F.lit(0))
+    fraction = F.length(F.substring_index(number, ".", -1))
+    mantissa = F.regexp_extract(number, r"\.(\d*)[eE]", 1)
+    scaled = F.when(mantissa == "0", 0).otherwise(F.length(mantissa)) - _exponent(number)
+    return (
+        F.when(number.isNull(), F.lit(None).cast("int"))
+        .when(number.rlike("[eE]"), F.greatest(scaled, F.lit(0)))
+        .when(number.contains("."), fraction)
+        .otherwise(0)
+    )
 
 
 def number_token(number: Column) -> Column:
-    """One text per value: sign, digits without outer zeros, exponent. Exact at any size."""
-    whole, fraction, exponent = _parts(number)
-    digits = F.ltrim(F.concat(whole, fraction), F.lit("0"))
-    bare = F.rtrim(digits, F.lit("0"))
-    power = exponent - F.length(fraction) + F.length(digits) - F.length(bare)
-    sign = F.when(number.startswith("-"), "-").otherwise("")
-    return F.when(bare == "", F.concat(sign, F.lit("0"))).otherwise(
-        F.concat(sign, bare, F.lit("E"), power.cast("string"))
-    )
+    """One text per value: sign, digits, point, digits, without outer zeros. Exact at any size."""
+    plain = F.when(number.rlike("[eE]"), _written_out(number)).otherwise(number)
+    return F.regexp_replace(plain, r"^\+?(-?)0*(\d*)(?:\.(\d*?)0*)?$", "$1$2.$3")
 
 
-def token(kind: Column, text: Column) -> Column:
-    """Canonical, name-free token of a cell: equal tokens mean equal cells."""
-    number = number_text(text)
+def _token(kind: Column, text: Column, number: Column) -> Column:
     lowered = F.lower(F.trim(text))
     return (
         F.when(kind == "null", F.lit("null"))
         .when(kind == "bool", F.concat(F.lit("bool:"), text))
-        .when(kind == "other", F.concat(F.lit("str:"), lowered))
         .when(number.isNotNull(), F.concat(F.lit("num:"), number_token(number)))
-        .when(text.rlike(NOT_A_NUMBER), F.concat(F.lit("num:"), lowered))
+        .when((kind != "other") & text.rlike(NOT_A_NUMBER), F.concat(F.lit("num:"), lowered))
         .otherwise(F.concat(F.lit("str:"), lowered))
     )
 
 
+def token(kind: Column, text: Column) -> Column:
+    """Canonical, name-free token of a cell: equal tokens mean equal cells."""
+    number = F.when(kind.isin("num", "str"), number_text(text))
+    return let(number, lambda n: _token(kind, text, n))
+
+
 def cell_token(c: Column) -> Column:
     return token(c["kind"], c["text"])
 
@@ -191,18 +221,21 @@ def prepare(cells: Column) -> Column:
     Names are left out, so two prepared rows compare by value alone.
     """
 
-    def one(c: Column) -> Column:
-        number = F.when(c["kind"].isin("num", "str"), number_text(c["text"]))
+    def fields(c: Column, number: Column) -> Column:
         return F.struct(
             c["kind"].alias("kind"),
             c["text"].alias("text"),
             F.lower(F.trim(c["text"])).alias("low"),
-            cell_token(c).alias("tok"),
+            _token(c["kind"], c["text"], number).alias("tok"),
             number.try_cast("decimal(38,18)").alias("num"),
             number.try_cast("double").alias("dbl"),
             decimal_places(number).alias("places"),
         )
 
+    def one(c: Column) -> Column:
+        number = F.when(c["kind"].isin("num", "str"), number_text(c["text"]))
+        return let(number, lambda n: fields(c, n))
+
     return F.transform(cells, one)
 
 
@@ -244,8 +277,8 @@ def values_equal(gold: Column, pred: Column, abs_tol: Column, rel_tol: Column) -
         .when((gk == "other") | (pk == "other"), F.lit(False))
         .when((gk == "str") & (pk == "str"), gold["low"] == pred["low"])
         .when((gk == "bool") & (pk == "bool"), F.lit(False))
-        .when((gk == "bool") & (pk == "num"), bit(gold) == bit(pred))
-        .when((gk == "num") & (pk == "bool"), bit(gold) == bit(pred))
+        .when((gk.isin("bool", "num")) & (pk.isin("bool", "num")) & (gk != pk),
+              bit(gold) == bit(pred))
         .when((gk == "bool") | (pk == "bool"), F.lit(False))
         .otherwise(numeric_equal(gold, pred, abs_tol, rel_tol)),
         F.lit(False),

@@ -281,23 +281,12 @@ def values_equal(spark, sf):
     )
 
 
-def _int_token(x: str) -> str:
-    return (
-        f"CASE WHEN {x} = 0 THEN 'num:0' ELSE 'num:' || regexp_replace(({x})::VARCHAR, '0+$', '') || 'E' "
-        f"|| (length(({x})::VARCHAR) - length(regexp_replace(({x})::VARCHAR, '0+$', ''))) END"
-    )
-
-
-CENTS = "round(p_retailprice * 100)::BIGINT"
-
-
 @query(
     "cell_token",
-    f"""
-    SELECT 'num:' || regexp_replace(({CENTS})::VARCHAR, '0+$', '') || 'E'
-             || (length(({CENTS})::VARCHAR) - length(regexp_replace(({CENTS})::VARCHAR, '0+$', '')) - 2) AS price,
+    """
+    SELECT 'num:' || rtrim(p_retailprice::DECIMAL(18,2)::VARCHAR, '0') AS price,
            'str:' || lower(p_type) AS kind, 'bool:' || (p_size > 25)::VARCHAR AS large,
-           {_int_token('p_size')} AS size, count(*)::BIGINT AS n
+           'num:' || p_size || '.' AS size, count(*)::BIGINT AS n
     FROM part GROUP BY ALL
     """,
 )
@@ -317,8 +306,8 @@ def cell_token(spark, sf):
 
 @query(
     "row_signature",
-    f"""
-    SELECT '["' || {_int_token('c_nationkey')} || '","str:' || lower(c_mktsegment) || '"]' AS sig,
+    """
+    SELECT '["num:' || CASE c_nationkey WHEN 0 THEN '' ELSE c_nationkey::VARCHAR END || '.","str:' || lower(c_mktsegment) || '"]' AS sig,
            (2 * count(*))::BIGINT AS n
     FROM customer GROUP BY 1
     """,
