@@ -299,3 +299,29 @@ def column_signatures(rows: DataFrame, keys: list[str]) -> DataFrame:
         first.alias("f1"),
         second.alias("f2"),
     )
+
+
+def answer_heads(rows: DataFrame, answered: DataFrame, keys: list[str]) -> DataFrame:
+    """Heads of typed answers; ``answered`` lists the answers that exist, with or without rows."""
+    found = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.min_by("cells", F.coalesce("row_pos", F.lit(0))).alias("first"),
+    )
+    nothing = "named_struct('name', 'value', 'kind', 'null', 'text', cast(null as string))"
+    return (
+        answered.join(found, keys, "left")
+        .withColumn("n_rows", F.coalesce("n_rows", F.lit(0)).cast("long"))
+        .select(
+            *answered.columns,
+            F.lit("list").alias("shape"),
+            "n_rows",
+            F.coalesce(
+                F.transform("first", lambda c: c["name"]), F.array().cast("array<string>")
+            ).alias("columns"),
+            F.when(
+                (F.col("n_rows") == 1) & (F.size("first") == 1), F.col("first")[0]
+            )
+            .otherwise(F.expr(nothing))
+            .alias("value"),
+        )
+    )
