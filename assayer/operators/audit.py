@@ -25,12 +25,18 @@ def verdict_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+def _one_zero(c: Column, dtype: T.DataType) -> Column:
+    """Negative zero reads as zero, as equality already says."""
+    return c + F.lit(0.0) if isinstance(dtype, T.DoubleType) else c
+
+
 def profile(df: DataFrame, name: str, distinct: bool = True) -> DataFrame:
     """COUNT, COUNT DISTINCT, SUM, MIN, MAX per column as (table, column, stat, value).
 
     Sums are exact decimals so that two engines or two orders agree. Distinct counts group
     (column, value) pairs first: no row is multiplied by a chain of distinct aggregates.
     """
+    df = df.select(*[_one_zero(F.col(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
     aggs = []
     for f in df.schema.fields:
         c = F.col(f.name)
