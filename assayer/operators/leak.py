@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayer.session import cut_lineage
+
 # Shape of an id, protected fields, path and name patterns, scanned suffixes.
 ID_PATTERN = r"\bCB_(?:T\d|DEEP|MULTI)[A-Z0-9_]*\b"
 FIELD_PATTERN = r'"(answer_sha256|gold_answer|gold_sql)"\s*:'
@@ -233,11 +235,14 @@ def verbatim_passages(docs: DataFrame, passages: DataFrame, gram: int = GRAM) ->
 
 
 def _by_rarest(doc_hashes: DataFrame, item_hashes: DataFrame) -> DataFrame:
-    """Candidate (doc, item) by the item hash that fewest documents hold."""
+    """Candidate (doc, item) by the item hash that fewest documents hold.
+
+    The texts are hashed once: the (document, hash) hits on any passage are written, and both the
+    document counts and the candidates come from them.
+    """
     wanted = item_hashes.select("h").distinct()
-    counted = (
-        doc_hashes.join(wanted, "h", "left_semi").groupBy("h").agg(F.count(F.lit(1)).alias("docs"))
-    )
+    hits = cut_lineage(doc_hashes.join(wanted, "h", "left_semi"))
+    counted = hits.groupBy("h").agg(F.count(F.lit(1)).alias("docs"))
     # a hash no document holds proves that its passage is nowhere
     anchors = (
         item_hashes.join(counted, "h", "left")
@@ -246,4 +251,4 @@ def _by_rarest(doc_hashes: DataFrame, item_hashes: DataFrame) -> DataFrame:
         .where("a.docs > 0")
         .select("item", F.col("a.h").alias("h"))
     )
-    return doc_hashes.join(anchors, "h").select("doc", "item").distinct()
+    return hits.join(anchors, "h").select("doc", "item").distinct()

@@ -31,27 +31,28 @@ class InputError(ValueError):
     """A file does not have the required shape."""
 
 
-def _texts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(
-        "value", F.col("_metadata.file_name").alias("file_name")
+def _texts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(value, file_path): one JSON document per file, or per line with ``lines``.
+
+    One document per line is the form for large inputs: files split, no document has to be the
+    size of a file.
+    """
+    return spark.read.text(path, wholetext=not lines).select(
+        "value", F.col("_metadata.file_path").alias("file_path")
     )
 
 
-def _records(texts: DataFrame, field: str) -> DataFrame:
-    """(file_name, rec): the elements of a top-level list, or of the list under ``field``."""
+def _read(spark: SparkSession, path: str, field: str, lines: bool = False) -> DataFrame:
+    """(file_path, rec): elements of a top-level list, or of the list under ``field``."""
     as_list = F.from_json("value", "array<string>")
     inside = F.from_json("value", f"`{field}` array<string>")[field]
     rows = F.when(F.ltrim("value").startswith("["), as_list).otherwise(inside)
-    return texts.select("file_name", rows.alias("recs"))
-
-
-def _read(spark: SparkSession, path: str, field: str) -> DataFrame:
-    files = _records(_texts(spark, path), field)
+    files = _texts(spark, path, lines).select("file_path", rows.alias("recs"))
     checked = F.when(
         F.col("recs").isNull(),
-        F.raise_error(F.concat(F.lit(f"expected a list or an object with {field}: "), "file_name")),
+        F.raise_error(F.concat(F.lit(f"expected a list or an object with {field}: "), "file_path")),
     ).otherwise(F.col("recs"))
-    return files.select("file_name", F.explode(checked).alias("rec"))
+    return files.select("file_path", F.explode(checked).alias("rec"))
 
 
 def flat_tasks(records: DataFrame, rec: str = "rec") -> DataFrame:
@@ -74,17 +75,24 @@ def flat_tasks(records: DataFrame, rec: str = "rec") -> DataFrame:
     )
 
 
-def load_tasks(spark: SparkSession, path: str) -> DataFrame:
-    return flat_tasks(_read(spark, path, "tasks"))
+def load_tasks(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return flat_tasks(_read(spark, path, "tasks", lines))
 
 
-def load_gold(spark: SparkSession, folder: str, tasks: DataFrame) -> DataFrame:
-    """Gold artifacts joined to their tasks by file name; a task without a file is an error."""
-    files = _texts(spark, folder).withColumnRenamed("value", "rec")
+def load_gold(
+    spark: SparkSession, folder: str, tasks: DataFrame, name: str = "([^/]+)$"
+) -> DataFrame:
+    """Gold artifacts joined to their tasks by file name; a task without a file is an error.
+
+    ``name`` picks the joining part of a path; it is applied to both sides.
+    """
+    files = _texts(spark, folder).select(
+        F.regexp_extract("file_path", name, 1).alias("file_name"), F.col("value").alias("rec")
+    )
     wanted = tasks.select(
         "task_id",
         "gold_answer_sha256",
-        F.regexp_extract("gold_answer_path", "([^/]+)$", 1).alias("file_name"),
+        F.regexp_extract("gold_answer_path", name, 1).alias("file_name"),
     )
     met = wanted.join(files, "file_name", "left")
     return met.withColumn(
@@ -113,10 +121,16 @@ def prediction_problems(records: DataFrame) -> DataFrame:
     return missing.unionByName(twice)
 
 
-def load_predictions(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
-    """(run_id, rec) of every prediction; the run is the file's stem."""
-    records = _read(spark, path, "predictions").select(
-        F.regexp_replace("file_name", r"\.[^.]*$", "").alias("run_id"), "rec"
+def load_predictions(
+    spark: SparkSession,
+    path: str,
+    check: bool = True,
+    lines: bool = False,
+    run: str = r"([^/]+?)(?:\.[^./]*)?$",
+) -> DataFrame:
+    """(run_id, rec) of every prediction; by default the run is the file's stem."""
+    records = _read(spark, path, "predictions", lines).select(
+        F.regexp_extract("file_path", run, 1).alias("run_id"), "rec"
     )
     if check:
         bad = prediction_problems(records).limit(5).collect()
@@ -357,7 +371,7 @@ def gold_hash_mismatches(gold: DataFrame) -> DataFrame:
 
 
 def expand_questions(
-    spark: SparkSession, path: str, multi_turn_tier: int = 9
+    spark: SparkSession, path: str, multi_turn_tier: int = 9, lines: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """A published question file as (tasks, gold) frames."""
     shape = (
@@ -365,7 +379,7 @@ def expand_questions(
         "answer_type string, scoring_method string, value_tolerance string, gold_sql string, "
         "gold struct<row_count:bigint,columns:array<string>,answer_sha256:string,answer:string>"
     )
-    files = _texts(spark, path).select(
+    files = _texts(spark, path, lines).select(
         F.from_json("value", "data_snapshot_id string, questions array<string>").alias("f")
     )
     recs = files.select(
