@@ -239,6 +239,62 @@ def prepare(cells: Column) -> Column:
     return F.transform(cells, one)
 
 
+def prepared_columns(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, Column, Column]:
+    """(frame with text columns, cells, prepared cells) of typed columns.
+
+    The types are known when the plan is built, so no lambda is needed: texts are plain columns
+    of one projection and everything runs as generated code.
+    """
+    texts = {}
+    for i, c in enumerate(columns):
+        kind, text = cell_text(F.col(f"`{c}`"), df.schema[c].dataType)
+        texts[c] = (kind, f"_text_{i}", text)
+    out = df.select("*", *[t.alias(n) for _, n, t in texts.values()])
+    numbers = {
+        c: number_text(F.col(n)).alias(f"{n}_n")
+        for c, (kind, n, _) in texts.items()
+        if kind == "str" and isinstance(df.schema[c].dataType, T.StringType)
+    }
+    out = out.select("*", *numbers.values())
+    cells, prepared = [], []
+    for c, (kind, n, _) in texts.items():
+        text, dtype = F.col(n), df.schema[c].dataType
+        shown = F.when(text.isNull(), F.lit("null")).otherwise(F.lit(kind))
+        cells.append(F.struct(F.lit(c).alias("name"), shown.alias("kind"), text.alias("text")))
+        low = F.lower(F.trim(text)) if kind in ("str", "other") else text
+        nothing = lambda typ: F.lit(None).cast(typ)
+        if isinstance(dtype, T.IntegralType):
+            digits = F.when(F.col(c) == 0, F.lit("")).otherwise(text)
+            tok = F.concat(F.lit("num:"), digits, F.lit("."))
+            exact, double, places = F.col(c).cast("decimal(38,18)"), F.col(c).cast("double"), F.lit(0)
+        elif kind == "num":
+            tok = F.concat(F.lit("num:"), number_token(text))
+            exact, double, places = (
+                text.try_cast("decimal(38,18)"), text.cast("double"), decimal_places(text)
+            )
+        elif c in numbers:
+            number = F.col(f"{n}_n")
+            tok = _token(F.lit("str"), text, number)
+            exact, double, places = (
+                number.try_cast("decimal(38,18)"), number.try_cast("double"), decimal_places(number)
+            )
+        else:
+            tok = F.concat(F.lit("bool:" if kind == "bool" else "str:"), low)
+            exact, double, places = nothing("decimal(38,18)"), nothing("double"), nothing("int")
+        prepared.append(
+            F.struct(
+                shown.alias("kind"),
+                text.alias("text"),
+                low.alias("low"),
+                F.when(text.isNull(), F.lit("null")).otherwise(tok).alias("tok"),
+                exact.alias("num"),
+                double.alias("dbl"),
+                F.when(text.isNotNull(), places).alias("places"),
+            )
+        )
+    return out, F.array(*cells), F.array(*prepared)
+
+
 def row_signature(prepared: Column) -> Column:
     """Multiset of the row's tokens as text: column names and order do not matter."""
     return F.to_json(F.array_sort(F.transform(prepared, lambda c: c["tok"])))
@@ -257,53 +313,60 @@ def numeric_equal(gold: Column, pred: Column, abs_tol: Column, rel_tol: Column)
 
     Values outside DECIMAL(38,18) are compared as doubles.
     """
-    rounded = round_to_places(pred["num"], gold["places"])
-    size = F.greatest(F.abs(gold["num"]), F.abs(rounded), F.lit(1)).cast("double")
-    near = F.abs(gold["num"] - rounded).cast("double") <= F.greatest(abs_tol, rel_tol * size)
+
+    def near(rounded: Column) -> Column:
+        size = F.greatest(F.abs(gold["num"]), F.abs(rounded), F.lit(1)).cast("double")
+        return F.abs(gold["num"] - rounded).cast("double") <= F.greatest(abs_tol, rel_tol * size)
+
     far_size = F.greatest(F.abs(gold["dbl"]), F.abs(pred["dbl"]), F.lit(1.0))
     gap = F.abs(gold["dbl"] - pred["dbl"])
     far = gap <= F.greatest(abs_tol, rel_tol * far_size)
     # rounding moves a value by at most one half, so a wider gap needs no exact arithmetic
     apart = gap > 1.0 + 2 * (abs_tol + rel_tol * far_size)
-    return F.when(apart, F.lit(False)).otherwise(F.coalesce(near, far, F.lit(False)))
+    exact = let(round_to_places(pred["num"], gold["places"]), near)
+    return F.when(apart | gap.isNull(), F.lit(False)).otherwise(F.coalesce(exact, far, F.lit(False)))
 
 
 def values_equal(gold: Column, pred: Column, abs_tol: Column, rel_tol: Column) -> Column:
     """Equality of two prepared cells with tolerance; never NULL."""
     gk, pk = gold["kind"], pred["kind"]
+    number = numeric_equal(gold, pred, abs_tol, rel_tol)
     bit = lambda c: F.when(c["kind"] == "bool", (c["text"] == "true").cast("double")).otherwise(
         c["dbl"]
     )
-    return F.coalesce(
-        F.when((gk == "null") | (pk == "null"), gk == pk)
-        .when((gk == pk) & (gold["text"] == pred["text"]), F.lit(True))
-        .when((gk == "other") | (pk == "other"), F.lit(False))
-        .when((gk == "str") & (pk == "str"), gold["low"] == pred["low"])
-        .when((gk == "num") & (pk == "num") & (gold["tok"] == pred["tok"]), F.lit(True))
-        .when((gk == "bool") & (pk == "bool"), F.lit(False))
-        .when((gk.isin("bool", "num")) & (pk.isin("bool", "num")) & (gk != pk),
-              bit(gold) == bit(pred))
-        .when((gk == "bool") | (pk == "bool"), F.lit(False))
-        .otherwise(numeric_equal(gold, pred, abs_tol, rel_tol)),
-        F.lit(False),
+    same_kind = (
+        F.when(gk == "num", (gold["tok"] == pred["tok"]) | number)
+        .when(gk == "str", gold["low"] == pred["low"])
+        .otherwise(gold["text"].eqNullSafe(pred["text"]))
+    )
+    other_kind = (
+        F.when(gk.isin("null", "other") | pk.isin("null", "other"), F.lit(False))
+        .when((gk == "bool") | (pk == "bool"), (gk != "str") & (pk != "str") & (bit(gold) == bit(pred)))
+        .otherwise(number)
     )
+    return F.coalesce(F.when(gk == pk, same_kind).otherwise(other_kind), F.lit(False))
 
 
 def rows_equal(gold: Column, pred: Column, abs_tol: Column, rel_tol: Column) -> Column:
-    """Each gold cell takes the first still free pred cell it equals; all must find one."""
+    """Each gold cell takes the first still free pred cell it equals; all must find one.
+
+    Rows whose cells agree place by place always succeed that way, which spares the search.
+    """
 
     def consume(left: Column, g: Column) -> Column:
         at = F.array_position(
             F.transform(left, lambda p: values_equal(g, p, abs_tol, rel_tol)), F.lit(True)
         ).cast("int")
-        rest = F.filter(left, lambda _, i: i != at - 1)
-        return F.when(at > 0, rest)
+        return let(at, lambda a: F.when(a > 0, F.filter(left, lambda _, i: i != a - 1)))
 
-    paired = F.aggregate(gold, pred, consume, lambda rest: rest.isNotNull())
+    in_place = F.forall(
+        F.zip_with(gold, pred, lambda g, p: values_equal(g, p, abs_tol, rel_tol)), lambda x: x
+    )
+    searched = F.aggregate(gold, pred, consume, lambda rest: rest.isNotNull())
     return (
         F.when(F.size(gold) != F.size(pred), F.lit(False))
-        .when(gold == pred, F.lit(True))
-        .otherwise(F.coalesce(paired, F.lit(False)))
+        .when(in_place, F.lit(True))
+        .otherwise(F.coalesce(searched, F.lit(False)))
     )
 
 

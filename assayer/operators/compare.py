@@ -18,6 +18,7 @@ from decimal import Decimal, InvalidOperation
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayer.functions import cells as C
 
@@ -27,17 +28,21 @@ GREEDY_ROWS = 500  # fixed value: both sides at most this long for one-to-one to
 def answer_rows(
     df: DataFrame, keys: list[str], columns: list[str] | None = None, order: str | None = None
 ) -> DataFrame:
-    """Turn a typed result frame into answer rows; ``keys`` say which answer a row belongs to."""
+    """Turn a typed result frame into answer rows; ``keys`` say which answer a row belongs to.
+
+    The prepared cells come along: typed columns are parsed by generated code.
+    """
     columns = columns or [c for c in df.columns if c not in keys and c != order]
+    df, cells, prepared = C.prepared_columns(df, columns)
     pos = F.col(order).cast("long") if order else F.lit(None).cast("long")
-    return df.select(*keys, pos.alias("row_pos"), C.cells_of(df, columns).alias("cells"))
+    return df.select(*keys, pos.alias("row_pos"), cells.alias("cells"), prepared.alias("prep"))
 
 
 def signed(rows: DataFrame) -> DataFrame:
-    """Add the prepared cells and the name-free signature of every row."""
-    return rows.withColumn("prep", C.prepare(F.col("cells"))).withColumn(
-        "sig", C.row_signature(F.col("prep"))
-    )
+    """Add the prepared cells, unless they are there, and the name-free signature of every row."""
+    if "prep" not in rows.columns:
+        rows = rows.withColumn("prep", C.prepare(F.col("cells")))
+    return rows.withColumn("sig", C.row_signature(F.col("prep")))
 
 
 def rates(df: DataFrame, tp: Column, n_pred: Column, n_gold: Column) -> DataFrame:
@@ -214,33 +219,32 @@ def _row_json(cells) -> str:
     )
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """First-fit one-to-one matching inside one (run, task); both sides are short by contract."""
-    abs_tol, rel_tol = float(pdf["abs_tol"].iloc[0]), float(pdf["rel_tol"].iloc[0])
-    if bool(pdf["in_order"].iloc[0]):
-        pdf = pdf.sort_values("row_pos", kind="stable")
-    else:
-        pdf = pdf.assign(_k=[_row_json(c) for c in pdf["cells"]]).sort_values("_k", kind="stable")
+def _first_fit(gold, pred, abs_tol: float, rel_tol: float, in_order: bool) -> int:
+    """Gold rows that find a free predicted row, each taking the first that fits."""
+    key = (lambda r: r["row_pos"]) if in_order else (lambda r: _row_json(r["cells"]))
     free: dict[tuple, list] = defaultdict(list)
-    for cells in pdf.loc[~pdf["is_gold"], "cells"]:
-        row = [_loose(c) for c in cells]
+    for r in sorted(pred, key=key):
+        row = [_loose(c) for c in r["cells"]]
         free[_group_key(row)].append(row)
     matched = 0
-    for cells in pdf.loc[pdf["is_gold"], "cells"]:
-        row = [_loose(c) for c in cells]
+    for r in sorted(gold, key=key):
+        row = [_loose(c) for c in r["cells"]]
         rivals = free.get(_group_key(row), [])
         for i, rival in enumerate(rivals):
             if _row_equal(row, rival, abs_tol, rel_tol):
                 del rivals[i]
                 matched += 1
                 break
-    return pd.DataFrame(
-        {
-            "run_id": [pdf["run_id"].iloc[0]],
-            "task_id": [pdf["task_id"].iloc[0]],
-            "matched": [matched],
-        }
-    )
+    return matched
+
+
+@F.pandas_udf(T.LongType())
+def _matched(
+    gold: pd.Series, pred: pd.Series, abs_tol: pd.Series, rel_tol: pd.Series, in_order: pd.Series
+) -> pd.Series:
+    """First-fit matching of many short answers per Arrow batch."""
+    rows = zip(gold, pred, abs_tol, rel_tol, in_order)
+    return pd.Series([_first_fit(*r) for r in rows], dtype="int64")
 
 
 def greedy_assignment(
@@ -249,23 +253,35 @@ def greedy_assignment(
     """``matched`` rows per (run, task) for ``pairs`` (run_id, task_id, gold_rows, pred_rows,
     abs_tol, rel_tol, in_order) whose sides both have at most ``limit`` rows.
 
-    The limit is part of the rule, and it bounds the group a task sees: longer answers are
-    decided by their signatures alone.
+    The limit is part of the rule, and it bounds what is gathered per answer: longer answers are
+    decided by their signatures alone. A side without rows matches nothing and is settled here.
     """
     small = pairs.where((F.col("gold_rows") <= limit) & (F.col("pred_rows") <= limit)).select(
-        "run_id", "task_id", "abs_tol", "rel_tol", "in_order"
+        "run_id", "task_id", "abs_tol", "rel_tol", "in_order", "gold_rows", "pred_rows"
     )
+    empty = F.least("gold_rows", "pred_rows") == 0
+    none = small.where(empty).select("run_id", "task_id", F.lit(0).cast("long").alias("matched"))
+    small = small.where(~empty).drop("gold_rows", "pred_rows")
+    row = F.struct(F.coalesce("row_pos", F.lit(0)).alias("row_pos"), "cells")
     g = small.join(gold.select("task_id", "row_pos", "cells"), "task_id").withColumn(
         "is_gold", F.lit(True)
     )
     p = small.join(
         pred.select("run_id", "task_id", "row_pos", "cells"), ["run_id", "task_id"]
     ).withColumn("is_gold", F.lit(False))
-    return (
+    both = (
         g.unionByName(p)
         .groupBy("run_id", "task_id")
-        .applyInPandas(_greedy, "run_id string, task_id string, matched long")
+        .agg(
+            F.collect_list(F.when(F.col("is_gold"), row)).alias("g"),
+            F.collect_list(F.when(~F.col("is_gold"), row)).alias("p"),
+            *[F.first(c).alias(c) for c in ("abs_tol", "rel_tol", "in_order")],
+        )
+    )
+    found = both.select(
+        "run_id", "task_id", _matched("g", "p", "abs_tol", "rel_tol", "in_order").alias("matched")
     )
+    return found.unionByName(none)
 
 
 # ---------------------------------------------------------------- columns

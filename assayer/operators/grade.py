@@ -241,7 +241,7 @@ def score_tasks(
                 & (F.col("gold_rows") == F.col("pred_rows"))
             )
         )
-        wants = _relax(K.signed(reduced_gold.drop("prep", "sig", "dropped")), pred, asked)
+        wants = _relax(reduced_gold, pred, asked)
         verdict = verdict.drop("wants").join(
             wants.withColumnRenamed("relaxed", "wants"), key, "left"
         )

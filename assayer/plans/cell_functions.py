@@ -227,7 +227,8 @@ def _net_pairs(spark, sf):
 )
 def numeric_equal(spark, sf):
     df = _net_pairs(spark, sf)
-    pair = df.select("l_linenumber", C.prepare(C.cells_of(df, ["gold", "pred"])).alias("v"))
+    df, _, prepared = C.prepared_columns(df, ["gold", "pred"])
+    pair = df.select("l_linenumber", prepared.alias("v"))
     same = C.numeric_equal(F.col("v")[0], F.col("v")[1], F.lit(C.ABS_TOL), F.lit(C.REL_TOL))
     return (
         pair.select("l_linenumber", same.alias("same"))

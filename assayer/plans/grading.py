@@ -271,10 +271,9 @@ def tolerant_row_match(spark, sf):
         F.when(line == 5, F.col("l_partkey") + 1).otherwise(F.col("l_partkey")).cast("double").alias("b"),
         net.cast("double").alias("c"),
     )
-    pairs = df.select(
-        "l_linenumber",
-        C.prepare(C.cells_of(df, ["net", "part", "flag"])).alias("g"),
-        C.prepare(C.cells_of(df, ["a", "b", "c"])).alias("p"),
+    df, _, prepared = C.prepared_columns(df, ["net", "part", "flag", "a", "b", "c"])
+    pairs = df.select("l_linenumber", prepared.alias("v")).select(
+        "l_linenumber", F.slice("v", 1, 3).alias("g"), F.slice("v", 4, 3).alias("p")
     )
     same = C.rows_equal(F.col("g"), F.col("p"), F.lit(C.ABS_TOL), F.lit(C.REL_TOL))
     return (
@@ -388,7 +387,8 @@ def scalar_match(spark, sf):
         .otherwise((F.col("n") + 1).cast("string"))
         .alias("p"),
     )
-    pair = df.select("task_id", C.prepare(C.cells_of(df, ["g", "p"])).alias("v"))
+    df, _, prepared = C.prepared_columns(df, ["g", "p"])
+    pair = df.select("task_id", prepared.alias("v"))
     same = C.values_equal(F.col("v")[0], F.col("v")[1], F.lit(C.ABS_TOL), F.lit(C.REL_TOL))
     out = pair.select("task_id", same.alias("same"))
     return out.withColumn("row_f1", F.col("same").cast("double"))
@@ -430,8 +430,8 @@ def requested_column_relax(spark, sf):
     """Gold without the column nobody asked for, against answers that leave it out as well."""
     _, tasks, gold, pred = _frames(spark, sf)
     drop = "filter(cells, c -> c.name <> 'linestatus')"
-    reduced = gold.withColumn("cells", F.expr(drop))
-    narrow = pred.withColumn("cells", F.expr(drop)).where("not exists(cells, c -> c.name = 'rev')")
+    reduced = gold.drop("prep").withColumn("cells", F.expr(drop))
+    narrow = pred.drop("prep").withColumn("cells", F.expr(drop)).where("not exists(cells, c -> c.name = 'rev')")
     sizes = narrow.groupBy(*KEY).agg(F.count(F.lit(1)).alias("pred_rows"))
     pairs = _mapping_pairs(tasks, gold, sizes).join(sizes, KEY).where("gold_rows = pred_rows")
     out = R.try_mappings(K.signed(reduced), narrow, pairs.drop("pred_rows"))
