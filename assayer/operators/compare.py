@@ -301,9 +301,14 @@ def jaccard(gold: Column, pred: Column) -> Column:
 
 def column_signatures(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Order-free fingerprint of the value multiset of every column of every answer."""
-    flat = rows.select(
-        *keys, F.posexplode("cells").alias("col_pos", "cell")
-    ).select(*keys, "col_pos", F.col("cell.name").alias("col_name"), C.cell_token(F.col("cell")).alias("tok"))
+    if "prep" not in rows.columns:
+        rows = rows.withColumn("prep", C.prepare(F.col("cells")))
+    named = F.zip_with(
+        "cells", "prep", lambda c, p: F.struct(c["name"].alias("n"), p["tok"].alias("t"))
+    )
+    flat = rows.select(*keys, F.posexplode(named).alias("col_pos", "c")).select(
+        *keys, "col_pos", F.col("c.n").alias("col_name"), F.col("c.t").alias("tok")
+    )
     # counting tokens first keeps the hash work per distinct value
     counted = flat.groupBy(*keys, "col_name", "tok").agg(
         F.count(F.lit(1)).alias("n"), F.min("col_pos").alias("col_pos")

@@ -12,6 +12,7 @@ from itertools import islice
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayer.operators import compare as K
 from assayer.session import cut_lineage
@@ -36,43 +37,42 @@ def _mappings(choices: list[list[str]]):
     yield from extend((), choices)
 
 
-def _enumerate(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Mappings of one (run, task) from its column candidates.
+def _picks(candidates) -> tuple[list[list[str]], bool]:
+    """Mappings of one (run, task) from its column candidates, and whether the limit was hit.
 
     Comparison ignores column names and order, so picks of the same predicted columns are one.
     """
-    gold = pdf.sort_values(["gold_pos", "pred_pos"], kind="stable")
-    choices = [g["pred_col"].tolist() for _, g in gold.groupby("gold_pos", sort=True)]
-    names = gold.drop_duplicates("gold_pos")["gold_col"].tolist()
-    seen, picks = set(), []
-    tried = 0
-    for pick in islice(_mappings(choices), MAX_MAPPINGS + 1):
-        tried += 1
-        if tried > MAX_MAPPINGS:
-            break
-        if frozenset(pick) not in seen:
+    choices: dict[int, list[str]] = {}
+    names: dict[int, str] = {}
+    for c in sorted(candidates, key=lambda c: (c["gold_pos"], c["pred_pos"])):
+        choices.setdefault(c["gold_pos"], []).append(c["pred_col"])
+        names[c["gold_pos"]] = c["gold_col"]
+    options = list(choices.values())
+    seen, picks, capped = set(), [], False
+    for tried, pick in enumerate(islice(_mappings(options), MAX_MAPPINGS + 1)):
+        capped = tried >= MAX_MAPPINGS
+        if not capped and frozenset(pick) not in seen:
             seen.add(frozenset(pick))
             picks.append(list(pick))
-    capped = tried > MAX_MAPPINGS
     if capped:  # the pick by equal names is tried as well
-        by_name = {}
-        for options in choices:
-            for option in options:
-                by_name.setdefault(option.lower(), option)
-        named = [by_name.get(n.lower()) for n in names]
-        if None not in named and len(set(named)) == len(named):
-            if all(n in c for n, c in zip(named, choices)) and frozenset(named) not in seen:
-                picks.append(named)
-    first = pdf.iloc[0]
-    return pd.DataFrame(
-        {
-            "run_id": first["run_id"],
-            "task_id": first["task_id"],
-            "mapping_id": range(len(picks)),
-            "pred_cols": picks,
-            "capped": capped,
-        }
+        lowered = [{o.lower(): o for o in reversed(group)} for group in options]
+        named = [group.get(n.lower()) for n, group in zip(names.values(), lowered)]
+        if None not in named and len(set(named)) == len(named) and frozenset(named) not in seen:
+            picks.append(named)
+    return picks, capped
+
+
+@F.pandas_udf(
+    T.StructType(
+        [
+            T.StructField("picks", T.ArrayType(T.ArrayType(T.StringType()))),
+            T.StructField("capped", T.BooleanType()),
+        ]
     )
+)
+def _enumerate(candidates: pd.Series) -> pd.DataFrame:
+    """Column mappings of many answers per Arrow batch; only column names come here, no rows."""
+    return pd.DataFrame([_picks(c) for c in candidates], columns=["picks", "capped"])
 
 
 def squared(columns: str) -> Column:
@@ -120,9 +120,18 @@ def try_mappings(gold: DataFrame, pred: DataFrame, pairs: DataFrame) -> DataFram
     ``pairs``: run_id, task_id, method_class, gold_rows, abs_tol, rel_tol.
     """
     candidates = column_candidates(gold, pred, pairs)
-    mappings = candidates.groupBy("run_id", "task_id").applyInPandas(
-        _enumerate,
-        "run_id string, task_id string, mapping_id int, pred_cols array<string>, capped boolean",
+    # one small array of column pairs per answer, bounded by the width of both answers
+    column_pairs = F.collect_list(F.struct("gold_pos", "gold_col", "pred_pos", "pred_col"))
+    mappings = (
+        candidates.groupBy("run_id", "task_id")
+        .agg(column_pairs.alias("c"))
+        .select("run_id", "task_id", _enumerate("c").alias("m"))
+        .select(
+            "run_id",
+            "task_id",
+            F.col("m.capped").alias("capped"),
+            F.posexplode("m.picks").alias("mapping_id", "pred_cols"),
+        )
     )
     mappings = cut_lineage(mappings)
     # the pair id of a projected answer stands in for the run id of the ordinary comparison
