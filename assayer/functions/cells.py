@@ -25,6 +25,7 @@ PUNCTUATION_FROM = "‘’“”–— "
 PUNCTUATION_TO = "''\"\"-- "
 
 NOT_ASCII = r"[^\x00-\x7F]"
+ASCII_BLANKS = r"[\s\x1c-\x1f]+"
 BLANKS = r"(?U)[\s\x1c-\x1f]+"
 MIDNIGHT = r"^(\d{4}-\d{2}-\d{2})[T ]00:00:00(?:\.0+)?$"
 NUMBER = r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
@@ -40,24 +41,27 @@ def null_like(c: Column, dtype: T.DataType) -> Column:
 
 
 def compose(c: Column) -> Column:
-    """NFKC form; only text with non-ASCII characters is touched."""
-    nfkc = F.call_function(
+    """NFKC form of text."""
+    return F.call_function(
         "reflect",
         F.lit("com.ibm.icu.text.Normalizer"),
         F.lit("compose"),
         c,
         F.lit(True),
     )
-    return F.when(c.rlike(NOT_ASCII), nfkc).otherwise(c)
 
 
 def normalize_text(c: Column) -> Column:
-    plain = F.translate(compose(c), PUNCTUATION_FROM, PUNCTUATION_TO)
-    return F.trim(F.regexp_replace(plain, BLANKS, " "))
+    """NFKC, ASCII punctuation, single blanks; plain ASCII text takes the short way."""
+    special = F.translate(compose(c), PUNCTUATION_FROM, PUNCTUATION_TO)
+    short = F.regexp_replace(c, ASCII_BLANKS, " ")
+    return F.trim(
+        F.when(c.rlike(NOT_ASCII), F.regexp_replace(special, BLANKS, " ")).otherwise(short)
+    )
 
 
 def midnight_to_date(c: Column) -> Column:
-    return F.regexp_replace(c, MIDNIGHT, "$1")
+    return F.when(c.contains("00:00:00"), F.regexp_replace(c, MIDNIGHT, "$1")).otherwise(c)
 
 
 def float_text(c: Column) -> Column:
@@ -182,7 +186,7 @@ def decimal_places(number: Column) -> Column:
     scaled = F.when(mantissa == "0", 0).otherwise(F.length(mantissa)) - _exponent(number)
     return (
         F.when(number.isNull(), F.lit(None).cast("int"))
-        .when(number.rlike("[eE]"), F.greatest(scaled, F.lit(0)))
+        .when(number.contains("E") | number.contains("e"), F.greatest(scaled, F.lit(0)))
         .when(number.contains("."), fraction)
         .otherwise(0)
     )
@@ -190,17 +194,36 @@ def decimal_places(number: Column) -> Column:
 
 def number_token(number: Column) -> Column:
     """One text per value: sign, digits, point, digits, without outer zeros. Exact at any size."""
-    plain = F.when(number.rlike("[eE]"), _written_out(number)).otherwise(number)
+    scaled = number.contains("E") | number.contains("e")
+    plain = F.when(scaled, _written_out(number)).otherwise(number)
     return F.regexp_replace(plain, r"^\+?(-?)0*(\d*)(?:\.(\d*?)0*)?$", "$1$2.$3")
 
 
+def _float_token(text: Column) -> Column:
+    """``number_token`` of the text of a double: only its shape ``[-]d.d`` has to be trimmed."""
+    whole = F.substring_index(text, ".", 1)
+    bare = F.when(whole == "0", "").when(whole == "-0", "-").otherwise(whole)
+    return F.when(text.contains("E"), number_token(text)).otherwise(
+        F.concat(
+            bare,
+            F.lit("."),
+            F.when(text.endswith(".0"), "").otherwise(F.substring_index(text, ".", -1)),
+        )
+    )
+
+
 def _token(kind: Column, text: Column, number: Column) -> Column:
     lowered = F.lower(F.trim(text))
     return (
         F.when(kind == "null", F.lit("null"))
         .when(kind == "bool", F.concat(F.lit("bool:"), text))
         .when(number.isNotNull(), F.concat(F.lit("num:"), number_token(number)))
-        .when((kind != "other") & text.rlike(NOT_A_NUMBER), F.concat(F.lit("num:"), lowered))
+        .when(
+            (kind != "other")
+            & F.substring(lowered, 1, 1).isin("+", "-", "i", "n", "s")
+            & text.rlike(NOT_A_NUMBER),
+            F.concat(F.lit("num:"), lowered),
+        )
         .otherwise(F.concat(F.lit("str:"), lowered))
     )
 
@@ -267,6 +290,13 @@ def prepared_columns(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame,
             digits = F.when(F.col(c) == 0, F.lit("")).otherwise(text)
             tok = F.concat(F.lit("num:"), digits, F.lit("."))
             exact, double, places = F.col(c).cast("decimal(38,18)"), F.col(c).cast("double"), F.lit(0)
+        elif isinstance(dtype, (T.FloatType, T.DoubleType)):
+            tok = F.concat(F.lit("num:"), _float_token(text))
+            double = F.when(text.isNotNull(), F.col(c).cast("double"))
+            exact = double.try_cast("decimal(38,18)")
+            places = F.when(text.contains("E"), decimal_places(text)).otherwise(
+                F.length(text) - F.instr(text, ".")
+            )
         elif kind == "num":
             tok = F.concat(F.lit("num:"), number_token(text))
             exact, double, places = (
