@@ -460,7 +460,7 @@ s AS (
 
 
 @query(
-    "verdict_pipeline",
+    "task_verdict",
     VERDICT
     + """
     SELECT run_id, task_id, passed, passed::INT::DOUBLE AS score,
@@ -473,7 +473,7 @@ s AS (
     FROM s
     """.replace("tp / nullif(np, 0)", "CASE WHEN np > 0 THEN tp / np ELSE 0 END"),
 )
-def verdict_pipeline(spark, sf):
+def task_verdict(spark, sf):
     return _scored(spark, sf).select(
         "run_id",
         "task_id",
