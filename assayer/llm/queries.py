@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from assayer.llm import bpe, fingerprint, secrets
+from pyspark.sql import functions as F
+
+from assayer.llm import bpe, fingerprint, resample, secrets, warczip
 from assayer.plans.registry import query
-from assayer.session import table
+from assayer.session import fresh_path, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
@@ -25,3 +27,31 @@ def op9_bpe(spark, sf):
 @query("op10_fingerprint")
 def op10_fingerprint(spark, sf):
     return fingerprint.fingerprints(table(spark, sf, "documents"))
+
+
+@query(
+    "op5_warc_zip",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    d AS (SELECT page_id, strlen(html) AS n, sha1(html) AS digest, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+    SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
+           CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to
+    FROM d
+    """,
+)
+def op5_warc_zip(spark, sf):
+    path = fresh_path(spark, "packages")
+    warczip.write_packages(warczip.with_types(table(spark, sf, "pages")), path)
+    found = warczip.read_packages(spark, path, payload=False)
+    return found.select(
+        F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+@query("op7_resample")
+def op7_resample(spark, sf):
+    """Rows of the documents drawn; labels of every fifth document are left for judging the result."""
+    labels = table(spark, sf, "labels").where("crc32(cast(doc_id as string)) % 5 != 0")
+    return resample.resample(table(spark, sf, "documents"), labels)
