@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, fingerprint, resample, secrets, warczip
+from assayer.llm import bpe, decontaminate, fingerprint, resample, secrets, warczip
 from assayer.plans.registry import query
 from assayer.session import fresh_path, table
 
@@ -55,3 +55,8 @@ def op7_resample(spark, sf):
     """Rows of the documents drawn; labels of every fifth document are left for judging the result."""
     labels = table(spark, sf, "labels").where("crc32(cast(doc_id as string)) % 5 != 0")
     return resample.resample(table(spark, sf, "documents"), labels)
+
+
+@query("op4_decontaminate")
+def op4_decontaminate(spark, sf):
+    return decontaminate.find_passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
