@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, decontaminate, fingerprint, resample, secrets, warczip
+from assayer.llm import bpe, decontaminate, fingerprint, lineruns, resample, secrets, warczip
 from assayer.plans.registry import query
 from assayer.session import fresh_path, table
 
@@ -60,3 +60,45 @@ def op7_resample(spark, sf):
 @query("op4_decontaminate")
 def op4_decontaminate(spark, sf):
     return decontaminate.find_passages(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query(
+    "op2_line_runs",
+    r"""
+    WITH l AS (
+        SELECT doc_id, unnest(string_split(text, chr(10))) AS x,
+               generate_subscripts(string_split(text, chr(10)), 1) - 1 AS q FROM documents),
+    s AS (
+        SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY q) AS p,
+               sum(w) OVER (PARTITION BY doc_id ORDER BY q) AS c
+        FROM (SELECT *, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w FROM l) WHERE w > 0),
+    win AS (
+        SELECT a.doc_id, a.p AS a, min(b.p) AS e FROM s a JOIN s b
+        ON a.doc_id = b.doc_id AND b.p BETWEEN a.p AND a.p + 49 AND b.c - a.c + a.w >= 50 GROUP BY ALL
+        UNION
+        SELECT b.doc_id, max(a.p) AS a, b.p AS e FROM s a JOIN s b
+        ON a.doc_id = b.doc_id AND a.p BETWEEN b.p - 49 AND b.p AND b.c - a.c + a.w >= 50 GROUP BY b.doc_id, b.p),
+    named AS (
+        SELECT win.doc_id, a, e, string_agg(x, chr(10) ORDER BY p) AS body FROM win JOIN s
+        ON win.doc_id = s.doc_id AND p BETWEEN a AND e GROUP BY ALL),
+    later AS (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, a) AS copy FROM named),
+    gone AS (
+        SELECT DISTINCT s.doc_id, s.q FROM later JOIN s ON later.doc_id = s.doc_id AND s.p BETWEEN a AND e
+        WHERE copy > 1),
+    kept AS (
+        SELECT l.doc_id, count(gone.q) AS n, string_agg(l.q::VARCHAR, ',' ORDER BY l.q) FILTER (WHERE gone.q IS NOT NULL) AS g,
+               string_agg(x, chr(10) ORDER BY l.q) FILTER (WHERE gone.q IS NULL) AS body
+        FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.q = gone.q GROUP BY l.doc_id)
+    SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_deleted, coalesce(g, '') AS deleted_lines,
+           sha256(coalesce(body, '')) AS kept_sha256
+    FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id
+    """,
+)
+def op2_line_runs(spark, sf):
+    docs = lineruns.dedup(table(spark, sf, "documents").select("doc_id", "text"))
+    return docs.select(
+        "doc_id",
+        F.coalesce(F.size("gone_lines"), F.lit(0)).cast("long").alias("n_deleted"),
+        F.coalesce(F.array_join("gone_lines", ","), F.lit("")).alias("deleted_lines"),
+        F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"),
+    )
