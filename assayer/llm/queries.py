@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, decontaminate, fingerprint, lineruns, resample, secrets, warczip
+from assayer.llm import bpe, decontaminate, fingerprint, jaccard, lineruns, resample, secrets, warczip
 from assayer.plans.registry import query
 from assayer.session import fresh_path, table
 
@@ -102,3 +102,8 @@ def op2_line_runs(spark, sf):
         F.coalesce(F.array_join("gone_lines", ","), F.lit("")).alias("deleted_lines"),
         F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"),
     )
+
+
+@query("op3_ngram_jaccard")
+def op3_ngram_jaccard(spark, sf):
+    return jaccard.joined(table(spark, sf, "documents"), size=3, num=90, den=100).drop("_th")
