@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, decontaminate, fingerprint, jaccard, lineruns, resample, secrets, warczip
+from assayer.llm import bpe, decontaminate, fingerprint, jaccard, lineruns, resample, secrets, toxicity, warczip
 from assayer.plans.registry import query
 from assayer.session import fresh_path, table
 
@@ -107,3 +107,12 @@ def op2_line_runs(spark, sf):
 @query("op3_ngram_jaccard")
 def op3_ngram_jaccard(spark, sf):
     return jaccard.joined(table(spark, sf, "documents"), size=3, num=90, den=100).drop("_th")
+
+
+@query("op6_toxicity")
+def op6_toxicity(spark, sf):
+    """Learned from labels whose key's checksum leaves a remainder; the others are held out."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    labels = table(spark, sf, "labels").where(~held_out)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return toxicity.scored(docs, labels).select("doc_id", held_out.alias("held_out"), "score", "predicted")
