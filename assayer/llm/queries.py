@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, decontaminate, fingerprint, jaccard, lineruns, resample, secrets, toxicity, warczip
+from assayer.llm import bpe, decontaminate, fingerprint, jaccard, lineruns, pii, resample, secrets, toxicity, warczip
 from assayer.plans.registry import query
 from assayer.session import fresh_path, table
 
@@ -116,3 +116,8 @@ def op6_toxicity(spark, sf):
     labels = table(spark, sf, "labels").where(~held_out)
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return toxicity.scored(docs, labels).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op1_pii_boosting")
+def op1_pii_boosting(spark, sf):
+    return pii.scan(table(spark, sf, "documents"))
