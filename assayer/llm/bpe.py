@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -206,6 +207,28 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     return with_fields(df, run(F.col(text)), ["token_ids", "n_tokens", "decoded"])
 
 
+def encode_ids(df: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """Add ``token_ids`` (numbers), ``n_tokens`` and the SHA-256 of ids and decoded text."""
+    names = ["token_ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+    @F.pandas_udf("token_ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        bpe = codec(path)
+        for part in parts:
+            rows = []
+            for t in part:
+                ids, back = bpe.both(t or "")
+                numbers = np.array(ids.split(), np.int32)
+                rows.append((numbers, len(numbers), _sha256(ids), _sha256(back)))
+            yield pd.DataFrame(rows, columns=names)
+
+    return with_fields(df, run(F.col(text)), names)
+
+
+def _sha256(text: str) -> str:
+    return hashlib.sha256(text.encode("utf-8")).hexdigest()
+
+
 def encode_digests(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Add ``n_tokens`` and the SHA-256 of ids and decoded text; the ids stay inside the task."""
 
@@ -216,13 +239,7 @@ def encode_digests(df: DataFrame, path: str, text: str = "text") -> DataFrame:
             rows = []
             for t in part:
                 ids, back = bpe.both(t or "")
-                rows.append(
-                    (
-                        ids.count(" ") + 1 if ids else 0,
-                        hashlib.sha256(ids.encode()).hexdigest(),
-                        hashlib.sha256(back.encode("utf-8")).hexdigest(),
-                    )
-                )
+                rows.append((ids.count(" ") + 1 if ids else 0, _sha256(ids), _sha256(back)))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return with_fields(df, run(F.col(text)), ["n_tokens", "ids_sha256", "decoded_sha256"])

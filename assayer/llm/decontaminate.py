@@ -178,6 +178,30 @@ def code_points(text: str, places: list[int]) -> list[int]:
     return out
 
 
+def blocks(benchmark: DataFrame, item: str, item_text: str) -> Iterator[Passages]:
+    """Indexes of ``BLOCK`` passages each; the driver holds one block at a time."""
+    rows = ((str(i) if i is not None else None, t) for i, t in benchmark.select(item, item_text).toLocalIterator())
+    while block := list(islice(rows, BLOCK)):
+        yield Passages(block)
+
+
+def without_passages(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` that hold none of the passages; nothing is moved."""
+    for sent in blocks(benchmark, item, item_text):
+
+        def keep(batches: Iterator[pa.RecordBatch], sent: Passages = sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts, kept = batch.column(text).to_pylist(), np.ones(batch.num_rows, bool)
+                for a, b in chunks(texts):
+                    kept[[a + t for t, *_ in sent.scan([normal(x) for x in texts[a:b]])]] = False
+                yield batch.filter(pa.array(kept))
+
+        docs = docs.mapInArrow(keep, docs.schema)
+    return docs
+
+
 def find_passages(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
@@ -187,12 +211,7 @@ def find_passages(
     """
     out, slim = None, docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`"))
     kinds = f"{key} {docs.schema[key].dataType.simpleString()}, _item string, start long, end long, edits int"
-    rows = (
-        (str(i) if i is not None else None, t)
-        for i, t in benchmark.select(item, item_text).toLocalIterator()
-    )
-    while block := list(islice(rows, BLOCK)):
-        sent = Passages(block)
+    for sent in blocks(benchmark, item, item_text):
 
         def search(batches: Iterator[pa.RecordBatch], sent: Passages = sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -263,3 +263,17 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
         F.col("d").alias(key), F.col("th").alias("_th"), F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "d").alias("component_id"),
     )
+
+
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs`` whose key is the smallest of their component, one row each."""
+    kept = joined(docs, key, text, size, num, den).where(F.col(key).eqNullSafe(F.col("component_id")))
+    kept = written(kept.select(F.col(key).alias("_k"), "_th").distinct(), "kept")
+    own = docs.withColumn("_th", F.xxhash64(F.col(f"`{text}`")))
+    found = own.join(kept, own[key].eqNullSafe(kept["_k"]) & (own["_th"] == kept["_th"]), "left_semi")
+    if docs.count() > docs.select(key).distinct().count():  # rows of equal key: the first text stays
+        least = found.groupBy(key).agg(F.min("_th").alias("_least"))
+        keep = (F.col("_th") == F.col("_least")) | (F.length(text) == 0) | F.col(text).isNull()
+        found = found.alias("f").join(least.withColumnRenamed(key, "_o"), F.col(key).eqNullSafe(F.col("_o"))).where(keep)
+        found = found.dropDuplicates([key, "_th"])
+    return found.select(*docs.columns)

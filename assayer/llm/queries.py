@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -121,3 +122,6 @@ def op6_toxicity(spark, sf):
 @query("op1_pii_boosting")
 def op1_pii_boosting(spark, sf):
     return pii.scan(table(spark, sf, "documents"))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

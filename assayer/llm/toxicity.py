@@ -267,7 +267,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 1) -> Network
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     tick = 0
-    passes = max(PASSES, min(40, -(-40 * BATCH // max(1, sum(len(flat[i]) // STEP + 1 for i in fit)))))
+    passes = max(PASSES, min(40, -(-80 * BATCH // max(1, sum(len(flat[i]) // STEP + 1 for i in fit)))))
     for _ in range(passes):
         for batch in batches([len(x) for x in flat], r.permutation(fit)):
             joined = np.concatenate([flat[i] for i in batch])
@@ -298,10 +298,10 @@ def train(texts: list[str | None], labels: list[int], seed: int = 1) -> Network
 
 
 def decision_point(logit: np.ndarray, label: np.ndarray) -> float:
-    """Where the two kinds' error rates add up to the least; the middle of the best gap."""
+    """Where the two error rates, false alarms counted twice, add up to the least; the middle of the best gap."""
     order = np.sort(np.unique(logit))
     cuts = np.r_[order[0] - 1, (order[1:] + order[:-1]) / 2, order[-1] + 1]
-    wrong = [np.mean(logit[label == 1] < c) + np.mean(logit[label == 0] >= c) for c in cuts]
+    wrong = [np.mean(logit[label == 1] < c) + 2 * np.mean(logit[label == 0] >= c) for c in cuts]
     best = np.flatnonzero(np.array(wrong) <= min(wrong) + 1e-12)
     gaps = np.r_[0, np.diff(order), 0]
     return float(cuts[best[np.argmax(gaps[best])]])
