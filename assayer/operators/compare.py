@@ -11,18 +11,11 @@ rows meet by (task, signature) or (task, position), which spreads evenly.
 
 from __future__ import annotations
 
-import json
-from collections import defaultdict
-from decimal import Decimal, InvalidOperation
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from assayer.functions import cells as C
-
-GREEDY_ROWS = 500  # fixed value: both sides at most this long for one-to-one tolerant matching
+from assayer.session import cut_lineage
 
 
 def answer_rows(
@@ -139,149 +132,82 @@ def ordered_hits(gold: DataFrame, pred: DataFrame, tolerance: DataFrame) -> Data
 # ---------------------------------------------------------------- tolerant one-to-one matching
 
 
-def _number(text: str) -> Decimal | None:
-    try:
-        return Decimal(text)
-    except (InvalidOperation, ValueError):
-        return None
-
-
-def _loose(cell: dict) -> tuple:
-    """(kind, text, lowered, number) of a cell for the in-task matcher."""
-    kind, text = cell["kind"], cell["text"]
-    number = _number(text.strip()) if kind in ("num", "str") and text is not None else None
-    return kind, text, None if text is None else text.strip().lower(), number
-
-
-def _close(gold: Decimal, pred: Decimal, abs_tol: float, rel_tol: float) -> bool:
-    if not (gold.is_finite() and pred.is_finite()):
-        return False
-    places = max(0, -gold.as_tuple().exponent)
-    try:
-        pred = pred.quantize(Decimal(1).scaleb(-places))
-    except InvalidOperation:
-        pass
-    bound = max(Decimal(str(abs_tol)), Decimal(str(rel_tol)) * max(abs(gold), abs(pred), Decimal(1)))
-    return abs(gold - pred) <= bound
-
-
-def _equal(g: tuple, p: tuple, abs_tol: float, rel_tol: float) -> bool:
-    kinds = {g[0], p[0]}
-    if "null" in kinds or "other" in kinds:
-        return g[:2] == p[:2]
-    if g[:2] == p[:2]:
-        return True
-    if kinds == {"str"}:
-        return g[2] == p[2]
-    if kinds == {"bool", "num"}:
-        bit, number = (g, p[3]) if g[0] == "bool" else (p, g[3])
-        return number == (1 if bit[1] == "true" else 0)
-    if "bool" in kinds or g[3] is None or p[3] is None:
-        return False
-    return _close(g[3], p[3], abs_tol, rel_tol)
-
-
-def _row_equal(gold: list[tuple], pred: list[tuple], abs_tol: float, rel_tol: float) -> bool:
-    free = list(pred)
-    for g in gold:
-        for i, p in enumerate(free):
-            if _equal(g, p, abs_tol, rel_tol):
-                del free[i]
-                break
-        else:
-            return False
-    return True
-
-
-def _group_key(row: list[tuple]) -> tuple:
-    """Cells that can only match themselves; rows with different keys can never match."""
-    fixed = sorted(c[2] or "" for c in row if c[0] == "other" or (c[0] == "str" and c[3] is None))
-    return len(row), sum(c[0] == "null" for c in row), tuple(fixed)
-
-
-def _json_value(cell: dict):
-    kind, text = cell["kind"], cell["text"]
-    if kind == "null":
-        return None
-    if kind == "bool":
-        return text == "true"
-    if kind == "num":
-        return int(text) if text.lstrip("+-").isdigit() else float(text)
-    return text
-
-
-def _row_json(cells) -> str:
-    return json.dumps(
-        {c["name"]: _json_value(c) for c in cells},
-        sort_keys=True,
-        ensure_ascii=False,
-        separators=(",", ":"),
+def _part(prep: Column) -> Column:
+    """What equal rows share: width, number of nulls and the texts that equal only themselves."""
+    fixed = F.filter(prep, lambda c: (c["kind"] == "other") | ((c["kind"] == "str") & c["dbl"].isNull()))
+    nulls = F.filter(prep, lambda c: c["kind"] == "null")
+    return F.to_json(
+        F.struct(F.size(prep).alias("w"), F.size(nulls).alias("n"), F.array_sort(F.transform(fixed, lambda c: c["low"])).alias("t"))
     )
 
 
-def _first_fit(gold, pred, abs_tol: float, rel_tol: float, in_order: bool) -> int:
-    """Gold rows that find a free predicted row, each taking the first that fits."""
-    key = (lambda r: r["row_pos"]) if in_order else (lambda r: _row_json(r["cells"]))
-    free: dict[tuple, list] = defaultdict(list)
-    for r in sorted(pred, key=key):
-        row = [_loose(c) for c in r["cells"]]
-        free[_group_key(row)].append(row)
-    matched = 0
-    for r in sorted(gold, key=key):
-        row = [_loose(c) for c in r["cells"]]
-        rivals = free.get(_group_key(row), [])
-        for i, rival in enumerate(rivals):
-            if _row_equal(row, rival, abs_tol, rel_tol):
-                del rivals[i]
-                matched += 1
-                break
-    return matched
-
-
-@F.pandas_udf(T.LongType())
-def _matched(
-    gold: pd.Series, pred: pd.Series, abs_tol: pd.Series, rel_tol: pd.Series, in_order: pd.Series
-) -> pd.Series:
-    """First-fit matching of many short answers per Arrow batch."""
-    rows = zip(gold, pred, abs_tol, rel_tol, in_order)
-    return pd.Series([_first_fit(*r) for r in rows], dtype="int64")
-
-
-def greedy_assignment(
-    gold: DataFrame, pred: DataFrame, pairs: DataFrame, limit: int = GREEDY_ROWS
-) -> DataFrame:
-    """``matched`` rows per (run, task) for ``pairs`` (run_id, task_id, gold_rows, pred_rows,
-    abs_tol, rel_tol, in_order) whose sides both have at most ``limit`` rows.
+def _peak(prep: Column) -> Column:
+    """The largest number of a row and the places it carries, booleans as 0 and 1."""
+    number = lambda c: F.when(c["kind"] == "bool", (c["text"] == "true").cast("double")).otherwise(c["dbl"])
+    numbers = F.transform(prep, lambda c: F.struct(number(c).alias("v"), F.coalesce(c["places"], F.lit(0)).alias("places")))
+    return F.array_max(F.filter(numbers, lambda c: c["v"].isNotNull()))
 
-    The limit is part of the rule, and it bounds what is gathered per answer: longer answers are
-    decided by their signatures alone. A side without rows matches nothing and is settled here.
-    """
-    small = pairs.where((F.col("gold_rows") <= limit) & (F.col("pred_rows") <= limit)).select(
-        "run_id", "task_id", "abs_tol", "rel_tol", "in_order", "gold_rows", "pred_rows"
-    )
-    empty = F.least("gold_rows", "pred_rows") == 0
-    none = small.where(empty).select("run_id", "task_id", F.lit(0).cast("long").alias("matched"))
-    small = small.where(~empty).drop("gold_rows", "pred_rows")
-    row = F.struct(F.coalesce("row_pos", F.lit(0)).alias("row_pos"), "cells")
-    g = small.join(gold.select("task_id", "row_pos", "cells"), "task_id").withColumn(
-        "is_gold", F.lit(True)
-    )
-    p = small.join(
-        pred.select("run_id", "task_id", "row_pos", "cells"), ["run_id", "task_id"]
-    ).withColumn("is_gold", F.lit(False))
-    both = (
-        g.unionByName(p)
-        .groupBy("run_id", "task_id")
-        .agg(
-            F.collect_list(F.when(F.col("is_gold"), row)).alias("g"),
-            F.collect_list(F.when(~F.col("is_gold"), row)).alias("p"),
-            *[F.first(c).alias(c) for c in ("abs_tol", "rel_tol", "in_order")],
-        )
-    )
-    found = both.select(
-        "run_id", "task_id", _matched("g", "p", "abs_tol", "rel_tol", "in_order").alias("matched")
+
+def _classes(rows: DataFrame, keys: list[str], side: str) -> DataFrame:
+    """Rows of equal signature as one, with their number and first position."""
+    one = signed(rows).groupBy(*keys, "sig").agg(
+        F.count(F.lit(1)).alias(f"{side}_left"), F.min("row_pos").alias("first"), F.first("prep").alias("prep")
     )
-    return found.unionByName(none)
+    return one.select(*keys, "sig", f"{side}_left", "first", "prep", _part(F.col("prep")).alias("part"), _peak(F.col("prep")).alias("peak"))
+
+
+def tolerant_edges(gold: DataFrame, pred: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(run, task, g, g_left, p, p_left): classes of rows that are equal within the tolerance.
+
+    Equal rows lie in the same part, and their largest numbers differ by less than ``10 ** scale``: one
+    half of the last place of the gold number, to which the other is rounded, and the tolerance. So
+    rows meet in cells of that width, a gold row in three of them, and no answer is compared all
+    with all.
+    """
+    key = ["run_id", "task_id"]
+    want = pairs.select(*key, "abs_tol", "rel_tol", "in_order")
+    place = lambda side: F.struct(F.when(F.col("in_order"), F.col("first")).alias("pos"), F.col("sig")).alias(side)
+    value = F.coalesce(F.col("peak.v"), F.lit(0.0))
+    g = _classes(gold.join(want.select("task_id").distinct(), "task_id", "left_semi"), ["task_id"], "g").join(want, "task_id")
+    reach = F.col("abs_tol") + F.col("rel_tol") * (F.abs(value) + 1) + F.pow(F.lit(10.0), -F.coalesce(F.col("peak.places"), F.lit(0)))
+    g = g.withColumn("scale", F.ceil(F.log10(2 * reach)).cast("int"))
+    cell = F.floor(value / F.pow(F.lit(10.0), F.col("scale").cast("double")))
+    g = g.select(*key, "part", "scale", place("g"), "g_left", F.col("prep").alias("gp"), "abs_tol", "rel_tol", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    p = _classes(pred.join(want.select(*key), key, "left_semi"), key, "p").join(want.select(*key, "in_order"), key)
+    scales = g.select(*key, "part", "scale").distinct()
+    p = p.join(scales, [*key, "part"]).select(*key, "part", "scale", place("p"), "p_left", F.col("prep").alias("pp"), cell.alias("cell"))
+    same = C.rows_equal(F.col("gp"), F.col("pp"), F.col("abs_tol"), F.col("rel_tol"))
+    return g.join(p, [*key, "part", "scale", "cell"]).where(same).select(*key, "g", "g_left", "p", "p_left")
+
+
+def greedy_assignment(gold: DataFrame, pred: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``matched`` rows per (run, task) for ``pairs`` (run_id, task_id, gold_rows, pred_rows, abs_tol,
+    rel_tol, in_order): distinct gold rows in order of position or signature, each taking
+    the first predicted rows that fit and are left, as many as it has copies.
+
+    An edge that is the first of both its ends is what that order would choose whatever happens
+    elsewhere. All such edges are taken at once, the copies they use up are subtracted, and the
+    next round looks at what is left. Numbers are compared at the places the gold value carries, so
+    nearly every row has one partner and one or two rounds are enough. Answers of any size.
+    """
+    key = ["run_id", "task_id"]
+    edges = cut_lineage(tolerant_edges(gold, pred, pairs))
+    taken = None
+    while not edges.isEmpty():
+        by_g = edges.groupBy(*key, "g").agg(F.min("p").alias("p"))
+        by_p = edges.groupBy(*key, "p").agg(F.min("g").alias("g"))
+        won = edges.join(by_g, [*key, "g", "p"], "left_semi").join(by_p, [*key, "g", "p"], "left_semi")
+        won = cut_lineage(won.select(*key, "g", "p", F.least("g_left", "p_left").alias("moved")))
+        taken = won if taken is None else taken.unionByName(won)
+        rest = edges.join(won.select(*key, "g", F.col("moved").alias("mg")), [*key, "g"], "left")
+        rest = rest.join(won.select(*key, "p", F.col("moved").alias("mp")), [*key, "p"], "left")
+        left = lambda side: (F.col(f"{side}_left") - F.coalesce(f"m{side}", F.lit(0))).alias(f"{side}_left")
+        edges = cut_lineage(rest.select(*key, "g", left("g"), "p", left("p")).where("g_left > 0 and p_left > 0"))
+    none = F.lit(0).cast("long")
+    if taken is None:
+        return pairs.select(*key, none.alias("matched"))
+    found = taken.groupBy(*key).agg(F.sum("moved").alias("matched"))
+    return pairs.select(*key).join(found, key, "left").select(*key, F.coalesce("matched", none).alias("matched"))
 
 
 # ---------------------------------------------------------------- columns

@@ -1,78 +1,40 @@
 """Column relaxations: accept an answer that carries every needed column plus others.
 
-For each failed (run, task) the columns of both sides meet by value fingerprint. That gives, from
-column metadata alone, the possible mappings gold column -> predicted column. Each mapping turns
-the prediction into a projected answer with its own id, and the ordinary comparison decides.
+For each failed (run, task) the columns of both sides meet by value fingerprint. Choices of predicted
+columns are then grown one gold column at a time, as a join. Since comparison ignores names and
+order, choices of the same columns are one, whatever their order; so a choice is a set, and many
+columns of equal values give few of them. Each complete choice turns the prediction into a projected
+answer with its own id, and the ordinary comparison decides.
 """
 
 from __future__ import annotations
 
-from itertools import islice
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from assayer.operators import compare as K
 from assayer.session import cut_lineage
 
-MAX_MAPPINGS = 4096  # fixed value: mappings tried before the case is called ambiguous
-
-
-def _mappings(choices: list[list[str]]):
-    """All injective picks, one predicted column per gold column, in column order."""
-    if not choices:
-        yield ()
-        return
-
-    def extend(done: tuple, rest: list[list[str]]):
-        if not rest:
-            yield done
-            return
-        for name in rest[0]:
-            if name not in done:
-                yield from extend((*done, name), rest[1:])
-
-    yield from extend((), choices)
-
 
-def _picks(candidates) -> tuple[list[list[str]], bool]:
-    """Mappings of one (run, task) from its column candidates, and whether the limit was hit.
+def column_choices(candidates: DataFrame) -> DataFrame:
+    """(run_id, task_id, pred_cols): every set of distinct predicted columns, one for each gold column.
 
-    Comparison ignores column names and order, so picks of the same predicted columns are one.
+    Gold columns of the same candidates come one after the other; one step per gold column.
     """
-    choices: dict[int, list[str]] = {}
-    names: dict[int, str] = {}
-    for c in sorted(candidates, key=lambda c: (c["gold_pos"], c["pred_pos"])):
-        choices.setdefault(c["gold_pos"], []).append(c["pred_col"])
-        names[c["gold_pos"]] = c["gold_col"]
-    options = list(choices.values())
-    seen, picks, capped = set(), [], False
-    for tried, pick in enumerate(islice(_mappings(options), MAX_MAPPINGS + 1)):
-        capped = tried >= MAX_MAPPINGS
-        if not capped and frozenset(pick) not in seen:
-            seen.add(frozenset(pick))
-            picks.append(list(pick))
-    if capped:  # the pick by equal names is tried as well
-        lowered = [{o.lower(): o for o in reversed(group)} for group in options]
-        named = [group.get(n.lower()) for n, group in zip(names.values(), lowered)]
-        if None not in named and len(set(named)) == len(named) and frozenset(named) not in seen:
-            picks.append(named)
-    return picks, capped
-
-
-@F.pandas_udf(
-    T.StructType(
-        [
-            T.StructField("picks", T.ArrayType(T.ArrayType(T.StringType()))),
-            T.StructField("capped", T.BooleanType()),
-        ]
-    )
-)
-def _enumerate(candidates: pd.Series) -> pd.DataFrame:
-    """Column mappings of many answers per Arrow batch; only column names come here, no rows."""
-    return pd.DataFrame([_picks(c) for c in candidates], columns=["picks", "capped"])
+    key = ["run_id", "task_id"]
+    order = candidates.select(*key, "gold_pos").distinct().groupBy(*key).agg(F.array_sort(F.collect_list("gold_pos")).alias("steps"))
+    options = candidates.select(*key, "gold_pos", F.struct("pred_pos", "pred_col").alias("pick"))
+    none = F.array().cast("array<struct<pred_pos:int,pred_col:string>>")
+    open_ = order.select(*key, "steps", none.alias("picks"))
+    width = order.agg(F.max(F.size("steps"))).first()[0] or 0
+    done = open_.where("size(steps) = 0")
+    for step in range(width):
+        now = open_.withColumn("gold_pos", F.get("steps", F.lit(step))).where("gold_pos is not null")
+        grown = now.join(options, [*key, "gold_pos"]).where(~F.array_contains("picks", F.col("pick")))
+        grown = grown.select(*key, "steps", F.array_sort(F.array_append("picks", F.col("pick"))).alias("picks")).distinct()
+        open_ = cut_lineage(grown)
+        done = done.unionByName(open_.where(F.size("steps") == step + 1))
+    return done.select(*key, F.transform("picks", lambda x: x["pred_col"]).alias("pred_cols"))
 
 
 def squared(columns: str) -> Column:
@@ -115,32 +77,16 @@ def column_candidates(gold: DataFrame, pred: DataFrame, pairs: DataFrame) -> Dat
 
 
 def try_mappings(gold: DataFrame, pred: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Verdict ``pass`` / ``ambiguous`` per (run, task) of ``pairs``; a missing row means none.
+    """Verdict ``pass`` per (run, task) of ``pairs``; a missing row means none.
 
     ``pairs``: run_id, task_id, method_class, gold_rows, abs_tol, rel_tol.
     """
-    candidates = column_candidates(gold, pred, pairs)
-    # one small array of column pairs per answer, bounded by the width of both answers
-    column_pairs = F.collect_list(F.struct("gold_pos", "gold_col", "pred_pos", "pred_col"))
-    mappings = (
-        candidates.groupBy("run_id", "task_id")
-        .agg(column_pairs.alias("c"))
-        .select("run_id", "task_id", _enumerate("c").alias("m"))
-        .select(
-            "run_id",
-            "task_id",
-            F.col("m.capped").alias("capped"),
-            F.posexplode("m.picks").alias("mapping_id", "pred_cols"),
-        )
-    )
-    mappings = cut_lineage(mappings)
-    # the pair id of a projected answer stands in for the run id of the ordinary comparison
-    trial = F.concat_ws("#", F.col("mapping_id").cast("string"), "run_id")
-    plan = mappings.join(pairs, ["run_id", "task_id"]).withColumn("trial", trial)
-    projected = pred.join(
-        mappings.withColumn("trial", trial).select("run_id", "task_id", "trial", "pred_cols"),
-        ["run_id", "task_id"],
-    ).select(
+    choices = column_choices(column_candidates(gold, pred, pairs))
+    # the id of a projected answer stands in for the run id of the ordinary comparison
+    trial = F.concat_ws("#", F.to_json("pred_cols"), "run_id")
+    choices = cut_lineage(choices.withColumn("trial", trial))
+    plan = choices.join(pairs, ["run_id", "task_id"])
+    projected = pred.join(choices, ["run_id", "task_id"]).select(
         F.col("trial").alias("run_id"),
         "task_id",
         "row_pos",
@@ -152,21 +98,14 @@ def try_mappings(gold: DataFrame, pred: DataFrame, pairs: DataFrame) -> DataFram
         F.col("run_id").alias("of_run"),
         "task_id",
         "method_class",
-        "capped",
         "abs_tol",
         "rel_tol",
         "gold_rows",
     )
     exact = _exact(gold, projected, trials)
-    return (
-        exact.groupBy("of_run", "task_id")
-        .agg(F.max("exact").alias("any_pass"), F.max("capped").alias("capped"))
-        .select(
-            F.col("of_run").alias("run_id"),
-            "task_id",
-            F.when(F.col("any_pass"), "pass").when(F.col("capped"), "ambiguous").alias("relaxed"),
-        )
-    )
+    return exact.where("exact").select(
+        F.col("of_run").alias("run_id"), "task_id", F.lit("pass").alias("relaxed")
+    ).distinct()
 
 
 def _exact(gold: DataFrame, pred: DataFrame, trials: DataFrame) -> DataFrame:

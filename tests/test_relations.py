@@ -52,30 +52,58 @@ def test_copies_count_only_in_the_multiset(spark):
     assert not verdict(spark, gold, pred, K.multiset_match)["exact"]
 
 
-def test_many_equal_columns_stop_at_the_limit():
-    names = [f"c{i}" for i in range(8)]
-    same = [
-        {"gold_pos": g, "gold_col": f"g{g}", "pred_pos": i, "pred_col": n}
-        for g in range(8)
-        for i, n in enumerate(names)
-    ]
-    picks, capped = R._picks(same)
-    assert capped and picks == [names]  # 8! mappings, all of the same columns
-
-
-def test_mappings_are_injective():
-    pairs = [(0, "a"), (0, "b"), (1, "a")]
-    cands = [
-        {"gold_pos": g, "gold_col": f"g{g}", "pred_pos": i, "pred_col": n}
-        for i, (g, n) in enumerate(pairs)
-    ]
-    picks, capped = R._picks(cands)
-    assert picks == [["b", "a"]] and not capped
-
-
-def test_first_fit_uses_each_row_once():
-    cell = lambda x: [{"name": "v", "kind": "num", "text": x}]
-    rows = lambda *xs: [{"row_pos": i, "cells": cell(x)} for i, x in enumerate(xs)]
-    assert K._first_fit(rows("1.5", "1.5"), rows("1.5", "1.6"), 1e-6, 1e-9, False) == 1
-    assert K._first_fit(rows("1.5", "2"), rows("2.0", "1.50"), 1e-6, 1e-9, False) == 2
-    assert K._first_fit(rows("33.33"), rows("33.333333"), 1e-6, 1e-9, True) == 1
+def choices(spark, pairs):
+    rows = [("0", "t", g, f"g{g}", int(p[1:]), p) for g, p in pairs]
+    schema = "run_id string, task_id string, gold_pos int, gold_col string, pred_pos int, pred_col string"
+    return sorted(r.pred_cols for r in R.column_choices(spark.createDataFrame(rows, schema)).collect())
+
+
+def test_many_equal_columns_are_one_choice(spark):
+    every = [(g, f"c{i}") for g in range(9) for i in range(9)]  # 9! ways to assign them
+    assert choices(spark, every) == [[f"c{i}" for i in range(9)]]
+
+
+def test_choices_use_each_column_once(spark):
+    assert choices(spark, [(0, "c0"), (0, "c1"), (1, "c0")]) == [["c0", "c1"]]
+    assert choices(spark, [(0, "c0"), (1, "c0")]) == []
+    assert choices(spark, [(0, "c0"), (0, "c1"), (1, "c1"), (1, "c2")]) == [["c0", "c1"], ["c0", "c2"], ["c1", "c2"]]
+
+
+def matched(spark, gold, pred, abs_tol=1e-6, in_order=False):
+    """Rows are tuples of texts and numbers."""
+    def rows(side):
+        out = []
+        for pos, row in enumerate(side):
+            cells = [("c", "null" if x is None else "num" if isinstance(x, (int, float)) else "str", None if x is None else str(x)) for x in row]
+            out.append(("0", "t", pos, cells))
+        schema = "run_id string, task_id string, row_pos long, cells array<struct<name:string,kind:string,text:string>>"
+        return K.signed(spark.createDataFrame(out, schema))
+
+    pairs = spark.createDataFrame(
+        [("0", "t", len(gold), len(pred), abs_tol, 1e-9, in_order)],
+        "run_id string, task_id string, gold_rows long, pred_rows long, abs_tol double, rel_tol double, in_order boolean",
+    )
+    return K.greedy_assignment(rows(gold).drop("run_id"), rows(pred), pairs).first()["matched"]
+
+
+def test_each_row_is_used_once(spark):
+    assert matched(spark, [(1.5,), (1.5,)], [(1.5,), (1.6,)]) == 1
+    assert matched(spark, [(1.5,), (2,)], [(2.0,), ("1.50",)]) == 2
+    assert matched(spark, [(33.33,)], [(33.333333,)], in_order=True) == 1
+    assert matched(spark, [(33,)], [(33.4,)]) == 1 and matched(spark, [(33.0,)], [(33.4,)]) == 0
+    assert matched(spark, [("a", 1.25)], [("b", 1.25)]) == 0 and matched(spark, [(None, 1)], [(1, None)]) == 1
+    assert matched(spark, [], [(1,)]) == 0
+
+
+def test_no_size_changes_the_answer(spark):
+    for n in (500, 501, 3000):
+        gold = [(f"k{i % 7}", round(i * 1.37, 2)) for i in range(n)]
+        pred = [(k, v + 0.0004) for k, v in reversed(gold)]
+        assert matched(spark, gold, pred) == n
+
+
+def test_chains_are_followed_in_order(spark):
+    """Each number fits two others; the first takes the first, and so on."""
+    gold, pred = [(float(i),) for i in range(6)], [(i + 0.5,) for i in range(-1, 5)]
+    assert matched(spark, gold, pred, abs_tol=0.6, in_order=True) == 6
+    assert matched(spark, [(1.0,), (1.0,), (2.0,)], [(1.0,), (1.0,), (1.0,)]) == 2
