@@ -67,7 +67,7 @@ def expected_pairs(tasks: DataFrame, runs: Sequence[str]) -> DataFrame:
 
 
 def joined(tasks, gold_head, pred_head, runs) -> DataFrame:
-    """One row per (run, task) with both heads; a missing prediction stays as a row."""
+    """One row per (run, task) with both heads; a missing prediction or gold answer stays as a row."""
     gold = gold_head.select(
         "task_id",
         F.col("shape").alias("gold_shape"),
@@ -87,7 +87,7 @@ def joined(tasks, gold_head, pred_head, runs) -> DataFrame:
     )
     return (
         expected_pairs(tasks, runs)
-        .join(gold, "task_id")
+        .join(gold, "task_id", "left")
         .join(pred, ["run_id", "task_id"], "left")
     )
 
@@ -127,7 +127,11 @@ def score_tasks(
         gold_head,
         pred_head,
         runs,
-    ).withColumn("label", error_before_compare(F.col("method_class"), F.col("raw")))
+    )
+    no_gold = F.when(F.col("gold_shape").isNull(), F.lit("missing_gold"))
+    pairs = pairs.withColumn(
+        "label", F.coalesce(error_before_compare(F.col("method_class"), F.col("raw")), no_gold)
+    )
     by_rows = F.col("method_class").isin("set", "ordered")
     both_lists = (F.col("gold_shape") == "list") & (F.col("pred_shape") == "list")
     pairs = pairs.withColumn(

@@ -183,13 +183,17 @@ def multirun_task(scores: DataFrame, n_runs: int) -> DataFrame:
 
 
 def representative_error(scores: DataFrame) -> DataFrame:
-    """Most frequent error of a task over its runs; the one seen first wins a tie."""
+    """Most frequent error of a task over its runs; the one seen first wins a tie.
+
+    Runs follow each other by number where their ids are numbers, and by text after those.
+    """
+    number = F.coalesce(F.col("run_id").try_cast("long"), F.lit((1 << 63) - 1))
     counted = (
         scores.where("error_type is not null")
         .groupBy("task_id", "error_type")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("run_id").alias("seen"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(number, "run_id")).alias("seen"))
     )
-    best = F.max_by("error_type", F.struct("n", (-F.col("seen").cast("long")).alias("early")))
+    best = F.min_by("error_type", F.struct((-F.col("n")).alias("n"), "seen"))
     return counted.groupBy("task_id").agg(best.alias("error_type"))
 
 

@@ -53,7 +53,7 @@ def _violation(when: Column, rule: str, path: Column, observed: Column, expected
         F.struct(
             F.lit(rule).alias("rule"),
             path.alias("path"),
-            F.substring(observed.cast("string"), 1, 200).alias("observed"),
+            observed.cast("string").alias("observed"),
             F.lit(expected).alias("expected"),
         ),
     )

@@ -45,10 +45,11 @@ def as_of(
     Both sides are cut into (key, bucket) slices; a slice is sorted alone, and the last value of
     earlier slices is carried in from one row per slice. A key that holds a third of all rows is
     thereby spread over its buckets. ``bucket`` is an expression over ``time`` that grows with it.
-    Of several values at one time the largest is taken.
+    Of several values at one time the largest is taken. Rows of ``left`` without a key or a time stay
+    and get no value.
     """
     slice_ = "_slice"
-    points = right.groupBy(*keys, time).agg(F.max(value).alias("_value"))
+    points = right.dropna(subset=[*keys, time]).groupBy(*keys, time).agg(F.max(value).alias("_value"))
     lasts = (
         points.withColumn(slice_, bucket)
         .groupBy(*keys, slice_)
@@ -80,8 +81,12 @@ def as_of(
     carried = slices.select(
         *keys, slice_, F.last("_last", ignorenulls=True).over(before).alias("_carried")
     )
-    return filled.join(carried, [*keys, slice_]).select(
-        "_row.*", F.coalesce("_here", "_carried").alias(into)
+    a, b = filled.alias("a"), carried.alias("b")
+    same = F.lit(True)
+    for c in (*keys, slice_):
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return a.join(b, same, "left").select(
+        "a._row.*", F.coalesce("a._here", "b._carried").alias(into)
     )
 
 

@@ -294,17 +294,17 @@ def board_header(spark, sf):
 DEFECTS = {
     1: ('"entry_id":"2026-', '"entry_id":"x026-'),
     2: ('"data_snapshot_id":"snap', '"data_snapshot":"snap'),
-    3: ('"split":"full"', '"split":"holdout"'),
+    3: ('"split":"full"', '"split":"partial"'),
     4: ('"runs":3', '"runs":0'),
     5: ('"test_data_seen":false', '"test_data_seen":"no"'),
-    6: ('"organization":"supplier"', '"organization":"supplier","sponsor":"x"'),
+    6: ('"organization":"supplier"', '"organization":"supplier","remark":"x"'),
     7: ('"organization":"supplier"', '"organization":""'),
     8: ('"arm":"co', '"arm":"ho'),
     9: ('"arm":"', '"arms":"'),
     10: ('"name":"m"', '"name":7'),
     11: ('"human_in_loop":false', '"human_in_loop":false,"canary_check":"maybe"'),
     12: ('"human_in_loop":false', '"human_in_loop":false,"canary_check":null'),
-    13: ('"by_tier":{"', '"by_tier":{"0":1.4,"'),
+    13: ('"by_tier":{"', '"by_tier":{"0":1.75,"'),
     14: ('"pass_all":{"mean"', '"pass_all":{"share"'),
     15: ('"execution_accuracy":{"mean":0.', '"execution_accuracy":{"mean":9.'),
     16: ('"execution_accuracy":{', '"tokens":{"mean":null},"execution_accuracy":{'),
@@ -386,7 +386,7 @@ def check_required(spark, sf):
 
 @query(
     "check_unexpected",
-    _defects("2 | 'protocol.data_snapshot'", "6 | 'system.sponsor'", "9 | 'system.arms'"),
+    _defects("2 | 'protocol.data_snapshot'", "6 | 'system.remark'", "9 | 'system.arms'"),
 )
 def check_unexpected(spark, sf):
     return R.check_unexpected(documents(spark, sf), R.ENTRY_CLOSED).select("row_id", "path")

@@ -19,7 +19,8 @@ def scores(spark, sf):
     h = (F.col("conv_id") * 7 + F.col("turn") * 3 + F.col("run") * 5) % 4
     k = (F.col("conv_id") + F.col("turn") + F.col("run")) % 5
     system = F.col("role") == "system"
-    passed = F.when(~system, h != 0)
+    # every fifth conversation fails in all runs
+    passed = F.when(~system, (h != 0) & (F.col("conv_id") % 5 != 3))
     error = F.when(system, "rubric_pending").when(
         (h == 0) & (k == 0), "empty_prediction"
     ).when((h == 0) & (k == 1), "format_error")
@@ -57,7 +58,7 @@ WITH b AS (
     FROM conversations, (VALUES (0), (1), (2)) r(run)),
 s AS (
     SELECT run::VARCHAR AS run_id, conv_id || '_' || turn AS task_id, conv_id::VARCHAR AS session_id, turn,
-           CASE WHEN role <> 'system' THEN h <> 0 END AS passed, k / 4 AS row_f1, h / 4 AS precision,
+           CASE WHEN role <> 'system' THEN h <> 0 AND conv_id % 5 <> 3 END AS passed, k / 4 AS row_f1, h / 4 AS precision,
            (4 - h) / 4 AS recall, k / 8 AS column_match,
            CASE WHEN role = 'system' THEN 'rubric_pending' WHEN h = 0 AND k = 0 THEN 'empty_prediction'
                 WHEN h = 0 AND k = 1 THEN 'format_error' END AS error_type,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayer.functions import cells as C
+from assayer.session import fresh_path
 
 TASK = (
     "task_id string, session_id string, tier int, sql_difficulty string, primary_axis string, "
@@ -121,6 +122,16 @@ def prediction_problems(records: DataFrame) -> DataFrame:
     return missing.unionByName(twice)
 
 
+def refuse(problems: DataFrame, what: str) -> None:
+    """Raise if there are any ``problems``: all are written, a few are shown."""
+    path = fresh_path(problems.sparkSession, what.replace(" ", "-"))
+    problems.write.parquet(path)
+    found = problems.sparkSession.read.schema(problems.schema).parquet(path)
+    if many := found.count():
+        shown = [tuple(r) for r in found.orderBy(*found.columns).take(5)]
+        raise InputError(f"{many} {what}, all in {path}; the first: {shown}")
+
+
 def load_predictions(
     spark: SparkSession,
     path: str,
@@ -133,9 +144,7 @@ def load_predictions(
         F.regexp_extract("file_path", run, 1).alias("run_id"), "rec"
     )
     if check:
-        bad = prediction_problems(records).limit(5).collect()
-        if bad:
-            raise InputError(f"unusable predictions: {[tuple(b) for b in bad]}")
+        refuse(prediction_problems(records), "problems of predictions")
     return records
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.operators import rules as R
-from assayer.sources.answers import InputError
+from assayer.sources.answers import refuse
 
 METRIC = "struct<mean:double,std:double,runs:array<double>,n:bigint,unavailable_reason:string>"
 NAMED_METRICS = (
@@ -42,12 +42,11 @@ def typed_entries(documents: DataFrame) -> DataFrame:
 
 
 def load_entries(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Typed entries; raises with the first violations when any document is invalid.
+    """Typed entries; raises when any document is invalid, with the number of violations and the folder
+    that holds all of them.
 
     Files are checked for their names as well, lines have none to check.
     """
     docs = read_documents(spark, path, lines)
-    bad = R.check_entries(docs, None if lines else "stem").limit(5).collect()
-    if bad:
-        raise InputError(f"invalid entries: {[tuple(b) for b in bad]}")
+    refuse(R.check_entries(docs, None if lines else "stem"), "violations of entries")
     return typed_entries(docs)

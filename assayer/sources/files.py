@@ -79,7 +79,7 @@ def run_statements(spark: SparkSession, statements: dict[str, str]) -> tuple[Dat
             rows.write.mode("overwrite").parquet(f"{out}/task_id={task_id}")
             error = None
         except Exception as exc:  # noqa: BLE001 - the label is the result
-            error = f"gold_sql_execution_error: {str(exc)[:200]}"
+            error = f"gold_sql_execution_error: {exc}"
         log.append((task_id, time.monotonic() - start, error))
     if all(e for *_, e in log):
         schema = "row_pos long, cells " + "array<struct<name:string,kind:string,text:string>>, task_id string"

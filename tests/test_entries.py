@@ -53,44 +53,81 @@ def drop(*path):
     return change
 
 
-CASES = {
-    "renamed": (put("entry_id", "2026-01-01-renamed"), "identity"),
-    "no snapshot": (drop("protocol", "data_snapshot_id"), "required"),
-    "split": (put("protocol", "split", "holdout"), "enum"),
-    "inflated": (put("results", "execution_accuracy", {"mean": 0.9, "runs": [0.1, 0.1, 0.1]}), "mean_of_runs"),
-    "no reason": (put("results", "cost_usd_per_task", {"mean": None}), "null_reason"),
-    "text for flag": (put("declarations", "test_data_seen", "no"), "type"),
-    "extra field": (put("system", "sponsor", "x"), "unexpected"),
-    "tier above one": (put("results", "by_tier", "7", 1.4), "maximum"),
-    "no arm": (drop("system", "arm"), "required"),
-    "arm": (put("system", "arm", "reference"), "enum"),
-    "run count": (put("results", "execution_accuracy", {"mean": 0.5, "runs": [0.5]}), "run_count"),
-    "flag for number": (put("protocol", "runs", True), "type"),
-    "float for integer": (put("protocol", "denominator", 190.5), "type"),
-    "no mean": (drop("results", "execution_accuracy", "mean"), "required"),
-    "session turns": (put("results", "by_session", "S1", "turns_total", 0), "minimum"),
-    "metric field": (put("results", "execution_accuracy", "best", 1.0), "unexpected"),
+def spoilt(field):
+    """(what, value, rule) for every way to break one declared field by its own rule."""
+    kinds = set(field.types)
+    wrong = next(v for k, v in [("object", "text"), ("string", ["list"]), ("boolean", "maybe"), ("number", "many"), ("integer", 2.25)] if k in kinds)
+    yield "type", wrong, "type"
+    if field.enum:
+        yield "enum", "none of these", "enum"
+    if field.pattern:
+        yield "pattern", "~", "pattern"
+    if field.min_length:
+        yield "length", "", "min_length"
+    if field.minimum is not None:
+        yield "minimum", field.minimum - 3, "minimum"
+    if field.maximum is not None:
+        yield "maximum", field.maximum + 3, "maximum"
+
+
+def cases():
+    for field in R.ENTRY_FIELDS:
+        path = field.path.split(".")
+        if not all(isinstance(p, str) and p for p in path) or "*" in field.path:
+            continue
+        for what, value, rule in spoilt(field):
+            yield f"{field.path}:{what}", put(*path, value), rule
+        if field.required:
+            yield f"{field.path}:required", drop(*path), "required"
+
+
+def metric(**fields):
+    return put("results", "execution_accuracy", fields)
+
+
+CASES = {name: (change, rule) for name, change, rule in cases()} | {
+    "another file name": (put("entry_id", "2025-12-31-b"), "identity"),
+    "mean off its runs": (metric(mean=0.31, runs=[0.2, 0.3, 0.4]), "mean_of_runs"),
+    "fewer runs": (metric(mean=0.45, runs=[0.4, 0.5]), "run_count"),
+    "empty mean, no word why": (metric(mean=None), "null_reason"),
+    "undeclared": (put("model", "weight_gb", 3), "unexpected"),
+    "undeclared in a metric": (metric(mean=0.3, median=0.3), "unexpected"),
+    "no turns": (put("results", "by_session", "S1", "turns_total", -1), "minimum"),
 }
 
 
-def violations(spark, entry):
-    doc = spark.createDataFrame([("x", json.dumps(entry), "/r/2026-01-15-a.json")], "row_id string, doc string, stem string")
-    return {r["rule"] for r in R.check_entries(doc, "stem").collect()}
+def violations(spark, entries):
+    """Rules broken by each of the named entries, in one pass over all of them."""
+    rows = [(name, json.dumps(entry), "/r/2026-01-15-a.json") for name, entry in entries.items()]
+    docs = spark.createDataFrame(rows, "row_id string, doc string, stem string")
+    found = {name: set() for name in entries}
+    for r in R.check_entries(docs, "stem").collect():
+        found[r["row_id"]].add(r["rule"])
+    return found
 
 
-def test_good_entry(spark):
-    assert violations(spark, GOOD) == set()
-
-
-@pytest.mark.parametrize("name", CASES)
-def test_broken_entry(spark, name):
-    change, rule = CASES[name]
-    assert rule in violations(spark, broken(change))
+def test_broken_entries(spark):
+    found = violations(spark, {"good": GOOD} | {name: broken(change) for name, (change, _) in CASES.items()})
+    assert found["good"] == set()
+    assert [name for name, (_, rule) in CASES.items() if rule not in found[name]] == []
 
 
 def test_loader_refuses_a_bad_folder(spark, tmp_path):
     (tmp_path / "2026-01-15-a.json").write_text(json.dumps(GOOD))
     assert E.load_entries(spark, str(tmp_path)).first()["results"]["execution_accuracy"]["mean"] == 0.5
     (tmp_path / "2026-01-15-b.json").write_text(json.dumps(GOOD))
-    with pytest.raises(InputError):
+    with pytest.raises(InputError, match="violations of entries, all in"):
+        E.load_entries(spark, str(tmp_path))
+
+
+def test_every_violation_is_kept_whole(spark, tmp_path):
+    long = "~" * 500
+    for i in range(9):
+        entry = broken(put("system", "kind", f"{long}{i}"))
+        entry["entry_id"] = f"2026-01-15-{i}"
+        (tmp_path / f"2026-01-15-{i}.json").write_text(json.dumps(entry))
+    with pytest.raises(InputError) as refused:
         E.load_entries(spark, str(tmp_path))
+    path = str(refused.value).split("all in ")[1].split(";")[0]
+    found = [r["observed"] for r in spark.read.parquet(path).collect()]
+    assert {f"{long}{i}" for i in range(9)} <= {f.strip('"') for f in found}

@@ -108,3 +108,23 @@ def test_metrics_keep_the_penalty(scored):
     assert scored["missing_row"]["precision"] == 1.0
     assert scored["wrong"]["precision"] == 0.5
     assert scored["copies"]["row_f1"] == 1.0
+
+
+def test_errors_of_runs_with_text_ids(spark):
+    from assayer.operators import rollup as U
+
+    rows = [("run10", "t", "a"), ("run9", "t", "b"), ("10", "u", "x"), ("9", "u", "y"), ("9", "v", "x"), ("10", "v", "z"), ("11", "v", "z")]
+    got = {r.task_id: r.error_type for r in U.representative_error(spark.createDataFrame(rows, "run_id string, task_id string, error_type string")).collect()}
+    assert got == {"t": "a", "u": "y", "v": "z"}
+
+
+def test_as_of_keeps_rows_without_key_or_time(spark):
+    from pyspark.sql import functions as F
+
+    from assayer.operators import temporal as Tm
+
+    left = spark.createDataFrame([(1, 5, "a"), (None, 5, "b"), (1, None, "c"), (2, 5, "d")], "k int, t int, n string")
+    right = spark.createDataFrame([(1, 3, 7.0), (1, 9, 8.0), (None, 1, 9.0), (1, None, 1.0)], "k int, t int, v double")
+    out = Tm.as_of(left, right, ["k"], "t", "v", F.floor(F.col("t") / 4), "last").collect()
+    assert sorted((r.n, r["last"]) for r in out if r["last"] is not None) == [("a", 7.0)]
+    assert sorted(r.n for r in out) == ["a", "b", "c", "d"]

@@ -15,15 +15,16 @@ CLEAN = [
     ("data/binary.bin", '{"gold_sql":"x"} CB_T9_999_T1'),
 ]
 EXEMPT, BEARING, IGNORE = ["eval/SCORING.md"], ["sample/questions.json"], [".scratch/"]
-UNPUBLISHED = "CB_" + "T9_" + "999_T1"
-PLANTED = [
-    ("docs/private.md", f"See {UNPUBLISHED} for the case.", "unknown_ids"),
-    ("docs/dump.json", '{"task_id":"CB_T1_001_T1","answer_sha256":"dead"}', "sensitive_field"),
-    ("bench_questions_answers.md", "# key", "forbidden_name"),
-    ("data/gold_answers/CB_T1_001_T1.json", "{}", "forbidden_path"),
-    ("eval/SCORING.md", f"Worked example {UNPUBLISHED}", "unknown_ids"),
-    ("docs/turns.md", "Turn CB_MULTI_003_T7 again", "unknown_ids"),
-    ("sample/extra.json", '{"gold_sql" : "SELECT 1"}', "sensitive_field"),
+HIDDEN = [f"CB_T{tier}_{number:03d}_T1" for tier, number in ((2, 17), (5, 404), (8, 1))]
+PLANTED = [(f"notes/{i}.md", f"compare with ({h})", "unknown_ids") for i, h in enumerate(HIDDEN)]
+PLANTED += [
+    ("eval/SCORING.md", f"an exempt file may name fields, but not {HIDDEN[0]}", "unknown_ids"),
+    ("notes/session.md", "CB_MULTI_008 was never published", "unknown_ids"),
+    ("notes/next.md", "CB_MULTI_003_T5 follows the published turns", "unknown_ids"),
+    ("notes/fields.yaml", '"gold_sql": "SELECT 2"', "sensitive_field"),
+    ("notes/hash.json", '{"answer_sha256": "00ff"}', "sensitive_field"),
+    ("notes/gold_answers/readme.md", "nothing here", "forbidden_path"),
+    ("drafts/bench_questions_answers.txt", "nothing here", "forbidden_name"),
 ]
 
 
@@ -37,11 +38,11 @@ def test_clean_tree(spark):
     assert scan(spark, CLEAN) == []
 
 
-@pytest.mark.parametrize("case", PLANTED, ids=[c[2] + ":" + c[0] for c in PLANTED])
-def test_planted(spark, case):
-    doc, text, rule = case
-    found = scan(spark, [f for f in CLEAN if f[0] != doc] + [(doc, text)])
-    assert [(r["doc"], r["rule"]) for r in found] == [(doc, rule)]
+def test_planted(spark):
+    """Each planted file is found once, by its rule; files of the clean tree it replaces aside."""
+    taken = {doc for doc, _, _ in PLANTED}
+    found = scan(spark, [f for f in CLEAN if f[0] not in taken] + [(doc, text) for doc, text, _ in PLANTED])
+    assert sorted((r["doc"], r["rule"]) for r in found) == sorted((doc, rule) for doc, _, rule in PLANTED)
 
 
 def test_empty_allowlist_is_reported(spark):
