@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +37,17 @@ def fingerprints(spark: SparkSession, root: str, keep: str = "*") -> DataFrame:
     )
 
 
+def content_fingerprint(columns: list[Column]) -> Column:
+    """Aggregate of a table's content: the sum of 48 bits of each row's MD5, as text.
+
+    Rows are hashed where they lie and only sums move, so neither files nor row order matter, and
+    any number of rows of any file size will do. A null differs from every text but ``~``.
+    """
+    text = F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("~")) for c in columns])
+    bits = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("decimal(20,0)")
+    return F.coalesce(F.sum(bits), F.lit(0)).cast("decimal(38,0)").cast("string")
+
+
 def fingerprint_mismatches(actual: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files that differ from the manifest (file, sha256) or exist on one side only."""
     m = manifest.select("file", F.col("sha256").alias("expected"))
