@@ -413,6 +413,6 @@ def fingerprint(tokens: Callable[[], Column] | Column, weight: Column | int = 1)
     """Order-free fingerprint of a multiset of tokens: two sums of independent hashes."""
     t = tokens() if callable(tokens) else tokens
     w = F.lit(weight) if isinstance(weight, int) else weight
-    first = F.sum(F.xxhash64(t).cast("decimal(20,0)") * w.cast("decimal(12,0)"))
-    second = F.sum(F.xxhash64(F.lit(7), t).cast("decimal(20,0)") * w.cast("decimal(12,0)"))
+    first = F.sum(F.xxhash64(t).cast("decimal(20,0)") * w.cast("decimal(18,0)"))
+    second = F.sum(F.xxhash64(F.lit(7), t).cast("decimal(20,0)") * w.cast("decimal(18,0)"))
     return [first, second]
