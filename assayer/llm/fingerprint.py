@@ -15,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.base import with_columns, with_next
+from assayer.llm.base import with_next
+from assayer.session import cut_lineage
 
 #: Words in a shingle, kept fraction of the hash range, hashes kept at least.
 WORDS, FRACTION, LEAST = 5, 1 / 32, 48
@@ -88,32 +89,47 @@ def compared(df: DataFrame, a: str, b: str, held: str, jaccard: str) -> DataFram
     )
 
 
-def with_next_document(df: DataFrame, key: str, text: str) -> DataFrame:
+def keyed(df: DataFrame, key: Column, kind: str) -> DataFrame:
+    """``df`` dealt by ``key``, which becomes ``k`` and ``k_null``: two columns that equal joins can use."""
+    split = df.withColumn("k", F.coalesce(key, F.lit(0).cast(kind))).withColumn("k_null", key.isNull())
+    return split.repartition("k", "k_null")
+
+
+def with_next_document(rows: DataFrame, order: DataFrame, repeated: bool) -> DataFrame:
     """Add ``next_head``, the part of the next document's text that an edit needs, and ``next_sketch``.
 
-    Documents follow each other by ``key`` (null first, the last is followed by the first). Where
-    several rows have a key, the one whose text has the smallest hash stands for it. ``df`` needs
-    ``n_chars`` and ``sketch``; it moves once by ``key``, and heads and sketches move once more.
+    ``rows`` (k, k_null, text, sketch) is dealt by its key already and is read by both joins in the same
+    columns, so that texts move once; heads and sketches move once more, to the document before.
     """
-    keyed = df.withColumn("_th", F.xxhash64(text))
-    ids = keyed.groupBy(key).agg(
-        F.max(F.expr("n_chars div 4")).alias("_need"), F.min("_th").alias("_th"), F.count(F.lit(1)).alias("_rows")
+    asked = order.select(
+        F.coalesce("next", F.lit(0).cast(order.schema["key"].dataType)).alias("k"), F.col("next").isNull().alias("k_null"),
+        F.col("key").alias("_for"), "need", "next_th",
     )
-    order = with_next(ids, key, "_next")
-    repeated = order.agg(F.max("_rows")).first()[0]
-    asked = order.select(F.col("_next").alias("_k"), F.col(key).alias("_for"), "_need")
-    asked = asked.join(order.select(F.col(key).alias("_own"), "_th"), F.col("_k").eqNullSafe(F.col("_own")))
-    found = keyed.alias("d").join(
-        asked.alias("q"), F.col(f"d.{key}").eqNullSafe(F.col("q._k")) & (F.col("d._th") == F.col("q._th"))
+    # written so that the hash does not become a join key, for which the texts would be dealt again
+    right_text = F.xxhash64("text").bitwiseXOR(F.col("next_th")) == 0
+    found = rows.join(asked, ["k", "k_null"]).where(right_text).select(
+        F.coalesce("_for", F.lit(0).cast(order.schema["key"].dataType)).alias("k"), F.col("_for").isNull().alias("k_null"),
+        F.expr("left(text, int(need))").alias("next_head"), F.col("sketch").alias("next_sketch"),
     )
-    found = found.select(
-        F.col("q._for"),
-        F.expr(f"left(d.`{text}`, int(q._need))").alias("next_head"),
-        F.col("d.sketch").alias("next_sketch"),
+    if repeated:  # equal rows would each bring an answer
+        found = found.dropDuplicates(["k", "k_null"])
+    return rows.join(found, ["k", "k_null"])
+
+
+def followers(df: DataFrame, key: str, text: str) -> tuple[DataFrame, bool]:
+    """Per distinct ``key``: the ``next`` one, the hash ``next_th`` of its text and the code points ``need``ed
+    of it; and whether any key repeats.
+
+    Keys follow each other in ascending order (null first, the last is followed by the first). Where
+    several rows have a key, the one whose text has the smallest hash stands for it.
+    """
+    ids = df.groupBy(F.col(key).alias("key")).agg(
+        F.max(F.expr(f"length({text}) div 4")).alias("need"), F.min(F.xxhash64(text)).alias("th"), F.count(F.lit(1)).alias("rows")
     )
-    if repeated and repeated > 1:  # equal rows would each bring an answer
-        found = found.dropDuplicates(["_for"])
-    return keyed.alias("d").join(found.alias("n"), F.col(f"d.{key}").eqNullSafe(F.col("n._for"))).select("d.*", "n.next_head", "n.next_sketch").drop("_th")
+    order = cut_lineage(with_next(ids, "key", "next"))
+    hashes = order.select(F.col("key").alias("_own"), F.col("th").alias("next_th"))
+    order = order.join(hashes, F.col("next").eqNullSafe(F.col("_own"))).drop("_own")
+    return order, (order.agg(F.max("rows")).first()[0] or 0) > 1
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -124,22 +140,17 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     ``jaccard_*`` the symmetric likeness. One row per input row; other columns are left out.
     """
     own = df.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    own = sketched(own.withColumn("n_chars", F.length("text").cast("long")), F.col("text"), "sketch")
-    both = with_next_document(own, "key", "text")
+    kind = own.schema["key"].dataType.simpleString()
+    order, repeated = followers(own, "key", "text")
+    rows = keyed(sketched(own, F.col("text"), "sketch"), F.col("key"), kind).select("k", "k_null", "text", "sketch")
+    both = with_next_document(rows, order, repeated).withColumn("n_chars", F.length("text").cast("long"))
     edit = F.expr("concat(left(text, int(n_chars - n_chars div 4)), left(next_head, int(n_chars div 4)))")
     both = both.withColumn("edited", edit).drop("text", "next_head")
     both = sketched(both, F.col("edited"), "edited_sketch")
     both = compared(both, "sketch", "edited_sketch", "near_edited", "jaccard_edited")
     both = compared(both, "sketch", "next_sketch", "near_next", "jaccard_next")
-    return with_columns(
-        both.select("key", "n_chars", "sketch", "edited_sketch", "edited", "near_edited", "near_next", "jaccard_edited", "jaccard_next"),
-        {
-            key: F.col("key"),
-            "edited_sha256": F.sha2("edited", 256),
-            "fingerprint": as_text(F.col("sketch")),
-            "edited_fingerprint": as_text(F.col("edited_sketch")),
-        },
-    ).select(
-        key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+    return both.select(
+        F.when(~F.col("k_null"), F.col("k")).alias(key), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
         "near_edited", "near_next", "jaccard_edited", "jaccard_next",
     )
