@@ -22,6 +22,7 @@ def column_choices(candidates: DataFrame) -> DataFrame:
     Gold columns of the same candidates come one after the other; one step per gold column.
     """
     key = ["run_id", "task_id"]
+    candidates = cut_lineage(candidates)  # every step reads them
     order = candidates.select(*key, "gold_pos").distinct().groupBy(*key).agg(F.array_sort(F.collect_list("gold_pos")).alias("steps"))
     options = candidates.select(*key, "gold_pos", F.struct("pred_pos", "pred_col").alias("pick"))
     none = F.array().cast("array<struct<pred_pos:int,pred_col:string>>")
