@@ -105,7 +105,29 @@ def op2_line_runs(spark, sf):
     )
 
 
-@query("op3_ngram_jaccard")
+@query(
+    "op3_ngram_jaccard",
+    r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+        FROM documents),
+    s AS (
+        SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM w WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    pairs AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS (
+        SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+    reach AS (
+        SELECT doc_id, doc_id AS other FROM documents
+        UNION
+        SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other)
+    SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.other) AS component_id
+    FROM reach r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+    """,
+)
 def op3_ngram_jaccard(spark, sf):
     return jaccard.joined(table(spark, sf, "documents"), size=3, num=90, den=100).drop("_th")
 
