@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayer.session import cut_lineage, fresh_path
@@ -19,10 +22,35 @@ def with_fields(df: DataFrame, value: Column, names: list[str]) -> DataFrame:
     return with_columns(packed, {n: F.col(f"_fields.{n}") for n in names}).drop("_fields")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: later reads survive lost executors."""
+#: Folders written in the ``scratch`` blocks that are open now, the innermost last.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove at its end what was written inside, but for what was to be kept.
+
+    What leaves the block must therefore be read from kept tables only.
+    """
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """``df`` written to the shared folder and read back: later reads survive lost executors.
+
+    Inside a ``scratch`` block the table goes at the block's end; with ``keep`` it goes with the block
+    around it, if there is one.
+    """
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
+    if _OPEN[: -1 if keep else None]:
+        _OPEN[-2 if keep else -1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.llm.base import with_columns, written
+from assayer.llm.base import scratch, with_columns, written
 
 #: Words from which a repeated run counts.
 WORDS = 50
@@ -127,6 +127,7 @@ def later_copies(lines: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     named = written(named, "named")
     place = F.struct("d", "th", "a")
     firsts = named.groupBy("m", "r1", "r2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = written(firsts, "firsts")  # so that a window of very many copies can be split in the join
     return first, named.join(firsts, ["m", "r1", "r2"]).where(place != F.col("first")).select("d", "th", "a", "m")
 
 
@@ -150,9 +151,11 @@ def without_lines(lines: Column, gone: Column) -> Column:
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, into: str = "kept") -> DataFrame:
     """Add the deleted line numbers ``gone_lines`` (null for none) and ``into``, the text that is left."""
-    gone = written(deletions(docs, key, text, words), "gone")
+    with scratch(docs.sparkSession):
+        gone = written(deletions(docs, key, text, words), "gone", keep=True)
     own = docs.withColumn("_th", F.xxhash64(F.col(f"`{text}`")))
-    joined = own.join(gone, own[key].eqNullSafe(gone["d"]) & (own["_th"] == gone["th"]), "left").select(
+    # merged whatever the size of ``gone``, which has no bound
+    joined = own.join(gone.hint("merge"), own[key].eqNullSafe(gone["d"]) & (own["_th"] == gone["th"]), "left").select(
         own["*"], F.col("gone").alias("_gone")
     ).withColumn("_lines", F.split(F.col(f"`{text}`"), "\n"))
     left = F.when(F.col("_gone").isNull(), F.col(f"`{text}`")).otherwise(without_lines(F.col("_lines"), F.col("_gone")))
