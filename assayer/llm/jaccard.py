@@ -4,15 +4,16 @@
 2. *Segments.* Sets of sizes a and b whose Jaccard similarity reaches t differ in at most
    (a + b)(1 - t)/(1 + t) shingles. Shingles are dealt over one segment more than that by their hash, so
    similar sets agree in a whole segment. Only nodes that share a segment with another go on. A frequent
-   shingle, line or passage brings nothing together by itself: all of a segment has to agree.
+   shingle, line or passage brings nothing together by itself: all of a segment has to agree. Segments
+   are counted for the largest sizes of a class, so smaller sets have to agree in more of them.
 3. *Groups.* Every such node joins the group of the node it shares most segments with, of those that
    are the smallest of a segment. Members are checked against that node first; those that link to it are
    connected from then on, whatever the size of the group.
 4. *Token-group matrix.* A row per group, a column per slice of the hash range: the columns that
-   the group's members use, or-ed together. For a query and a group with which it shares a segment
-   but not yet its component, the query's columns that the group lacks are shingles that it lacks. If they
+   the group's members use, or-ed together. For a query and a group with which it shares enough
+   segments, but not yet its component, the query's columns that the group lacks are shingles that it lacks. If they
    are more than the threshold allows, no member can be similar and the group stays closed.
-5. Members of opened groups that share a segment with the query are checked exactly.
+5. Members of opened groups that share enough segments with the query are checked exactly.
 
 Links thus found have the components of all links. Nothing is capped; no group is gathered in one
 task. Sets that are near to each other but do not link must all be compared, which is the cost of
@@ -29,19 +30,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.base import written
+from assayer.llm.base import scratch, written
 from assayer.llm.components import components
 from assayer.llm.words import WordHashes, hashed
 
 #: Ratio of the largest to the smallest size in a class of sizes, columns of the matrix per shingle,
-#: bits of the filter that keeps texts without a possible partner from being moved.
-RATIO, COLUMNS, FILTER = 1.5, 16, 1 << 23
+#: bits of the filters that keep texts and segments without a possible partner from being moved.
+RATIO, COLUMNS, FILTER, SEGMENTS = 1.5, 4, 1 << 23, 1 << 26
 LARGEST = 1 << 26
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_LOW, _32 = np.uint64(0xFFFFFFFF), np.uint64(32)
+_LOW, _32, _CLASS = np.uint64(0xFFFFFFFF), np.uint64(32), np.uint64(63)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -82,6 +83,15 @@ class Sizes:
                 yield c
             c += 1
 
+    def shared(self, c: Column, n: Column, m: Column | None = None) -> Column:
+        """Segments of class ``c`` in which similar sets of ``n`` and ``m`` shingles agree at least.
+
+        Without ``m``, of ``n`` and any size similar to it.
+        """
+        parts, high = (F.element_at(F.array(*[F.lit(x) for x in v]), c + 1) for v in (self.parts, [x - 1 for x in self.low[1:]]))
+        total = n + (F.least(high, F.floor(n * self.den / self.num)) if m is None else m)
+        return parts - (total - 2 * F.ceil(total * self.num / (self.den + self.num)))
+
     def signatures(self, tokens: np.ndarray) -> np.ndarray:
         """A hash of every segment's shingles, in each class that the set belongs to."""
         out = []
@@ -94,7 +104,8 @@ class Sizes:
             high = np.bincount(part, weights=(mixed >> _32).astype(np.float64), minlength=k).astype(np.uint64)
             with np.errstate(over="ignore"):
                 place = np.arange(k, dtype=np.uint64) + (np.uint64(c) << _32)
-                out.append(mix(mix(low) + high * _P + mix(place + _P)))
+                # the last bits name the class
+                out.append(mix(mix(low) + high * _P + mix(place + _P)) & ~_CLASS | np.uint64(c))
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -129,17 +140,48 @@ def featured(docs: DataFrame, key: str, text: str, size: int, sizes: Sizes) -> D
     return rows.mapInArrow(run, f"d {kind}, th long, n long, node long, sigs array<long>")
 
 
+def marks(df: DataFrame, value: Column, size: int) -> np.ndarray:
+    """A bit table of ``size`` bits in which the bits of all values are set; a bound on what reaches the driver."""
+    bit = df.select(F.pmod(value, F.lit(size)).alias("b"))
+    rows = bit.groupBy(F.expr("b div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(b % 64))")).alias("bits")).toArrow()
+    table = np.zeros(size // 64, np.uint64)
+    table[rows.column("w").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return table
+
+
+def is_marked(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    b = np.mod(values, len(table) * 64)
+    return (table[b >> 6] >> (b & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
 def shared_segments(features: DataFrame) -> DataFrame:
-    """(sig, node, n) of the segments in which different sets agree."""
-    every = features.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sigs").alias("sigs"))
-    rows = every.select("node", "n", F.explode("sigs").alias("sig"))
-    repeated = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("sig")
-    return written(rows.join(repeated, "sig"), "segments")
+    """(sig, node, n) of the segments in which different sets agree.
+
+    All signatures are moved once, to find those of more than one set. Then only rows that pass a
+    filter of ``SEGMENTS`` bits are moved, and the join drops those that pass by chance.
+    """
+    rows = features.where("n > 0").select("node", F.explode("sigs").alias("sig"))
+    repeated = rows.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    repeated = written(repeated.select("sig"), "repeated")
+    table = marks(repeated, F.shiftright("sig", 6), SEGMENTS)
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            sig = lists.flatten().to_numpy(zero_copy_only=False)
+            kept = is_marked(sig >> 6, table)
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))[kept]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(sig[kept]), *(batch.column(i).take(pa.array(row)) for i in (0, 1))], names=["sig", "node", "n"]
+            )
+
+    some = features.where("n > 0").select("node", "n", "sigs").mapInArrow(passing, "sig long, node long, n long")
+    return written(some.join(repeated, "sig").distinct(), "segments")
 
 
 def grouped(segments: DataFrame) -> DataFrame:
     """(node, n, g): the group of every node."""
-    smallest = segments.groupBy("sig").agg(F.min("node").alias("g"))
+    smallest = written(segments.groupBy("sig").agg(F.min("node").alias("g")), "smallest")
     near = segments.join(smallest, "sig").groupBy("node", "n", "g").agg(F.count(F.lit(1)).alias("c"))
     best = F.max_by("g", F.struct("c", (-F.col("g")).alias("_")))
     return written(near.groupBy("node", "n").agg(best.alias("g")), "groups")
@@ -153,22 +195,16 @@ def texts_of(docs: DataFrame, features: DataFrame, nodes: DataFrame, key: str, t
     """
     one = features.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.min(F.struct("th", "d")).alias("one"))
     one = written(one.select("node", "one.th", "one.d"), "wanted")
-    bits = one.select(F.pmod("th", F.lit(FILTER)).alias("b")).groupBy(F.expr("b div 32").alias("w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, int(b % 32))")).alias("bits")
-    )
-    table = np.zeros(FILTER // 32, np.uint32)
-    for w, value in bits.toLocalIterator():  # FILTER / 32 rows at most
-        table[w] = value
+    table = marks(one, F.col("th"), FILTER)
 
     @F.pandas_udf("boolean")
     def marked(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for th in parts:
-            b = th.to_numpy() % FILTER
-            yield pd.Series((table[b // 32] >> (b % 32).astype(np.uint32) & 1).astype(bool))
+            yield pd.Series(is_marked(th.to_numpy(), table))
 
     th = F.xxhash64(F.col(f"`{text}`"))
     rows = docs.select(F.col(f"`{key}`").alias("d"), th.alias("th"), F.col(f"`{text}`").alias("t")).where(marked(th))
-    found = rows.join(one, rows["d"].eqNullSafe(one["d"]) & (rows["th"] == one["th"])).select("node", "t")
+    found = rows.join(one.hint("merge"), rows["d"].eqNullSafe(one["d"]) & (rows["th"] == one["th"])).select("node", "t")
     return written(found.dropDuplicates(["node"]), "texts")
 
 
@@ -228,33 +264,42 @@ def opened(asked: DataFrame, groups: DataFrame, texts: DataFrame, size: int, num
     return asked.join(missing, ["node", "g"]).where(F.col("lacking") <= allowed).select("node", "g")
 
 
-def links(docs: DataFrame, features: DataFrame, key: str, text: str, size: int, num: int, den: int) -> DataFrame:
+def links(docs: DataFrame, features: DataFrame, key: str, text: str, size: int, sizes: Sizes) -> DataFrame:
     """Pairs (a, b) of nodes that link, enough of them to connect all that is connected."""
+    num, den, of_class = sizes.num, sizes.den, F.expr("int(sig & 63)").alias("c")
     segments = shared_segments(features)
     groups = grouped(segments)
     texts = texts_of(docs, features, groups, key, text)
     stars = checked(groups.where("node <> g").select(F.col("node").alias("a"), F.col("g").alias("b")), texts, size, num, den)
 
-    known = components(stars)
-    placed = segments.join(groups.select("node", "g"), "node").join(known, "node", "left")
-    placed = written(placed.withColumn("c", F.coalesce("label", "node")).select("sig", "node", "n", "g", "c"), "placed")
-    met = placed.select("sig", F.col("g").alias("h"), F.col("c").alias("hc")).distinct()
-    asked = placed.join(met, "sig").where("c <> hc").select("node", "n", F.col("h").alias("g")).distinct()
+    placed = segments.join(groups.select("node", "g"), "node").join(components(stars), "node", "left")
+    placed = written(placed.select("sig", "node", "n", "g", F.coalesce("label", "node").alias("part")), "placed")
+    met = placed.select("sig", F.col("g").alias("h"), F.col("part").alias("other")).distinct()
+    asked = placed.join(met, "sig").where("part <> other").select("sig", "node", "n", F.col("h").alias("g")).distinct()
+    asked = asked.groupBy("node", "n", "g", of_class).agg(F.count(F.lit(1)).alias("shared"))
+    asked = asked.where(F.col("shared") >= sizes.shared(F.col("c"), F.col("n"))).select("node", "n", "g").distinct()
     open_ = opened(written(asked, "asked"), groups, texts, size, num, den)
 
-    left = placed.select("sig", F.col("node").alias("a"), F.col("n").alias("an"), F.col("c").alias("ac"))
+    left = placed.select("sig", F.col("node").alias("a"), F.col("n").alias("an"), F.col("part").alias("ap"))
     left = left.join(open_.select(F.col("node").alias("a"), F.col("g").alias("h")), "a")
-    right = placed.select("sig", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("c").alias("bc"), F.col("g").alias("h"))
+    right = placed.select("sig", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("part").alias("bp"), F.col("g").alias("h"))
     small, large = F.least("an", "bn"), F.greatest("an", "bn")
-    pairs = left.join(right, ["sig", "h"]).where((F.col("ac") != F.col("bc")) & (small * den >= large * num))
+    pairs = left.join(right, ["sig", "h"]).where((F.col("ap") != F.col("bp")) & (small * den >= large * num))
+    pairs = pairs.groupBy("a", "b", "an", "bn", of_class).agg(F.count(F.lit(1)).alias("shared"))
+    pairs = pairs.where(F.col("shared") >= sizes.shared(F.col("c"), F.col("an"), F.col("bn")))
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     return stars.union(checked(pairs, texts, size, num, den))
 
 
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """``key``, ``_th`` (hash of the text), ``n_shingles`` and ``component_id`` of every row."""
-    features = written(featured(docs, key, text, size, Sizes(num, den)), "features")
-    labels = components(links(docs, features, key, text, size, num, den))
+    with scratch(docs.sparkSession):
+        return written(_joined(docs, key, text, size, Sizes(num, den)), "joined", keep=True)
+
+
+def _joined(docs: DataFrame, key: str, text: str, size: int, sizes: Sizes) -> DataFrame:
+    features = written(featured(docs, key, text, size, sizes), "features")
+    labels = components(links(docs, features, key, text, size, sizes))
     leads = features.where("n > 0").groupBy("node").agg(F.min("d").alias("lead"))
     leads = written(leads.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "leads")
     least = leads.groupBy("label").agg(F.min("lead").alias("component_id"))
@@ -267,10 +312,11 @@ def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` whose key is the smallest of their component, one row each."""
-    kept = joined(docs, key, text, size, num, den).where(F.col(key).eqNullSafe(F.col("component_id")))
-    kept = written(kept.select(F.col(key).alias("_k"), "_th").distinct(), "kept")
+    with scratch(docs.sparkSession):
+        kept = joined(docs, key, text, size, num, den).where(F.col(key).eqNullSafe(F.col("component_id")))
+        kept = written(kept.select(F.col(key).alias("_k"), "_th").distinct(), "kept", keep=True)
     own = docs.withColumn("_th", F.xxhash64(F.col(f"`{text}`")))
-    found = own.join(kept, own[key].eqNullSafe(kept["_k"]) & (own["_th"] == kept["_th"]), "left_semi")
+    found = own.join(kept.hint("merge"), own[key].eqNullSafe(kept["_k"]) & (own["_th"] == kept["_th"]), "left_semi")
     if docs.count() > docs.select(key).distinct().count():  # rows of equal key: the first text stays
         least = found.groupBy(key).agg(F.min("_th").alias("_least"))
         keep = (F.col("_th") == F.col("_least")) | (F.length(text) == 0) | F.col(text).isNull()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import bpe, decontaminate, jaccard, lineruns, toxicity
-from assayer.llm.base import written
+from assayer.llm.base import scratch, written
 from assayer.session import table
 
 #: Words in a shingle and the similarity from which documents are near duplicates.
@@ -58,6 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), "stage")
+    with scratch(spark):
+        for i, (_, stage) in enumerate(STAGES, 1):
+            docs = written(stage(spark, docs, sf_dir), "stage", keep=i == len(STAGES))
     return docs
