@@ -1,13 +1,14 @@
 """Benchmark passages in documents, by q-gram counting in diagonal bands and banded alignment.
 
 Texts are compared with A-Z in lower case and every run of white space as one space. A passage of m
-bytes may differ by k = min(``EDITS`` * m, (m - q) / 2q) edits. The lemma: of its m - q + 1 q-grams at most
+bytes may differ by k = ``EDITS`` * m edits, rounded down. The lemma: of its m - q + 1 q-grams at most
 k * q are touched by k edits, and the others lie in the text within k diagonals of each other. So
 hits are counted per document, passage and band of 2(k + 1) diagonals, where bands overlap by half;
 bands with fewer than m - q + 1 - k * q hits are dropped. What is left is aligned within its band, and
-regions of more than k edits are dropped as well.
+regions of more than k edits are dropped as well. Each passage has the largest q of up to ``Q`` for which
+that bound is above a share ``SPARE`` of m, so no budget is cut for it.
 
-Passages shorter than q are looked for letter by letter; empty or null passages and texts match
+Passages shorter than ``Q`` may not differ and are looked for letter by letter; empty or null passages and texts match
 nothing. The passages are taken in blocks of ``BLOCK``, each of which is sent to all tasks, and
 documents stay where they are: nothing is shuffled. Repeated rows get equal results, and a passage
 that stands in the benchmark twice is reported for both.
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 
 from assayer.llm.words import chunks
 
-#: Bytes in a q-gram, edits per byte, passages in a block (under 1 KB each in the index on average).
+#: Bytes in a q-gram at most, edits per byte, passages in a block (under 1 KB each in the index on average).
 Q, EDITS, BLOCK = 12, 0.08, 4096
+#: Share of a passage's bytes that the bound on hits exceeds; cells of the alignment table of one call.
+SPARE, CELLS = 1 / 16, 1 << 20
 _BITS = 22
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _FAR = np.int64(1) << 40
@@ -39,42 +42,37 @@ def normal(text: str | None) -> bytes:
     return raw.replace(b"\0", b"\1") if b"\0" in raw else raw
 
 
-def grams(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the Q bytes from every place of ``data`` on."""
-    if len(data) < Q:
+def grams(data: np.ndarray, q: int) -> np.ndarray:
+    """A 64-bit hash of the ``q`` bytes, 4 to 12, from every place of ``data`` on."""
+    if len(data) < q:
         return np.zeros(0, np.uint64)
     two = data[:-1].astype(np.uint16) | data[1:].astype(np.uint16) << 8
     four = two[:-2].astype(np.uint32) | two[2:].astype(np.uint32) << 16
-    eight = four[:-4].astype(np.uint64) | four[4:].astype(np.uint64) << np.uint64(32)
+    first = four.astype(np.uint64)
+    if q >= 8:
+        first = first[:-4] | first[4:] << np.uint64(32)
     with np.errstate(over="ignore"):
-        mixed = (eight[: len(data) - Q + 1] ^ four[8:].astype(np.uint64) * _B) * _A
+        mixed = (first[: len(data) - q + 1] ^ four[q - 4 :].astype(np.uint64) * _B) * _A
     return mixed ^ mixed >> np.uint64(29)
 
 
-class Passages:
-    """Index of one block: q-gram hash -> (passage, place)."""
+class Grams:
+    """q-gram hash -> (passage, place) for the passages of one q."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
-        texts = [(i, t) for i, t in ((i, normal(t)) for i, t in items) if t]
-        self.short = [(i, t) for i, t in texts if len(t) < Q]
-        texts = [(i, t) for i, t in texts if len(t) >= Q]
-        self.ids = [i for i, _ in texts]
-        self.data = [np.frombuffer(t, np.uint8) for _, t in texts]
-        self.size = np.array([len(t) for _, t in texts], np.int64)
-        self.edits = np.minimum((self.size * EDITS).astype(np.int64), (self.size - Q) // (2 * Q))
-        self.need = self.size - Q + 1 - self.edits * Q
-        every = [grams(d) for d in self.data]
-        flat = np.concatenate(every) if every else np.zeros(0, np.uint64)
+    def __init__(self, q: int, items: list[int], data: list[np.ndarray]):
+        self.q = q
+        every = [grams(data[i], q) for i in items]
+        flat = np.concatenate(every)
         order = np.argsort(flat, kind="stable")
         self.gram = flat[order]
-        self.item = np.repeat(np.arange(len(every)), [len(g) for g in every])[order]
-        self.place = np.concatenate([np.arange(len(g)) for g in every] or [np.zeros(0, np.int64)])[order]
+        self.item = np.repeat(items, [len(g) for g in every])[order]
+        self.place = np.concatenate([np.arange(len(g)) for g in every])[order]
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[(self.gram >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
     def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in the text, passage, place in the passage) of every shared q-gram."""
-        g = grams(data)
+        g = grams(data, self.q)
         at = np.flatnonzero(self.seen[(g >> np.uint64(64 - _BITS)).astype(np.int64)])
         low = np.searchsorted(self.gram, g[at], "left")
         many = np.searchsorted(self.gram, g[at], "right") - low
@@ -83,9 +81,28 @@ class Passages:
         where = np.repeat(low, many) + within
         return np.repeat(at, many), self.item[where], self.place[where]
 
+
+class Passages:
+    """Index of one block of passages."""
+
+    def __init__(self, items: list[tuple[int, str | None]]):
+        texts = [(i, t) for i, t in ((i, normal(t)) for i, t in items) if t]
+        self.short = [(i, t) for i, t in texts if len(t) < Q]
+        texts = [(i, t) for i, t in texts if len(t) >= Q]
+        self.ids = [i for i, _ in texts]
+        self.data = [np.frombuffer(t, np.uint8) for _, t in texts]
+        self.size = np.array([len(t) for _, t in texts], np.int64)
+        self.edits = np.floor(self.size * EDITS + 1e-9).astype(np.int64)
+        q = np.minimum(Q, np.floor(self.size * (1 - SPARE) + 1).astype(np.int64) // (self.edits + 1))
+        self.need = self.size - q + 1 - self.edits * q
+        self.parts = [Grams(n, np.flatnonzero(q == n).tolist(), self.data) for n in sorted(set(q.tolist()))]
+
     def regions(self, data: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(text, passage, lowest and highest start) of band groups that meet the lemma's bound."""
-        at, item, place = self.hits(data)
+        return [r for part in self.parts for r in self.regions_of(part, data, starts)]
+
+    def regions_of(self, part: Grams, data: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int]]:
+        at, item, place = part.hits(data)
         if not len(at):
             return []
         text = np.searchsorted(starts, at, "right") - 1
@@ -157,8 +174,12 @@ class Passages:
         data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
         starts = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]]) if texts else np.zeros(0, np.int64)
         out, found = [], self.regions(data, starts) if self.ids else []
-        for a in range(0, len(found), 256):
-            out += [(t, self.ids[i], s, e, k) for t, i, s, e, k in self.aligned(texts, found[a : a + 256])]
+        span = lambda r: r[3] - r[2] + 2 * int(self.edits[r[1]]) + 1
+        found.sort(key=lambda r: (span(r), self.size[r[1]]))  # a call's table is as large as its widest and longest region
+        while found:
+            n = min(256, max(1, CELLS // span(found[-1])))
+            out += [(t, self.ids[i], s, e, k) for t, i, s, e, k in self.aligned(texts, found[-n:])]
+            del found[-n:]
         for i, passage in self.short:
             out += [(t, i, m.start(), m.end(), 0) for t, x in enumerate(texts) for m in re.finditer(re.escape(passage), x)]
         return out

@@ -198,6 +198,32 @@ def test_passages(frame, spark):
     assert decontaminate.find_passages(frame([]), benchmark).collect() == []
 
 
+@pytest.mark.parametrize("size", [12, 13, 14, 24, 25, 38, 50, 63, 81, 100, 150, 233, 400, 1000])
+def test_passages_are_found_up_to_eight_percent_of_their_bytes(size):
+    rng = random.Random(size)
+    passage = "".join(rng.choice("abcdefghij") for _ in range(size))
+    index, budget = decontaminate.Passages([(1, passage)]), size * 8 // 100
+    for edits in {0, budget // 2, budget, budget + 1}:
+        even = [size * (2 * i + 1) // (2 * edits) for i in range(edits)]  # spoils the most q-grams
+        for places in (even, rng.sample(range(size), edits)):
+            own = list(passage)
+            for at in places:
+                own[at] = rng.choice("xyz")
+            found = index.scan([b"zyx " * 9, ("zyx " * 9 + "".join(own) + " zyx" * 9).encode()])
+            assert [(t, i, k) for t, i, _, _, k in found] == ([(1, 1, edits)] if edits <= budget else []), edits
+
+
+def test_passages_with_words_changed_or_accents_dropped(frame, spark):
+    passage = "the señor café near the old harbour serves a fine crème brûlée to every guest who asks"
+    benchmark = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    words = passage.replace("fine", "good").replace("old", "new")  # 7 bytes of 91
+    bare = passage.replace("é", "e").replace("ñ", "n")  # 6 edits, two for each accent
+    rows = [(1, f"before {words} after"), (2, bare), (3, words.replace("guest", "buyer")), (4, "the senor")]
+    found = decontaminate.find_passages(frame(rows), benchmark).collect()
+    assert {r.doc_id: r.edits for r in found} == {1: 7, 2: 6}
+    assert {r.doc_id for r in decontaminate.without_passages(frame(rows), benchmark).collect()} == {3, 4}
+
+
 def test_passages_in_blocks(frame, spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK", 2)
     items = [(i, f"a passage number {i} that is long enough to be found by its q-grams {i * 7919}") for i in range(5)]
