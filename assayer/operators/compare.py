@@ -141,11 +141,36 @@ def _part(prep: Column) -> Column:
     )
 
 
-def _peak(prep: Column) -> Column:
-    """The largest number of a row and the places it carries, booleans as 0 and 1."""
+def _numbers(prep: Column) -> Column:
+    """The numbers of a row with the places they carry, booleans as 0 and 1 without places."""
     number = lambda c: F.when(c["kind"] == "bool", (c["text"] == "true").cast("double")).otherwise(c["dbl"])
-    numbers = F.transform(prep, lambda c: F.struct(number(c).alias("v"), F.coalesce(c["places"], F.lit(0)).alias("places")))
-    return F.array_max(F.filter(numbers, lambda c: c["v"].isNotNull()))
+    bounded = lambda v: F.when(v.isNotNull(), F.greatest(F.least(v, F.lit(1e300)), F.lit(-1e300)))
+    places = lambda c: F.when(c["kind"] != "bool", F.coalesce(c["places"], F.lit(0)))
+    numbers = F.transform(prep, lambda c: F.struct(bounded(number(c)).alias("v"), places(c).alias("places")))
+    return F.filter(numbers, lambda c: c["v"].isNotNull())
+
+
+def _peak(prep: Column) -> Column:
+    """The largest number of a row."""
+    return F.coalesce(F.array_max(F.transform(_numbers(prep), lambda c: c["v"])), F.lit(0.0))
+
+
+def _reach(prep: Column, peak: Column, abs_tol: Column, rel_tol: Column) -> Column:
+    """How far the largest number of an equal row can be from ``peak``, that of the gold row ``prep``.
+
+    Each number has its own reach: one half of its last place and the tolerance. So the largest number
+    lies between the largest lower end and the largest upper end.
+    """
+    share = F.when(rel_tol < 0.5, rel_tol / (1 - rel_tol)).otherwise(F.lit(1e300))  # of the larger of both numbers
+
+    def ends(c: Column) -> Column:
+        rounding = F.coalesce(F.pow(F.lit(10.0), -c["places"]), F.lit(0.0)) + F.abs(c["v"]) * 1e-15
+        r = F.least(abs_tol + share * (F.abs(c["v"]) + 1) + rounding, F.lit(1e305))
+        return F.struct((c["v"] - r).alias("low"), (c["v"] + r).alias("high"))
+
+    found = F.transform(_numbers(prep), ends)
+    low, high = F.array_max(F.transform(found, lambda e: e["low"])), F.array_max(F.transform(found, lambda e: e["high"]))
+    return F.coalesce(F.greatest(high - peak, peak - low, F.lit(1e-300)), F.lit(1.0))
 
 
 def _classes(rows: DataFrame, keys: list[str], side: str) -> DataFrame:
@@ -159,17 +184,16 @@ def _classes(rows: DataFrame, keys: list[str], side: str) -> DataFrame:
 def tolerant_edges(gold: DataFrame, pred: DataFrame, pairs: DataFrame) -> DataFrame:
     """(run, task, g, g_left, p, p_left): classes of rows that are equal within the tolerance.
 
-    Equal rows lie in the same part, and their largest numbers differ by less than ``10 ** scale``: one
-    half of the last place of the gold number, to which the other is rounded, and the tolerance. So
-    rows meet in cells of that width, a gold row in three of them, and no answer is compared all
-    with all.
+    Equal rows lie in the same part, and their largest numbers differ by less than ``10 ** scale``, which
+    follows from the places of all numbers of the gold row (``_reach``). So rows meet in cells of that
+    width, a gold row in three of them, and no answer is compared all with all.
     """
     key = ["run_id", "task_id"]
     want = pairs.select(*key, "abs_tol", "rel_tol", "in_order")
     place = lambda side: F.struct(F.when(F.col("in_order"), F.col("first")).alias("pos"), F.col("sig")).alias(side)
-    value = F.coalesce(F.col("peak.v"), F.lit(0.0))
+    value = F.col("peak")
     g = _classes(gold.join(want.select("task_id").distinct(), "task_id", "left_semi"), ["task_id"], "g").join(want, "task_id")
-    reach = F.col("abs_tol") + F.col("rel_tol") * (F.abs(value) + 1) + F.pow(F.lit(10.0), -F.coalesce(F.col("peak.places"), F.lit(0)))
+    reach = _reach(F.col("prep"), value, F.col("abs_tol"), F.col("rel_tol"))
     g = g.withColumn("scale", F.ceil(F.log10(2 * reach)).cast("int"))
     cell = F.floor(value / F.pow(F.lit(10.0), F.col("scale").cast("double")))
     g = g.select(*key, "part", "scale", place("g"), "g_left", F.col("prep").alias("gp"), "abs_tol", "rel_tol", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))

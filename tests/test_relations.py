@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from assayer.functions import cells as C
 from assayer.operators import compare as K
 from assayer.operators import relax as R
 
@@ -102,6 +103,33 @@ def test_no_size_changes_the_answer(spark):
         assert matched(spark, gold, pred) == n
 
 
+def test_the_largest_number_may_be_another_cell(spark):
+    assert matched(spark, [(10, 10.001)], [(10.3, 10.001)]) == 1
+    assert matched(spark, [(10.001, 10, "x")], [("x", 10.001, 10.3)], in_order=True) == 1
+    assert matched(spark, [(10, 10.001)], [(10.6, 10.001)]) == 0 and matched(spark, [(10, 10.001)], [(10.3, 10.1)]) == 0
+    assert matched(spark, [(5, 5.25, 4.999)], [(5.4, 5.25, 4.999)]) == 1
+    assert matched(spark, [(-1, -0.9999)], [(-0.6, -0.9999)]) == 1
+    assert matched(spark, [(7, 123.4567)], [(7.2, 123.4567)]) == 1
+
+
+def test_pruning_drops_no_pair_that_is_equal(spark):
+    """Every pair of rows, judged with and without the cells."""
+    rng = random.Random(11)
+    number = lambda: round(rng.choice([-2, 0, 3, 10, 250]) + rng.random() * rng.choice([0, 1]), rng.randint(0, 4))
+    for _ in range(3):
+        rows = [tuple(rng.choice([int, float])(number()) for _ in range(3)) for _ in range(25)]
+        gold = list({tuple(sorted(row)): row for row in rows}.values())  # rows of one signature are one class
+        pred = [tuple(x + rng.choice([0, 0, 0.3, -0.3, 0.04, 0.0004]) for x in rng.sample(row, 3)) for row in gold]
+        cells = lambda row: [("c", "num", str(x)) for x in row]
+        schema = "run_id string, task_id string, row_pos long, cells array<struct<name:string,kind:string,text:string>>"
+        g, p = (K.signed(spark.createDataFrame([("0", "t", i, cells(r)) for i, r in enumerate(side)], schema)) for side in (gold, pred))
+        pairs = spark.createDataFrame([("0", "t", 1e-6, 1e-9, False)], "run_id string, task_id string, abs_tol double, rel_tol double, in_order boolean")
+        got = {(r.g.sig, r.p.sig) for r in K.tolerant_edges(g.drop("run_id"), p, pairs).collect()}
+        every = K.signed(g).select(F.col("sig").alias("a"), F.col("prep").alias("x")).crossJoin(K.signed(p).select(F.col("sig").alias("b"), F.col("prep").alias("y")))
+        want = {(r.a, r.b) for r in every.where(C.rows_equal(F.col("x"), F.col("y"), F.lit(1e-6), F.lit(1e-9))).collect()}
+        assert got == want
+
+
 def test_chains_are_followed_in_order(spark):
     """Each number fits two others; the first takes the first, and so on."""
     gold, pred = [(float(i),) for i in range(6)], [(i + 0.5,) for i in range(-1, 5)]
