@@ -161,5 +161,22 @@ def test_pii_trees_add_what_looks_like_the_base(frame, spark):
     assert one.select(model.expression(F.col("f"))).first()[0] == pytest.approx(model.score(f))
 
 
+def test_pii_fitted_model_reports_spelled_out_addresses(frame):
+    rng = random.Random(6)
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
+    rows = [(i, f"write to {name()} (at) {name()} (dot) com" if i % 8 == 0 else f"mail {name()}@{name()}.org or order 12 34 5{i}") for i in range(160)]
+    rows += [(900, "write to bob (at) example (dot) com"), (901, "bob.b [at] a-b.example [dot] org, please"), (902, "meet (at) noon")]
+    model = pii.fitted(frame(rows), "doc_id", "text")
+    assert model.limits["address"] < float("inf")
+    got = {r.doc_id: r for r in pii.scan(frame(rows), model=model).collect()}
+    assert got[900].spans == "address:9:35" and got[900].n_added == 1
+    assert got[0].n_added == 1 and got[1].n_added == 0 and got[902].spans == ""
+    assert got[900].base_sha256 == EMPTY
+    shown = pii.redacted(pii.detect(frame(rows[-3:]), model=model)).select("doc_id", "redacted").collect()
+    assert {r.doc_id: r.redacted for r in shown}[900] == "write to [address]"
+    one = frame([(1, "bob (at) example (dot) com")])  # the only text, whichever half its key falls into
+    assert pii.scan(one).first().spans == "address:0:26"
+
+
 def test_pii_without_rows(frame):
     assert pii.scan(frame([])).collect() == []
