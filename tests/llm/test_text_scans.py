@@ -178,5 +178,15 @@ def test_pii_fitted_model_reports_spelled_out_addresses(frame):
     assert pii.scan(one).first().spans == "address:0:26"
 
 
+def test_pii_thresholds_cover_all_texts(frame):
+    """What the texts for fitting hold at a high rate is rare among the others."""
+    keys = [r.doc_id for r in frame([(i, "") for i in range(600)]).orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").collect()]
+    shown = lambda i, n: (i, f"call {'+' if n < 80 else ''}1 (312) {200 + i}-9876 soon" if n % 2 else f"order {i % 90 + 10} 22 33 pieces")
+    rows = [shown(i, n) for n, i in enumerate(keys)]
+    few, every = frame([r for r in rows if r[0] in set(keys[:80])]), frame(rows)
+    assert pii.fitted(few, "doc_id", "text", fit=80).limits["number"] < float("inf")
+    assert pii.fitted(every, "doc_id", "text", fit=80).limits["number"] == float("inf")
+
+
 def test_pii_without_rows(frame):
     assert pii.scan(frame([])).collect() == []
