@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, decontaminate, fingerprint, jaccard, lineruns, pii, resample, secrets, toxicity, warczip
+from assayer.llm import bpe, decontaminate, fingerprint, jaccard, lineruns, mixing, pii, resample, secrets, toxicity, warczip
 from assayer.plans.registry import query
 from assayer.session import fresh_path, table
 
@@ -146,4 +146,38 @@ def op1_pii_boosting(spark, sf):
     return pii.scan(table(spark, sf, "documents"))
 
 
+@query(
+    "op12_mix",
+    r"""
+    WITH RECURSIVE d AS (
+        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+    s AS (
+        SELECT source, sum(size)::HUGEINT AS s, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w
+        FROM d GROUP BY source),
+    rounds AS (
+        SELECT 0 AS i, source, s, w, FALSE AS stopped, sum(s) OVER () AS rest, sum(w) OVER () AS sharing FROM s
+        UNION ALL
+        SELECT i + 1, source, s, w, stopped,
+               sum(s) OVER () - 3 * coalesce(sum(s) FILTER (WHERE stopped) OVER (), 0),
+               coalesce(sum(w) FILTER (WHERE NOT stopped) OVER (), 0)
+        FROM (SELECT * REPLACE (stopped OR 3 * s * sharing < rest * w AS stopped) FROM rounds)
+        WHERE i < (SELECT count(*) FROM s)),
+    aims AS (
+        SELECT source, s, CASE WHEN stopped THEN (3 * s)::DOUBLE ELSE (rest * w)::DOUBLE / sharing::DOUBLE END AS target,
+               CASE WHEN stopped THEN 3 * s ELSE rest * w // sharing END AS words
+        FROM rounds WHERE i = (SELECT count(*) FROM s)),
+    o AS (
+        SELECT d.doc_id, d.size, a.s, a.target, a.words, CASE WHEN a.s > 0 THEN a.words // a.s ELSE 0 END AS copies,
+               sum(d.size) OVER (PARTITION BY d.source ORDER BY sha256('20240:' || d.doc_id), d.doc_id, d.size
+                                 ROWS UNBOUNDED PRECEDING) - d.size AS before
+        FROM d JOIN aims a ON d.source IS NOT DISTINCT FROM a.source)
+    SELECT doc_id, size, s::BIGINT AS source_size, target,
+           (copies * size + greatest(least(words - copies * s - before, size), 0))::BIGINT AS taken
+    FROM o
+    """,
+)
+def op12_mix(spark, sf):
+    return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
