@@ -54,6 +54,18 @@ def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: So many rows at most, each of a few fields, are sent to every executor.
+FEW = 50_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` marked for a broadcast if it has at most ``FEW`` rows; otherwise the join moves both sides.
+
+    Counted where it is called, so ``df`` should be a written table.
+    """
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def with_next(ids: DataFrame, key: str, into: str) -> DataFrame:
     """For distinct ``key`` values, the next larger one; the largest is followed by the smallest.
 

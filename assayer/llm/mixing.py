@@ -22,17 +22,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.llm.base import scratch, written
+from assayer.llm.base import scratch, small, written
 from assayer.operators.ordering import numbered, running_sum
 
 #: Characters that are no white space make words.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, EPOCHS, SEED = (1, 2, 3), 3, 20240
-#: So many sources at most are sent to every executor; more are joined as any two tables, hot ones split by AQE.
-FEW = 50_000
 
 _WIDE = "decimal(38,0)"
 
@@ -100,10 +98,9 @@ def mix(
             "copies", F.when(F.col("source_size") > 0, F.expr("full div source_size")).otherwise(0)
         )
         aims = written(aims, "mix-targets")
-        few = aims.limit(FEW + 1).count() <= FEW  # a source may hold any share of the rows
-        aimed = slim.alias("d").join(
-            (F.broadcast(aims) if few else aims).alias("a"), F.col("d.source").eqNullSafe(F.col("a.source"))
-        ).select("d.key", "d.source", "d.size", "a.source_size", "a.target", "a.full", "a.copies")
+        aimed = slim.alias("d").join(small(aims).alias("a"), F.col("d.source").eqNullSafe(F.col("a.source"))).select(
+            "d.key", "d.source", "d.size", "a.source_size", "a.target", "a.full", "a.copies"
+        )
         return written(taken(aimed, seed), "mix", keep=True).select(
             F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "copies", "part", "taken"
         )

@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, decontaminate, fingerprint, jaccard, lineruns, mixing, pii, resample, secrets, toxicity, warczip
+from assayer.llm import bpe, decontaminate, fingerprint, jaccard, lineruns, merkle, mixing, pii, resample, secrets, toxicity, warczip
 from assayer.plans.registry import query
 from assayer.session import fresh_path, table
 
@@ -146,6 +146,60 @@ def op1_pii_boosting(spark, sf):
     return pii.scan(table(spark, sf, "documents"))
 
 
+@query(
+    "op11_merkle",
+    """
+    WITH RECURSIVE c AS (
+        SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+               lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) AS crc
+        FROM documents),
+    f AS (
+        SELECT doc_id, lang, crc % 7 = 0 AS tampered,
+               coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+               || coalesce(strlen(lang) || ':' || lang, '-') AS a,
+               n_chars, coalesce(strlen(text) || ':' || text, '-') AS b FROM c),
+    leaves AS (
+        SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n,
+               sha256(a || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || b) AS h,
+               sha256(a || coalesce(strlen((n_chars + tampered::INT)::VARCHAR) || ':' || (n_chars + tampered::INT), '-') || b) AS t
+        FROM f),
+    inner_levels AS (
+        SELECT lang, 0 AS level, i, n AS m, h FROM leaves
+        UNION ALL
+        SELECT lang, level + 1, i // 2, (m + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM inner_levels
+        WHERE m > 1 GROUP BY lang, level, i // 2, m),
+    subroots AS (
+        SELECT lang, level, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, count(*) OVER () AS n FROM inner_levels WHERE m = 1),
+    outer_levels AS (
+        SELECT 0 AS level, g AS i, n AS m, h FROM subroots
+        UNION ALL
+        SELECT level + 1, i // 2, (m + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM outer_levels WHERE m > 1 GROUP BY level, i // 2, m),
+    proofs AS (
+        SELECT l.doc_id, s.lang, x.level AS level, x.h, x.i AS place FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang
+        JOIN inner_levels x ON x.lang IS NOT DISTINCT FROM l.lang AND x.level < s.level AND x.i = xor(l.i >> x.level::BIGINT, 1)
+        UNION ALL
+        SELECT l.doc_id, s.lang, s.level + x.level, x.h, x.i FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang
+        JOIN outer_levels x ON x.m > 1 AND x.i = xor(s.g >> x.level::BIGINT, 1)),
+    proof AS (SELECT doc_id, sha256(string_agg(h, '' ORDER BY level)) AS p FROM proofs GROUP BY doc_id),
+    tall AS (SELECT max(level) AS up FROM outer_levels),
+    folds AS (
+        SELECT l.doc_id, 0 AS step, s.level + (SELECT up FROM tall) AS height, l.t AS h FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang
+        UNION ALL
+        SELECT f.doc_id, step + 1, height, CASE WHEN p.h IS NULL THEN sha256(f.h) WHEN p.place % 2 = 0 THEN sha256(p.h || f.h) ELSE sha256(f.h || p.h) END
+        FROM folds f LEFT JOIN proofs p ON p.doc_id = f.doc_id AND p.level = f.step WHERE step < height)
+    SELECT l.doc_id, l.h AS leaf, s.h AS subroot, r.h AS root, coalesce(p.p, sha256('')) AS proof_sha256, f.h AS folded_root,
+           f.h = r.h AS verified
+    FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang JOIN outer_levels r ON r.m = 1
+    JOIN folds f ON f.doc_id = l.doc_id AND f.step = f.height LEFT JOIN proof p ON p.doc_id = l.doc_id
+    """,
+)
+def op11_merkle(spark, sf):
+    """Where seven divides the key's checksum, the tampered row has one character more."""
+    more = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, 1).otherwise(0)
+    tampered = {"n_chars": F.col("n_chars").cast("decimal(20,0)") + more}
+    return merkle.manifest(table(spark, sf, "documents"), tampered=tampered)
+
+
 @query(
     "op12_mix",
     r"""
