@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, decontaminate, fingerprint, jaccard, lineruns, merkle, mixing, pii, resample, secrets, toxicity, warczip
+from assayer.llm import bpe, decontaminate, fingerprint, jaccard, lexical, lineruns, merkle, mixing, pii, resample, secrets, toxicity, warczip
 from assayer.plans.registry import query
 from assayer.session import fresh_path, table
 
@@ -234,4 +234,29 @@ def op12_mix(spark, sf):
     return mixing.mix(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query(
+    "op13_search",
+    r"""
+    WITH d AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    totals AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS big_n, sum(len(w))::BIGINT AS big_l FROM d),
+    tf AS (SELECT doc_id, len(w) AS n, t, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS t FROM d) GROUP BY doc_id, len(w), t),
+    q AS (
+        SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+    w AS (
+        SELECT t, floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+        FROM tf, totals WHERE t IN (SELECT t FROM q) GROUP BY t),
+    s AS (
+        SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * big_n) // big_l))))::BIGINT AS score
+        FROM q JOIN w USING (t) JOIN tf USING (t), totals GROUP BY item_id, doc_id)
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+    FROM s WHERE score > 0 QUALIFY rank <= 50
+    """,
+)
+def op13_search(spark, sf):
+    return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
