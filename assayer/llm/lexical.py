@@ -37,9 +37,10 @@ from assayer.llm.base import scratch, small, written
 from assayer.llm.words import WordHashes
 
 #: Bits per entry and slices per entry of a signature; bits of a block's bitmap.
-BITS, SLICES, BLOCK = 10, 3, 1 << 21
+BITS, SLICES, BLOCK = 20, 6, 1 << 21
 #: Counts of a term that have an entry of their own.
 COUNTS = [1, *(n for k in range(1, 40) for n in (1 << k, 3 << k - 1))]
+_COUNTS = np.array(COUNTS)
 #: Items and distinct terms that are searched together; terms whose bounds are made together.
 ITEMS, TERMS, TOGETHER = 2048, 1 << 17, 2048
 #: Terms whose counts a task holds before it writes them.
@@ -84,7 +85,7 @@ def sliced(bits: int, docs: list[tuple[np.ndarray, np.ndarray]]) -> bytes:
 
 def signature_bits(counts: np.ndarray) -> int:
     """Bits for a document's entries, rounded up to three binary digits."""
-    need = BITS * int(np.searchsorted(COUNTS, counts, side="right").sum())
+    need = BITS * int(_COUNTS.searchsorted(counts, side="right").sum())
     step = 1 << max(need.bit_length() - 3, 3)
     return -(-need // step) * step
 
@@ -117,7 +118,7 @@ class Writer:
         if not found:
             return
         counts = np.fromiter(found.values(), np.int64, len(found))
-        hashes = np.fromiter((self.known[t] for t in found), np.uint64, len(found))
+        hashes = np.fromiter(map(self.known.__getitem__, found), np.uint64, len(found))
         size, bits = int(counts.sum()), signature_bits(counts)
         self.documents, self.terms = self.documents + 1, self.terms + size
         self.df.update(found.keys())
