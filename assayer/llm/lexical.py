@@ -3,8 +3,8 @@
 Each document has a Bloom signature of its terms. A term that occurs more than once is entered again for every count of
 ``COUNTS`` that it reaches, so a signature never claims fewer occurrences than there are. Signatures of documents
 with about as many entries have the same number of bits and are stored in blocks, sliced: a row of a block's bitmap is one bit
-of all its documents. One pass over the texts writes, partition by partition, the blocks, the number of documents that
-hold each term, and the numbers of documents and terms; nothing is shuffled.
+of all its documents. One pass over the texts writes, partition by partition, the blocks with their texts, the number of
+documents that hold each term, and the numbers of documents and terms; no text is shuffled.
 
 A search takes its items in blocks of bounded size (``ITEMS``, ``TERMS``):
 
@@ -12,7 +12,8 @@ A search takes its items in blocks of bounded size (``ITEMS``, ``TERMS``):
    term can add to each score. The weighted sums over an item's terms are upper bounds. The ``k``
    documents of highest bound of each item are scored exactly, from their texts.
 2. The bounds are made again. A document is excluded only if its bound is below the k-th of these exact scores, or equal to
-   it with a larger key. All others are scored exactly and ranked, so the result is that of a full scan.
+   it with a larger key. All others are scored exactly, from the texts beside the bitmap, and ranked; so the result is that of
+   a full scan.
 
 Terms are the maximal runs of characters other than ASCII ones that are no letters or digits, with A-Z in lower case. A
 document without terms is not counted and never found; a null text has none, and neither has a null item. An
@@ -32,19 +33,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from assayer.llm.base import scratch, small, written
-from assayer.llm.words import WordHashes
+from assayer.llm.base import scratch, written
 
 #: Bits per entry and slices per entry of a signature; bits of a block's bitmap.
 BITS, SLICES, BLOCK = 20, 6, 1 << 21
+#: Documents of a block at most.
+WIDTH = 512
 #: Counts of a term that have an entry of their own.
 COUNTS = [1, *(n for k in range(1, 40) for n in (1 << k, 3 << k - 1))]
 _COUNTS = np.array(COUNTS)
 #: Items and distinct terms that are searched together; terms whose bounds are made together.
 ITEMS, TERMS, TOGETHER = 2048, 1 << 17, 2048
 #: Terms whose counts a task holds before it writes them.
-HELD = 200_000
+HELD = 100_000
 #: Groups into which the rows of an item are dealt before they are ranked.
 DEALT = 64
 
@@ -94,7 +97,7 @@ class Writer:
     """What a task collects: pending documents by signature size, document counts of terms, and totals."""
 
     def __init__(self, schema: pa.Schema):
-        self.schema, self.known = schema, WordHashes()
+        self.schema = schema
         self.pending: dict[int, list] = defaultdict(list)
         self.df: Counter[bytes] = Counter()
         self.documents = self.terms = 0
@@ -106,7 +109,8 @@ class Writer:
 
     def block(self, bits: int) -> pa.RecordBatch:
         docs = self.pending.pop(bits)
-        return self.row(bits=bits, keys=[k for k, *_ in docs], sizes=[n for _, n, _ in docs], slices=sliced(bits, [d for *_, d in docs]))
+        return self.row(bits=bits, keys=[d[0] for d in docs], sizes=[d[1] for d in docs], texts=[d[2] for d in docs],
+                        slices=sliced(bits, [d[3] for d in docs]))
 
     def dictionary(self) -> pa.RecordBatch:
         out = self.row(words=list(self.df.keys()), df=list(self.df.values()))
@@ -118,14 +122,14 @@ class Writer:
         if not found:
             return
         counts = np.fromiter(found.values(), np.int64, len(found))
-        hashes = np.fromiter(map(self.known.__getitem__, found), np.uint64, len(found))
+        hashes = np.fromiter(map(xxh64_intdigest, found), np.uint64, len(found))
         size, bits = int(counts.sum()), signature_bits(counts)
         self.documents, self.terms = self.documents + 1, self.terms + size
         self.df.update(found.keys())
         if len(self.df) >= HELD:
             yield self.dictionary()
-        self.pending[bits].append((key, size, (hashes, counts.astype(np.int32))))
-        if len(self.pending[bits]) >= max(BLOCK // bits // 8 * 8, 8):
+        self.pending[bits].append((key, size, text, (hashes, counts.astype(np.int32))))
+        if len(self.pending[bits]) >= min(max(BLOCK // bits // 8 * 8, 1), WIDTH):
             yield self.block(bits)
 
     def rest(self) -> Iterator[pa.RecordBatch]:
@@ -137,16 +141,17 @@ class Writer:
 
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The index as a table: rows of blocks (bits, keys, sizes, slices), of term counts (words, df) and of totals (documents, terms).
+    """The index as a table: rows of blocks (bits, keys, sizes, slices, texts), of term counts (words, df) and of totals (documents, terms).
 
     Written to the shared folder; it goes with the ``scratch`` block it is made in.
     """
     slim = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     kinds = (
         f"bits int, keys array<{slim.schema['key'].dataType.simpleString()}>, sizes array<long>, slices binary, "
-        "words array<binary>, df array<long>, documents long, terms long"
+        "texts array<string>, words array<binary>, df array<long>, documents long, terms long"
     )
     fields = [("bits", pa.int32()), ("keys", None), ("sizes", pa.list_(pa.int64())), ("slices", pa.binary())]
+    fields += [("texts", pa.list_(pa.string()))]
     fields += [("words", pa.list_(pa.binary())), ("df", pa.list_(pa.int64())), ("documents", pa.int64()), ("terms", pa.int64())]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,8 +185,7 @@ class Wanted:
 
     @cached_property
     def hashes(self) -> np.ndarray:
-        known = WordHashes()
-        return np.array([known[t] for t in self.known], np.uint64)
+        return np.array([xxh64_intdigest(t) for t in self.known], np.uint64)
 
     @cached_property
     def parts(self) -> list[tuple[int, int, list[tuple[int, np.ndarray, np.ndarray]]]]:
@@ -253,8 +257,10 @@ def best_bounds(index: DataFrame, wanted: Wanted, k: int, key_type: str) -> Data
                 least[full] = held[1][np.searchsorted(held[0], full, side="right") - 1]
             return held, [keys[i] for i in order]
 
-        for bits, names, sizes, slices in blocks_of(batches):
+        for bits, names, sizes, slices, _ in blocks_of(batches):
             kind, bounds = names.type, wanted.bounds(bits, sizes, slices)
+            if len(sizes) > k:  # of a block, too, only k an item
+                bounds[bounds < -np.partition(-bounds, k - 1, axis=1)[:, k - 1 : k]] = 0
             q, d = np.nonzero(bounds > least[:, None])
             names = names.to_pylist()
             held = [np.concatenate([held[0], q]), np.concatenate([held[1], bounds[q, d]])]
@@ -270,32 +276,48 @@ def best_bounds(index: DataFrame, wanted: Wanted, k: int, key_type: str) -> Data
     return index.mapInArrow(find, f"q int, key {key_type}, bound long")
 
 
-def above_bounds(index: DataFrame, wanted: Wanted, least: list[int], key_type: str) -> DataFrame:
-    """(q, key, bound) of all documents whose bound is at least the item's ``least``."""
-    floor = np.array(least, np.float64)[:, None]
+def not_excluded(index: DataFrame, wanted: Wanted, last: dict[int, tuple[int, object]], key_type: str) -> DataFrame:
+    """(q, key, score) of all documents that their bound does not exclude, scored exactly, scores above 0.
+
+    ``last``: for an item the score and key of a document that at least k documents equal or precede.
+    """
+    floor = np.array([max(last[q][0], 1) if q in last else 1 for q in range(len(wanted.items))], np.float64)[:, None]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bits, names, sizes, slices in blocks_of(batches):
+        for bits, names, sizes, slices, texts in blocks_of(batches):
             bounds = wanted.bounds(bits, sizes, slices)
-            q, d = np.nonzero(bounds >= floor)
-            if len(q):
-                columns = [pa.array(q.astype(np.int32)), names.take(pa.array(d)), pa.array(bounds[q, d].astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["q", "key", "bound"])
-
-    return index.mapInArrow(find, f"q int, key {key_type}, bound long")
-
-
-def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, np.ndarray, bytes]]:
+            open_ = bounds >= floor
+            keys = names.to_pylist()
+            for q, d in zip(*np.nonzero(bounds == floor)):
+                if q in last and keys[d] is not None and last[q][1] is not None and keys[d] > last[q][1]:
+                    open_[q, d] = False
+            hits = []
+            for d in np.flatnonzero(open_.any(axis=0)):
+                asked = np.flatnonzero(open_[:, d]).tolist()
+                hits += [(q, d, s) for q, s in zip(asked, wanted.scores(texts[int(d)].as_py(), asked)) if s > 0]
+            if hits:
+                q, d, scores = zip(*hits)
+                columns = [pa.array(q, pa.int32()), names.take(pa.array(d, pa.int64())), pa.array(scores, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["q", "key", "score"])
+
+    return index.mapInArrow(find, f"q int, key {key_type}, score long")
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, np.ndarray, bytes, pa.Array]]:
+    """The blocks of an index: bits, keys, sizes, bitmap, texts (where they are asked for)."""
     for batch in batches:
         for i in range(batch.num_rows):
-            bits, keys, sizes, slices = (batch.column(c)[i] for c in range(4))
-            yield bits.as_py(), keys.values, sizes.values.to_numpy(zero_copy_only=False), slices.as_buffer()
+            bits, keys, sizes, slices, *texts = (c[i] for c in batch.columns)
+            yield bits.as_py(), keys.values, sizes.values.to_numpy(zero_copy_only=False), slices.as_buffer(), texts[0].values if texts else None
 
 
 def rescored(docs: DataFrame, pairs: DataFrame, wanted: Wanted, key_type: str) -> DataFrame:
-    """(q, key, score) of ``pairs`` (q, key) from the whole texts, scores above 0; ``docs``: key, text."""
-    by_key = written(pairs.groupBy("key").agg(F.collect_set("q").alias("qs")), "lexical-pairs")  # at most ITEMS in a set
-    met = docs.alias("d").join(small(by_key).alias("p"), F.col("d.key").eqNullSafe(F.col("p.key"))).select("d.key", "d.text", "p.qs")
+    """(q, key, score) of ``pairs`` (q, key), at most k for each of ``ITEMS`` items, from the whole texts; scores above 0.
+
+    ``docs``: key, text.
+    """
+    by_key = pairs.groupBy("key").agg(F.collect_set("q").alias("qs"))
+    met = docs.alias("d").join(F.broadcast(by_key).alias("p"), F.col("d.key").eqNullSafe(F.col("p.key"))).select("d.key", "d.text", "p.qs")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -344,17 +366,13 @@ def search_block(index: DataFrame, docs: DataFrame, found: list[list[bytes]], k:
     counts = counts.join(F.broadcast(asked), "word").groupBy("word").agg(F.sum("df").alias("df"))  # at most TERMS and one item's
     weight = lambda df: math.floor(1000 * math.log((2 * documents + 2) / (2 * df + 1)))
     wanted = Wanted(found, {bytes(r.word): weight(r.df) for r in counts.collect()}, documents, total)
-    stored = index.where("slices is not null").select("bits", "keys", "sizes", "slices")
+    stored = index.where("slices is not null").select("bits", "keys", "sizes", "slices", "texts")
 
-    likely = ranked(best_bounds(stored, wanted, k, key_type), "bound", k).select("q", "key")
+    likely = ranked(best_bounds(stored.drop("texts"), wanted, k, key_type), "bound", k).select("q", "key")
     seen = ranked(rescored(docs, likely, wanted, key_type), "score", k).where(F.col("rank") == k)
     limits = {r.q: r for r in seen.collect()}  # one row an item
-    least = [max(limits[q].score, 1) if q in limits else 1 for q in range(len(found))]
-    ends = spark.createDataFrame([(q, r.score, r.key) for q, r in limits.items()], f"q int, score long, last {key_type}")
-    open_ = above_bounds(stored, wanted, least, key_type).join(F.broadcast(ends), "q", "left")
-    beyond = (F.col("bound") == F.col("score")) & (F.col("key") > F.col("last"))
-    open_ = open_.where(~F.coalesce(beyond, F.lit(False))).select("q", "key")
-    return ranked(rescored(docs, open_, wanted, key_type), "score", k)
+    last = {q: (r.score, r.key) for q, r in limits.items()}
+    return ranked(not_excluded(stored, wanted, last, key_type), "score", k)
 
 
 def search(
