@@ -150,33 +150,39 @@ def _exponent(number: Column) -> Column:
     return F.regexp_extract(number, r"[eE]([+-]?\d+)$", 1).try_cast("int")
 
 
-def _written_out(number: Column) -> Column:
-    """An exponent number without its exponent; left alone when that would be absurdly long."""
+#: Digits before the point, and zeros after it, up to which a token has the number written out.
+WRITTEN_OUT = 40
+
+
+def _normal_token(number: Column) -> Column:
+    """``number_token`` of a number with an exponent or many digits, from its sign, stripped digits and power of ten."""
     mantissa = F.regexp_extract(number, r"^[+-]?([0-9.]+)", 1)
-    whole = F.substring_index(mantissa, ".", 1)
-    sign = F.when(number.startswith("-"), "-").otherwise("")
+    fraction = F.when(mantissa.contains("."), F.length(F.substring_index(mantissa, ".", -1))).otherwise(0)
+    power = F.coalesce(F.regexp_extract(number, r"[eE]([+-]?\d+)$", 1).try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
     parts = F.struct(
-        F.replace(mantissa, F.lit(".")).alias("digits"),
-        (F.length(whole) + _exponent(number)).alias("point"),
-        sign.alias("sign"),
+        F.when(number.startswith("-"), "-").otherwise("").alias("sign"),
+        F.regexp_replace(F.replace(mantissa, F.lit(".")), "^0+", "").alias("digits"),
+        (power - fraction).cast("decimal(38,0)").alias("power"),
     )
 
-    def place(p: Column) -> Column:
-        digits, point, size = p["digits"], p["point"], F.length(p["digits"])
-        shifted = (
-            F.when(point <= 0, F.concat(F.lit("."), F.repeat(F.lit("0"), -point), digits))
-            .when(point >= size, F.concat(digits, F.repeat(F.lit("0"), point - size)))
-            .otherwise(
-                F.concat(
-                    F.substring(digits, F.lit(1), point),
-                    F.lit("."),
-                    F.substring(digits, point + 1, size),
-                )
-            )
+    def stripped(p: Column) -> Column:
+        short = F.regexp_replace(p["digits"], "0+$", "")
+        moved = (p["power"] + F.length(p["digits"]) - F.length(short)).cast("decimal(38,0)")
+        return F.struct(p["sign"].alias("sign"), short.alias("digits"), moved.alias("power"))
+
+    def written(p: Column) -> Column:
+        digits, size = p["digits"], F.length(p["digits"])
+        point = size + p["power"]
+        near = F.least(F.greatest(point, F.lit(-WRITTEN_OUT)), F.lit(WRITTEN_OUT)).cast("int")
+        plain = (
+            F.when(near <= 0, F.concat(F.lit("."), F.repeat(F.lit("0"), -near), digits))
+            .when(near >= size, F.concat(digits, F.repeat(F.lit("0"), near - size), F.lit(".")))
+            .otherwise(F.concat(F.substring(digits, F.lit(1), near), F.lit("."), F.substring(digits, near + 1, size)))
         )
-        return F.concat(p["sign"], shifted)
+        token = F.when(F.abs(point) <= WRITTEN_OUT, plain).otherwise(F.concat(digits, F.lit("E"), p["power"].cast("string")))
+        return F.concat(p["sign"], F.when(size == 0, ".").otherwise(token))
 
-    return F.when(F.abs(_exponent(number)) > 400, F.lower(number)).otherwise(let(parts, place))
+    return let(parts, lambda p: let(stripped(p), written))
 
 
 def decimal_places(number: Column) -> Column:
@@ -193,10 +199,13 @@ def decimal_places(number: Column) -> Column:
 
 
 def number_token(number: Column) -> Column:
-    """One text per value: sign, digits, point, digits, without outer zeros. Exact at any size."""
-    scaled = number.contains("E") | number.contains("e")
-    plain = F.when(scaled, _written_out(number)).otherwise(number)
-    return F.regexp_replace(plain, r"^\+?(-?)0*(\d*)(?:\.(\d*?)0*)?$", "$1$2.$3")
+    """One text per value, exact at any size: sign, digits, point, digits, without outer zeros.
+
+    A number of more than ``WRITTEN_OUT`` digits before the point, or zeros after it, has digits and power of ten instead.
+    """
+    odd = number.contains("E") | number.contains("e") | (F.length(number) > WRITTEN_OUT)
+    plain = F.regexp_replace(number, r"^\+?(-?)0*(\d*)(?:\.(\d*?)0*)?$", "$1$2.$3")
+    return F.when(odd, _normal_token(number)).otherwise(plain)
 
 
 def _float_token(text: Column) -> Column:
@@ -331,17 +340,37 @@ def row_signature(prepared: Column) -> Column:
 
 
 def round_to_places(value: Column, places: Column) -> Column:
-    """Half-even rounding to a per-row number of places (the builtin wants a constant)."""
+    """Half-even rounding of a DECIMAL(38,18) to a per-row number of places (the builtin wants a constant)."""
     out = F.when(places == 0, F.bround(value, 0).cast("decimal(38,18)"))
     for k in range(1, 18):
         out = out.when(places == k, F.bround(value, k).cast("decimal(38,18)"))
     return out.otherwise(value)
 
 
+def _fits(c: Column) -> Column:
+    """Whether ``num`` of a prepared number holds all its digits."""
+    return c["num"].isNotNull() & ~c["tok"].contains("E") & (F.length(F.substring_index(c["tok"], ".", -1)) <= 18)
+
+
+def _long_equal(gold: Column, pred: Column, abs_tol: Column, rel_tol: Column, far: Column) -> Column:
+    """``numeric_equal`` where DECIMAL(38,18) does not hold all digits of both numbers.
+
+    Integers of 38 digits, and small numbers of 36 places, are subtracted exactly. Of others, different values are equal
+    only within a tolerance that is not zero, as doubles (``far``).
+    """
+    text = lambda c: F.substring(c["tok"], F.lit(5), F.length(c["tok"]))
+    whole = lambda c: F.when(c["tok"].endswith("."), text(c).try_cast("decimal(38,0)"))
+    small = lambda c: F.when(F.length(F.substring_index(c["tok"], ".", -1)) <= 36, text(c).try_cast("decimal(38,36)"))
+    size = F.greatest(F.abs(gold["dbl"]), F.abs(pred["dbl"]), F.lit(1.0))
+    within = lambda gap: F.abs(gap).cast("double") <= F.greatest(abs_tol, rel_tol * size)
+    loose = far & ((abs_tol > 0) | (rel_tol > 0))
+    return F.coalesce(within(whole(gold) - whole(pred)), within(small(gold) - small(pred)), loose)
+
+
 def numeric_equal(gold: Column, pred: Column, abs_tol: Column, rel_tol: Column) -> Column:
     """Compare prepared numbers: ``pred`` is first rounded to the places ``gold`` carries.
 
-    Values outside DECIMAL(38,18) are compared as doubles.
+    Equal values are equal at any size; see ``_long_equal`` for those that DECIMAL(38,18) does not hold.
     """
 
     def near(rounded: Column) -> Column:
@@ -352,29 +381,31 @@ def numeric_equal(gold: Column, pred: Column, abs_tol: Column, rel_tol: Column)
     gap = F.abs(gold["dbl"] - pred["dbl"])
     far = gap <= F.greatest(abs_tol, rel_tol * far_size)
     # rounding moves a value by at most one half, so a wider gap needs no exact arithmetic
-    apart = gap > 1.0 + 2 * (abs_tol + rel_tol * far_size)
+    apart = (gap > 1.0 + 2 * (abs_tol + rel_tol * far_size)) & (far_size < 1e300)
     exact = let(round_to_places(pred["num"], gold["places"]), near)
-    return F.when(apart | gap.isNull(), F.lit(False)).otherwise(F.coalesce(exact, far, F.lit(False)))
+    digits = F.when(_fits(gold) & _fits(pred), exact).otherwise(_long_equal(gold, pred, abs_tol, rel_tol, far))
+    return F.when(apart | gap.isNull(), F.lit(False)).when(gold["tok"] == pred["tok"], F.lit(True)).otherwise(F.coalesce(digits, F.lit(False)))
 
 
 def values_equal(gold: Column, pred: Column, abs_tol: Column, rel_tol: Column) -> Column:
     """Equality of two prepared cells with tolerance; never NULL."""
     gk, pk = gold["kind"], pred["kind"]
-    number = numeric_equal(gold, pred, abs_tol, rel_tol)
-    bit = lambda c: F.when(c["kind"] == "bool", (c["text"] == "true").cast("double")).otherwise(
-        c["dbl"]
-    )
-    same_kind = (
-        F.when(gk == "num", (gold["tok"] == pred["tok"]) | number)
-        .when(gk == "str", gold["low"] == pred["low"])
-        .otherwise(gold["text"].eqNullSafe(pred["text"]))
-    )
-    other_kind = (
-        F.when(gk.isin("null", "other") | pk.isin("null", "other"), F.lit(False))
+    bit = lambda c: F.when(c["kind"] == "bool", (c["text"] == "true").cast("double")).otherwise(c["dbl"])
+    out = (
+        F.when((gk == "num") & (pk == "num") & (gold["tok"] == pred["tok"]), F.lit(True))
+        .when((gk == "str") & (pk == "str"), gold["low"] == pred["low"])
+        .when((gk == pk) & (gk != "num"), gold["text"].eqNullSafe(pred["text"]))
+        .when(gk.isin("null", "other") | pk.isin("null", "other"), F.lit(False))
         .when((gk == "bool") | (pk == "bool"), (gk != "str") & (pk != "str") & (bit(gold) == bit(pred)))
-        .otherwise(number)
+        .otherwise(numeric_equal(gold, pred, abs_tol, rel_tol))
     )
-    return F.coalesce(F.when(gk == pk, same_kind).otherwise(other_kind), F.lit(False))
+    return F.coalesce(out, F.lit(False))
+
+
+def cells_equal(gold: Column, pred: Column, abs_tol: Column, rel_tol: Column) -> Column:
+    """``values_equal`` of cells that are expressions: each is computed once, however often it is looked at."""
+    both = F.struct(gold.alias("g"), pred.alias("p"), abs_tol.alias("a"), rel_tol.alias("r"))
+    return let(both, lambda x: values_equal(x["g"], x["p"], x["a"], x["r"]))
 
 
 def rows_equal(gold: Column, pred: Column, abs_tol: Column, rel_tol: Column) -> Column:

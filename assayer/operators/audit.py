@@ -30,6 +30,13 @@ def _one_zero(c: Column, dtype: T.DataType) -> Column:
     return c + F.lit(0.0) if isinstance(dtype, T.DoubleType) else c
 
 
+def _wide(dtype: T.DataType) -> str:
+    """Where values are added exactly: at their own scale, doubles and floats at twelve places."""
+    if isinstance(dtype, T.DecimalType):
+        return f"decimal(38,{dtype.scale})"
+    return "decimal(38,12)" if isinstance(dtype, T.FractionalType) else "decimal(38,0)"
+
+
 def profile(df: DataFrame, name: str, distinct: bool = True) -> DataFrame:
     """COUNT, COUNT DISTINCT, SUM, MIN, MAX per column as (table, column, stat, value).
 
@@ -42,7 +49,7 @@ def profile(df: DataFrame, name: str, distinct: bool = True) -> DataFrame:
         c = F.col(f.name)
         aggs.append(F.count(c).cast("string").alias(f"{f.name}|count"))
         if isinstance(f.dataType, T.NumericType):
-            total = F.sum(c.cast("decimal(24,4)")).cast("decimal(34,4)")
+            total = F.sum(c.cast(_wide(f.dataType)))
             aggs.append(total.cast("string").alias(f"{f.name}|sum"))
         if isinstance(f.dataType, (T.AtomicType,)) and not isinstance(f.dataType, T.BinaryType):
             aggs.append(F.min(c).cast("string").alias(f"{f.name}|min"))
@@ -213,14 +220,8 @@ def gini(df: DataFrame, value: str) -> DataFrame:
     so only (value, count) pairs are ordered, and that without a one-task window."""
     counted = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n"))
     upto = running_sum(counted, [], [F.col(value)], {"upto": F.col("n")})
-    x = F.col(value).cast("decimal(20,4)")
-    position = (F.col("upto") * 2 - F.col("n") + 1).cast("decimal(20,0)")
-    total = upto.agg(
-        F.sum("n").alias("n"),
-        F.sum(x * F.col("n").cast("decimal(12,0)")).cast("double").alias("sx"),
-        F.sum((x * position).cast("decimal(38,4)") * F.col("n").cast("decimal(12,0)"))
-        .cast("double")
-        .alias("two_six"),
-    )
+    x = F.col(value).cast("double")
+    position = (F.col("upto") * 2 - F.col("n") + 1).cast("double")
+    total = upto.agg(F.sum("n").alias("n"), F.sum(x * F.col("n")).alias("sx"), F.sum(x * position * F.col("n")).alias("two_six"))
     g = F.col("two_six") / (F.col("n") * F.col("sx")) - (F.col("n") + 1) / F.col("n")
     return total.select(F.col("n"), g.alias("gini"))

@@ -11,10 +11,14 @@ rows meet by (task, signature) or (task, position), which spreads evenly.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions import cells as C
+from assayer.operators.ordering import running_sum
 from assayer.session import cut_lineage
 
 
@@ -204,36 +208,89 @@ def tolerant_edges(gold: DataFrame, pred: DataFrame, pairs: DataFrame) -> DataFr
     return g.join(p, [*key, "part", "scale", "cell"]).where(same).select(*key, "g", "g_left", "p", "p_left")
 
 
+#: Edges of an answer up to which what is left of it is matched in one task.
+SEQUENTIAL = 200_000
+
+
 def greedy_assignment(gold: DataFrame, pred: DataFrame, pairs: DataFrame) -> DataFrame:
     """``matched`` rows per (run, task) for ``pairs`` (run_id, task_id, gold_rows, pred_rows, abs_tol,
     rel_tol, in_order): distinct gold rows in order of position or signature, each taking
     the first predicted rows that fit and are left, as many as it has copies.
 
-    An edge that is the first of both its ends is what that order would choose whatever happens
-    elsewhere. All such edges are taken at once, the copies they use up are subtracted, and the
-    next round looks at what is left. Numbers are compared at the places the gold value carries, so
-    nearly every row has one partner and one or two rounds are enough. Answers of any size.
+    A gold class gets a stretch of predicted rows at a time (``_stretches``), so its number of copies and partners
+    does not matter. What two such steps leave are gold classes that compete for the same rows; these are
+    matched one after the other, an answer in one task (``_in_sequence``). Only answers with more than ``SEQUENTIAL`` edges
+    left go on with stretches; there the first gold class that is left and all that do not compete with one before
+    them end with every step.
     """
     key = ["run_id", "task_id"]
-    edges = cut_lineage(tolerant_edges(gold, pred, pairs))
-    taken = None
+    edges, taken, step = cut_lineage(tolerant_edges(gold, pred, pairs)), [], 0
     while not edges.isEmpty():
-        by_g = edges.groupBy(*key, "g").agg(F.min("p").alias("p"))
-        by_p = edges.groupBy(*key, "p").agg(F.min("g").alias("g"))
-        won = edges.join(by_g, [*key, "g", "p"], "left_semi").join(by_p, [*key, "g", "p"], "left_semi")
-        won = cut_lineage(won.select(*key, "g", "p", F.least("g_left", "p_left").alias("moved")))
-        taken = won if taken is None else taken.unionByName(won)
-        rest = edges.join(won.select(*key, "g", F.col("moved").alias("mg")), [*key, "g"], "left")
-        rest = rest.join(won.select(*key, "p", F.col("moved").alias("mp")), [*key, "p"], "left")
-        left = lambda side: (F.col(f"{side}_left") - F.coalesce(f"m{side}", F.lit(0))).alias(f"{side}_left")
-        edges = cut_lineage(rest.select(*key, "g", left("g"), "p", left("p")).where("g_left > 0 and p_left > 0"))
+        if step >= 2:
+            big = edges.groupBy(*key).count().where(F.col("count") > SEQUENTIAL)
+            taken.append(cut_lineage(_in_sequence(edges.join(big, key, "left_anti"))))
+            edges = cut_lineage(edges.join(big, key, "left_semi"))
+            if edges.isEmpty():
+                break
+        moved, edges = _stretches(edges)
+        taken.append(moved)
+        step += 1
     none = F.lit(0).cast("long")
-    if taken is None:
+    if not taken:
         return pairs.select(*key, none.alias("matched"))
-    found = taken.groupBy(*key).agg(F.sum("moved").alias("matched"))
+    found = reduce(DataFrame.unionByName, taken).groupBy(*key).agg(F.sum("moved").alias("matched"))
     return pairs.select(*key).join(found, key, "left").select(*key, F.coalesce("matched", none).alias("matched"))
 
 
+def _stretches(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One step: what every gold class takes (run_id, task_id, moved), and the edges that are left.
+
+    The partners of a gold class up to the first that an earlier gold class may take are its own: it takes
+    them in their order until its copies are used up, which the running sum of theirs tells.
+    """
+    key = ["run_id", "task_id"]
+    first = edges.groupBy(*key, "p").agg(F.min("g").alias("first"))
+    met = edges.join(first, [*key, "p"])
+    stop = met.where("g <> first").groupBy(*key, "g").agg(F.min("p").alias("stop"))
+    own = met.where("g = first").join(stop, [*key, "g"], "left").where("stop is null or p < stop")
+    partners = own.groupBy(*key, "g").agg(F.count(F.lit(1)).alias("partners"))
+    own = cut_lineage(own.join(partners, [*key, "g"]).select(*key, "g", "g_left", "p", "p_left", "partners"))
+    single = own.where("partners = 1").select(*key, "g", "p", F.least("g_left", "p_left").alias("moved"))
+    many = own.where("partners > 1")
+    if not many.isEmpty():
+        summed = running_sum(many.withColumn("of", F.to_json("g")), [*key, "of"], ["p"], {"upto": F.col("p_left")})
+        share = F.least(F.col("g_left") - (F.col("upto") - F.col("p_left")), F.col("p_left"))
+        single = single.unionByName(summed.select(*key, "g", "p", share.alias("moved")).where("moved > 0"))
+    moved = cut_lineage(single)
+    by_g = moved.groupBy(*key, "g").agg(F.sum("moved").alias("mg"))
+    rest = edges.join(by_g, [*key, "g"], "left").join(moved.select(*key, "p", F.col("moved").alias("mp")), [*key, "p"], "left")
+    left = lambda side: (F.col(f"{side}_left") - F.coalesce(f"m{side}", F.lit(0))).alias(f"{side}_left")
+    rest = rest.select(*key, "g", left("g"), "p", left("p")).where("g_left > 0 and p_left > 0")
+    return moved.select(*key, "moved"), cut_lineage(rest)
+
+
+def _in_sequence(edges: DataFrame) -> DataFrame:
+    """(run_id, task_id, moved) of answers with few edges: gold classes in order, each taking its first partners."""
+    key = ["run_id", "task_id"]
+    flat = edges.select(
+        *key, F.coalesce("g.pos", F.lit(0).cast("long")).alias("g_pos"), F.col("g.sig").alias("g_sig"), "g_left",
+        F.coalesce("p.pos", F.lit(0).cast("long")).alias("p_pos"), F.col("p.sig").alias("p_sig"), "p_left",
+    )
+
+    def match(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["g_pos", "g_sig", "p_pos", "p_sig"])
+        want, free, total = {}, {}, 0
+        for g, n, p, m in zip(zip(rows.g_pos, rows.g_sig), rows.g_left, zip(rows.p_pos, rows.p_sig), rows.p_left):
+            take = min(want.setdefault(g, n), free.setdefault(p, m))
+            want[g] -= take
+            free[p] -= take
+            total += take
+        return pd.DataFrame({"run_id": rows.run_id.iloc[:1], "task_id": rows.task_id.iloc[:1], "moved": [total]})
+
+    kinds = ", ".join(f"{k} {edges.schema[k].dataType.simpleString()}" for k in key)
+    return flat.groupBy(*key).applyInPandas(match, f"{kinds}, moved long")
+
+
 # ---------------------------------------------------------------- columns
 
 

@@ -37,29 +37,29 @@ def rollup_ranked(df: DataFrame, levels: Sequence[str], value: Column) -> DataFr
 
 
 def chain_paths(members: DataFrame, key: str, parent: str, name: str) -> DataFrame:
-    """Names from the root to every member joined by ' > ', level by level.
+    """Names from the root to every member joined by ' > ', by pointer doubling.
 
-    A level is one equi join of the members with the level above; the number of joins is the
-    depth of the hierarchy, whatever its width. Members of a loop or below an unknown parent are
-    never reached, like in a recursive query that starts at the roots.
+    A row has the names down from below the ancestor that it points to. Each step joins rows with those of that ancestor, which doubles
+    the levels a row has behind it: 2^k levels end in k joins. Members of a loop or below an unknown parent never point
+    to nothing and are left out, as in a recursive query that starts at the roots; the steps end
+    when one brings no member to its root, since then no other has one.
     """
     rows = members.select(
         F.col(key).alias("id"),
         F.col(parent).cast(members.schema[key].dataType).alias("up"),
-        F.col(name).cast("string").alias("name"),
+        F.col(name).cast("string").alias("chain"),
     )
-    level = cut_lineage(rows.where("up is null").select("id", F.col("name").alias("chain")))
-    chains = level
-    below = rows.where("up is not null")
-    while not level.isEmpty():
-        upper = level.select(F.col("id").alias("up"), F.col("chain").alias("upper"))
-        level = cut_lineage(
-            below.join(upper, "up").select(
-                "id", F.concat("upper", F.lit(" > "), "name").alias("chain")
-            )
+    rows = cut_lineage(rows)
+    while not rows.where("up is not null").isEmpty():
+        upper = rows.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("chain").alias("above"))
+        moved = rows.join(upper, "up").select(
+            "id", F.col("next").alias("up"), F.concat("above", F.lit(" > "), "chain").alias("chain")
         )
-        chains = chains.unionByName(level)
-    return chains.select(F.col("id").alias(key), "chain")
+        moved = cut_lineage(moved)
+        rows = cut_lineage(rows.where("up is null").unionByName(moved))
+        if moved.where("up is null").isEmpty():
+            break
+    return rows.where("up is null").select(F.col("id").alias(key), "chain")
 
 
 def running_by_day(df: DataFrame, keys: Sequence[str], day: Column, value: Column) -> DataFrame:

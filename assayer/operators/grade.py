@@ -7,8 +7,12 @@ Frames
 ``pred_head``  run_id, task_id, raw, shape, n_rows, columns, value (+ latency, cost, ...)
 ``gold`` / ``pred``  answer rows (see ``compare``)
 
-``shape`` is ``list`` or ``value``; ``raw`` is ``null``, ``empty_text``, ``missing_answer``,
+``shape`` is ``list`` or ``value``; ``raw`` is ``null``, ``empty_text``, ``missing_answer``, ``unreadable``,
 ``list``, ``dict`` or ``scalar``; ``value`` is the cell a scalar method compares.
+
+What fails for one task is a row, not the end of the job: an answer that cannot be read, and the ``failures``
+(run_id or null for every run, task_id, error_type, error_message) of whoever made the answers, such as a
+statement that did not run. Such pairs are not compared and fail with their label and message.
 """
 
 from __future__ import annotations
@@ -30,6 +34,16 @@ SCALAR_METHODS = ("Scalar-Match", "Scalar Match", "Exact-Scalar")
 RUBRIC_METHODS = ("Rubric",)
 
 
+# Messages that go with the labels.
+MESSAGES = {
+    "rubric_pending": "Rubric scoring requires a judge evaluator (not yet implemented)",
+    "missing_prediction": "No prediction found for task",
+    "missing_answer": "Prediction row missing predicted_answer/answer",
+    "ambiguous_column_mapping": "Prediction has extra columns and more than one column mapping reproduces the "
+    "gold values; gold column names do not resolve it",
+}
+
+
 def method_class(method: Column, answer_type: Column) -> Column:
     return (
         F.when(method.isin(*RUBRIC_METHODS), "rubric")
@@ -74,6 +88,7 @@ def joined(tasks, gold_head, pred_head, runs) -> DataFrame:
         F.col("n_rows").alias("gold_rows"),
         F.col("columns").alias("gold_columns"),
         F.col("value").alias("gold_value"),
+        (F.col("raw") if "raw" in gold_head.columns else F.lit(None).cast("string")).alias("gold_raw"),
     )
     pred = pred_head.select(
         F.col("run_id").cast("string").alias("run_id"),
@@ -102,9 +117,35 @@ def error_before_compare(method: Column, raw: Column) -> Column:
         .when(raw.isNull(), "missing_prediction")
         .when(raw == "missing_answer", "missing_answer")
         .when(raw.isin("null", "empty_text"), "empty_prediction")
+        .when(raw == "unreadable", "scoring_exception")
     )
 
 
+def message(label: Column, raw: Column, method: Column) -> Column:
+    """What is said about a label that the verdict itself gives."""
+    out = F.when(label == "empty_prediction", F.concat(
+        F.lit("Agent produced no prediction ("), F.when(raw == "null", "None").otherwise("empty string"), F.lit(")")))
+    out = out.when(label == "format_error", F.when(method == "ordered", "Ordered answer must be a list").otherwise("Set answer must be a list"))
+    out = out.when(label == "missing_gold", "No gold answer found for task").when(label == "scoring_exception", "Answer is no readable JSON")
+    for name, text in MESSAGES.items():
+        out = out.when(label == name, text)
+    return out
+
+
+def with_failures(pairs: DataFrame, failures: DataFrame | None) -> DataFrame:
+    """``pairs`` with ``failed`` and ``failed_message``: the first failure of its run, or of all runs, by name."""
+    if failures is None:
+        nothing = F.lit(None).cast("string")
+        return pairs.withColumn("failed", nothing).withColumn("failed_message", nothing)
+    runs = pairs.select("run_id").distinct()
+    named = failures.where("run_id is not null").select(F.col("run_id").cast("string").alias("run_id"), "task_id", "error_type", "error_message")
+    every = failures.where("run_id is null").select("task_id", "error_type", "error_message").join(F.broadcast(runs)).select(*named.columns)
+    first = F.min(F.struct(F.col("error_type"), F.col("error_message")))
+    each = named.unionByName(every).groupBy("run_id", "task_id").agg(first.alias("f"))
+    each = each.select("run_id", "task_id", F.col("f.error_type").alias("failed"), F.col("f.error_message").alias("failed_message"))
+    return pairs.join(each, ["run_id", "task_id"], "left")
+
+
 def score_tasks(
     tasks: DataFrame,
     gold_head: DataFrame,
@@ -113,6 +154,7 @@ def score_tasks(
     pred: DataFrame,
     runs: Sequence[str],
     unrequested: DataFrame | None = None,
+    failures: DataFrame | None = None,
     abs_tol: float = C.ABS_TOL,
     rel_tol: float = C.REL_TOL,
 ) -> DataFrame:
@@ -128,10 +170,12 @@ def score_tasks(
         pred_head,
         runs,
     )
-    no_gold = F.when(F.col("gold_shape").isNull(), F.lit("missing_gold"))
-    pairs = pairs.withColumn(
-        "label", F.coalesce(error_before_compare(F.col("method_class"), F.col("raw")), no_gold)
-    )
+    pairs = with_failures(pairs, failures)
+    rubric = F.col("method_class") == "rubric"
+    label = error_before_compare(F.col("method_class"), F.col("raw"))
+    no_gold = F.when(F.col("gold_shape").isNull(), "missing_gold").when(F.col("gold_raw") == "unreadable", "scoring_exception")
+    label = F.coalesce(F.when(~rubric, F.col("failed")), label, no_gold)
+    pairs = pairs.withColumn("label", label)
     by_rows = F.col("method_class").isin("set", "ordered")
     both_lists = (F.col("gold_shape") == "list") & (F.col("pred_shape") == "list")
     pairs = pairs.withColumn(
@@ -202,7 +246,7 @@ def score_tasks(
     )
     same_value = value_pairs.select(
         *key,
-        C.values_equal(F.col("v")[0], F.col("v")[1], F.col("abs_tol"), F.col("rel_tol")).alias(
+        C.cells_equal(F.col("v")[0], F.col("v")[1], F.col("abs_tol"), F.col("rel_tol")).alias(
             "same"
         ),
     )
@@ -287,7 +331,8 @@ def _final(v: DataFrame) -> DataFrame:
     lists = (F.col("gold_shape") == "list") & (F.col("pred_shape") == "list")
     empty = (F.col("gold_rows") == 0).cast("int") + (F.col("pred_rows") == 0).cast("int")
     column_match = (
-        F.when(F.col("label").isin("missing_prediction", "missing_answer"), 0.0)
+        F.when(F.col("label").isin("missing_prediction", "missing_answer", "scoring_exception"), 0.0)
+        .when(F.col("failed").isNotNull() & (F.col("label") != "rubric_pending"), 0.0)
         .when(F.coalesce(F.col("answer_type") == "Scalar", F.lit(False)), 1.0)
         .when(~F.coalesce(lists, F.lit(False)), 0.0)
         .when(empty == 2, 1.0)
@@ -300,6 +345,8 @@ def _final(v: DataFrame) -> DataFrame:
     counted = (compared | (F.col("label") == "format_error")) & F.col("pred_rows").isNotNull()
     zero = F.lit(0.0)
     metric = lambda c: F.when(compared, F.coalesce(c, zero)).otherwise(zero).alias(c)
+    error = F.coalesce(F.col("label"), F.when(~same & ~by_zero & ambiguous, F.lit("ambiguous_column_mapping")))
+    said = F.when(F.col("label") == F.col("failed"), F.col("failed_message"))
     known = set(v.columns)
     extra = lambda name, typ: (
         F.col(name).cast(typ) if name in known else F.lit(None).cast(typ)
@@ -316,9 +363,8 @@ def _final(v: DataFrame) -> DataFrame:
         metric("precision"),
         metric("recall"),
         F.coalesce(column_match, zero).alias("column_match"),
-        F.coalesce(
-            F.col("label"), F.when(~same & ~by_zero & ambiguous, F.lit("ambiguous_column_mapping"))
-        ).alias("error_type"),
+        error.alias("error_type"),
+        F.coalesce(said, message(error, F.col("raw"), F.col("method_class"))).alias("error_message"),
         extra("expected_row_count", "long"),
         F.when(counted & (F.col("pred_shape") == "list"), F.col("pred_rows"))
         .when(counted & (F.col("answer_type") == "Scalar"), F.lit(1).cast("long"))

@@ -135,3 +135,28 @@ def ranked(
     return left.join(right, same).select(
         "l.*", "r.rank", "r.dense_rank", *([F.col(f"r.{size}")] if size else [])
     )
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles per key, interpolated between the two values next to their position, and ``n``, the values counted.
+
+    Values are counted first and sorted by ranges, so a key's values are in many tasks; a quantile picks the one or two
+    (value, count) rows that cover its position. Nulls are not counted; a key without values has null quantiles.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    placed = running_sum(counted, keys, [value], {"_upto": F.col("_n")}, total=True)
+    picks = []
+    for name, share in shares.items():
+        at = F.lit(float(share)) * (F.col("_upto_total") - 1)
+        low, high, before = F.floor(at), F.ceil(at), F.col("_upto") - F.col("_n")
+        covers = lambda position: (before <= position) & (position < F.col("_upto"))
+        weight = F.when(covers(low), 1 - (at - low)).otherwise(0.0) + F.when(covers(high), at - low).otherwise(0.0)
+        picks.append(F.when(covers(low) | covers(high), F.struct(weight.alias("w"), F.col(value).cast("double").alias("v"))).alias(name))
+    of = lambda name: F.sum(F.col(f"{name}.w") * F.col(f"{name}.v")).alias(name)
+    picked = placed.select(*keys, "_upto_total", *picks)
+    found = picked.groupBy(*keys).agg(*[of(name) for name in shares], F.max("_upto_total").cast("long").alias("n"))
+    every = df.select(*keys).distinct().alias("k")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"k.{k}").eqNullSafe(F.col(f"f.{k}"))
+    return every.join(found.alias("f"), same, "left").select("k.*", *[F.col(f"f.{n}") for n in shares], F.coalesce("f.n", F.lit(0)).alias("n"))

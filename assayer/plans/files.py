@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.operators import compare as K
 from assayer.operators import rollup as U
 from assayer.plans import boards
 from assayer.plans.registry import query
 from assayer.plans.rollups import SCORES, scores
-from assayer.session import TABLES, fresh_path, table
+from assayer.session import TABLES, cut_lineage, fresh_path, table
 from assayer.sources import answers as A
 from assayer.sources import entries as E
 from assayer.sources import files as X
@@ -183,11 +187,53 @@ STATEMENTS = {
 def run_gold(spark, sf):
     for name in ("customer", "orders"):
         table(spark, sf, name).createOrReplaceTempView(f"gold_{name}")
-    rows, _ = X.run_statements(spark, STATEMENTS)
+    rows, _, _ = X.run_statements(spark, STATEMENTS)
     text = F.transform("cells", lambda c: F.concat_ws("=", c["name"], c["text"]))
     return rows.select("task_id", F.array_join(text, ",").alias("cells"))
 
 
+@query(
+    "certification",
+    """
+    WITH c AS (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY ALL),
+    o AS (SELECT o_orderstatus, max(o_totalprice) AS top FROM orders GROUP BY ALL)
+    SELECT 'count' AS task_id, true AS passed, NULL AS error_type, 1::BIGINT AS predicted_row_count
+    UNION ALL SELECT 'segments', true, NULL, count(*) FROM c
+    UNION ALL SELECT 'tops', true, NULL, count(*) FROM o
+    UNION ALL SELECT 'stale', false, NULL, count(*) FROM c
+    UNION ALL SELECT unnest(['no_table', 'no_division', 'no_statement', 'no_scalar']), false, 'gold_sql_execution_error', NULL
+    """,
+)
+def certification(spark, sf):
+    """Statements of tasks against their gold answers: right ones, a stale one, and four that fail in their own ways."""
+    customer, orders = table(spark, sf, "customer"), table(spark, sf, "orders")
+    customer.createOrReplaceTempView("gold_customer")
+    orders.createOrReplaceTempView("gold_orders")
+    by_segment = "SELECT c_mktsegment, count(*) {} AS n FROM gold_customer GROUP BY c_mktsegment"
+    rows = [
+        ("count", "Scalar", STATEMENTS["q_count"]),
+        ("segments", "Rows", by_segment.format("")),
+        ("tops", "Rows", STATEMENTS["q_status"]),
+        ("stale", "Rows", by_segment.format("+ 1")),
+        ("no_table", "Rows", "SELECT * FROM gold_nowhere"),
+        ("no_division", "Rows", "SELECT c_custkey / (c_custkey - c_custkey) AS x FROM gold_customer"),
+        ("no_statement", "Rows", None),
+        ("no_scalar", "Scalar", by_segment.format("")),
+    ]
+    tasks = spark.createDataFrame(rows, "task_id string, answer_type string, gold_sql string")
+    tasks = tasks.withColumn("scoring_method", F.lit("Set-Match")).withColumn("value_tolerance", F.lit(None).cast("string"))
+    segments = customer.groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("customers"))
+    answers = {
+        "count": customer.where("c_acctbal > 0").agg(F.count(F.lit(1)).alias("n")),
+        "tops": orders.groupBy("o_orderstatus").agg(F.max("o_totalprice").alias("top")),
+        **dict.fromkeys(["segments", "stale", "no_table", "no_division", "no_statement", "no_scalar"], segments),
+    }
+    gold = [K.answer_rows(df.withColumn("task_id", F.lit(t)), ["task_id"]) for t, df in answers.items()]
+    gold = cut_lineage(reduce(DataFrame.unionByName, gold))
+    scores = X.certify(spark, tasks, K.answer_heads(gold, tasks.select("task_id"), ["task_id"]), gold)
+    return scores.select("task_id", "passed", "error_type", "predicted_row_count")
+
+
 @query(
     "expand_sample",
     """
@@ -299,24 +345,30 @@ def multirun_board_row(spark, sf):
 
 
 DDL = """
+CREATE TABLE region (r_regionkey INTEGER, r_name VARCHAR);
+CREATE TABLE nation (n_nationkey INTEGER, n_name VARCHAR, n_regionkey INTEGER);
 CREATE TABLE customer (c_custkey BIGINT, c_name VARCHAR, c_nationkey INTEGER, c_acctbal DOUBLE, c_mktsegment VARCHAR);
-CREATE TABLE orders (o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus VARCHAR, o_totalprice DOUBLE, o_orderdate TIMESTAMP, o_orderpriority VARCHAR);
 CREATE TABLE supplier (s_suppkey BIGINT, s_name VARCHAR, s_nationkey INTEGER, s_acctbal DOUBLE); -- one row per supplier
+CREATE TABLE part (p_partkey BIGINT, p_name VARCHAR, p_brand VARCHAR, p_type VARCHAR, p_size INTEGER, p_retailprice DOUBLE);
+CREATE TABLE orders (o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus VARCHAR, o_totalprice DOUBLE, o_orderdate TIMESTAMP, o_orderpriority VARCHAR);
+CREATE TABLE lineitem (l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INTEGER, l_quantity DOUBLE, l_extendedprice DOUBLE,
+    l_discount DOUBLE, l_tax DOUBLE, l_returnflag VARCHAR, l_linestatus VARCHAR, l_shipdate TIMESTAMP);
+CREATE TABLE events (event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type VARCHAR, value DOUBLE, props VARCHAR);
+CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT);
+CREATE TABLE embeddings (vec_id BIGINT, embedding ARRAY<FLOAT>, label INTEGER);
+CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR);
+CREATE TABLE benchmark (item_id BIGINT, text VARCHAR);
 CREATE TABLE labels (doc_id BIGINT, quality INTEGER, toxic INTEGER);
+CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR);
 """
+#: Names of the declared columns of every table.
+DECLARED = {t: X.declared_names(body) for t, body in X.declarations(DDL).items()}
 
 
 @query(
     "warehouse_schema",
     " UNION ALL ".join(
-        f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", count({c})::BIGINT AS present FROM {t}"
-        for t, columns in {
-            "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
-            "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
-            "supplier": "s_suppkey s_name s_nationkey s_acctbal",
-            "labels": "doc_id quality toxic",
-        }.items()
-        for c in columns.split()
+        f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", count({c})::BIGINT AS present FROM {t}" for t, columns in DECLARED.items() for c in columns
     ),
 )
 def warehouse_schema(spark, sf):
@@ -330,6 +382,37 @@ def warehouse_schema(spark, sf):
     return out
 
 
+# (table, column) -> what the delivered copy has in its place, for Spark and for the oracle
+DELIVERED = {
+    ("orders", "o_totalprice"): ("IF(o_orderkey % 97 = 5, o_totalprice + 0.01, o_totalprice)",) * 2,
+    ("lineitem", "l_discount"): ("IF(l_orderkey % 3 = 0, 0.0D - l_discount + 2 * l_discount, l_discount)", "l_discount"),
+    ("embeddings", "embedding"): (
+        "IF(vec_id % 50 = 7, transform(embedding, (x, i) -> IF(i = 0, x + 1, x)), embedding)",
+        "CASE WHEN vec_id % 50 = 7 THEN list_prepend(embedding[1] + 1, embedding[2:]) ELSE embedding END",
+    ),
+    ("events", "ts"): ("IF(event_id % 30 = 1, ts + INTERVAL 1 MICROSECOND, ts)", "CASE WHEN event_id % 30 = 1 THEN ts + INTERVAL 1 MICROSECOND ELSE ts END"),
+    ("documents", "text"): ("IF(n_chars % 40 = 3, concat(text, ' '), text)", "CASE WHEN n_chars % 40 = 3 THEN text || ' ' ELSE text END"),
+}
+
+
+def _delivery_sql(name: str, columns: list[str]) -> str:
+    same = lambda c: f"count(*) FILTER ({c} IS DISTINCT FROM ({DELIVERED.get((name, c), (c, c))[1]})) = 0"
+    each = [f"SELECT '{name}' AS \"table\", '{c}' AS \"column\", {same(c)} AS matches FROM {name}" for c in columns]
+    return " UNION ALL ".join([*each, f"SELECT '{name}', '*', {' AND '.join(map(same, columns))} FROM {name}"])
+
+
+@query("content_manifest", " UNION ALL ".join(_delivery_sql(t, columns) for t, columns in DECLARED.items()))
+def content_manifest(spark, sf):
+    """Every column of every table against a delivered copy, some of whose prices, vectors, times and texts were changed."""
+    out = None
+    for name in DECLARED:
+        df = table(spark, sf, name)
+        changed = {c: F.expr(x[0]) for (t, c), x in DELIVERED.items() if t == name}
+        part = X.manifest_differences(X.content_manifest(df, name), X.content_manifest(df, name, changed))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 # table -> columns whose text is the same in both engines
 CONTENT = {
     "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "supplier": "s_suppkey s_name s_nationkey",

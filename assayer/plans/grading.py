@@ -15,6 +15,7 @@ from assayer.operators import compare as K
 from assayer.operators import grade as G
 from assayer.operators import relax as R
 from assayer.plans.registry import query
+from assayer.sources import answers as A
 from assayer.session import cut_lineage, table
 
 RUNS = ("0", "1", "2")
@@ -309,6 +310,43 @@ def greedy_assignment(spark, sf):
     return K.greedy_assignment(gold, pred, pairs)
 
 
+@query(
+    "greedy_large",
+    """
+    WITH l AS (
+        SELECT l_returnflag, l_orderkey % 10 AS d,
+               l_extendedprice::DECIMAL(14,2) * (1 - l_discount::DECIMAL(4,2)) * 0.0001::DECIMAL(5,4) AS x FROM lineitem),
+    f AS (SELECT l_returnflag, d, round_even(x, 0) AS v, x FROM l),
+    g AS (SELECT l_returnflag, v, count(*) AS g, count(*) FILTER (WHERE d <> 0) AS p0,
+                 count(*) FILTER (WHERE d = 0) AS p1 FROM f GROUP BY ALL)
+    SELECT run_id, l_returnflag AS task_id, sum(CASE run_id WHEN '0' THEN g WHEN '1' THEN p0 ELSE least(g, 2 * p1) END)::BIGINT AS matched
+    FROM g, (VALUES ('0'), ('1'), ('2')) r(run_id) GROUP BY ALL
+    """,
+)
+def greedy_large(spark, sf):
+    """Answers of thousands of rows: whole amounts against unrounded ones, so few gold rows have many copies and partners.
+
+    Run 0 sends every amount; in run 1 a tenth is spoilt; run 2 sends that tenth only, twice.
+    """
+    net = F.col("l_extendedprice").cast("decimal(14,2)") * (F.lit(1).cast("decimal(4,2)") - F.col("l_discount").cast("decimal(4,2)"))
+    lines = table(spark, sf, "lineitem").select(
+        F.col("l_returnflag").alias("task_id"),
+        (F.col("l_orderkey") % 10 == 0).alias("tenth"),
+        (net * F.lit("0.0001").cast("decimal(5,4)")).alias("amount"),
+    )
+    lines = cut_lineage(lines)
+    gold = K.answer_rows(lines.select("task_id", F.bround("amount", 0).cast("long").alias("amount")), ["task_id"])
+    sent = lambda run, rows: rows.select(F.lit(run).alias("run_id"), "task_id", F.col("amount").cast("decimal(24,8)").alias("amount"))
+    spoilt = F.when(F.col("tenth"), F.col("amount") + 100_000).otherwise(F.col("amount"))
+    tenth = lines.where("tenth")
+    runs = [sent("0", lines), sent("1", lines.withColumn("amount", spoilt)), sent("2", tenth.unionByName(tenth))]
+    pred = K.answer_rows(runs[0].unionByName(runs[1]).unionByName(runs[2]), KEY)
+    sizes = gold.groupBy("task_id").agg(F.count(F.lit(1)).alias("gold_rows"))
+    pairs = pred.groupBy(*KEY).agg(F.count(F.lit(1)).alias("pred_rows")).join(sizes, "task_id")
+    limits = {"abs_tol": F.lit(C.ABS_TOL), "rel_tol": F.lit(C.REL_TOL), "in_order": F.lit(False)}
+    return K.greedy_assignment(gold, pred, pairs.withColumns(limits))
+
+
 @query(
     "ordered_match",
     BASE
@@ -390,7 +428,7 @@ def scalar_match(spark, sf):
     )
     df, _, prepared = C.prepared_columns(df, ["g", "p"])
     pair = df.select("task_id", prepared.alias("v"))
-    same = C.values_equal(F.col("v")[0], F.col("v")[1], F.lit(C.ABS_TOL), F.lit(C.REL_TOL))
+    same = C.cells_equal(F.col("v")[0], F.col("v")[1], F.lit(C.ABS_TOL), F.lit(C.REL_TOL))
     out = pair.select("task_id", same.alias("same"))
     return out.withColumn("row_f1", F.col("same").cast("double"))
 
@@ -424,7 +462,7 @@ def extra_column_relax(spark, sf):
     BASE
     + """
     SELECT run_id, task_id, 'pass' AS relaxed FROM c
-    WHERE v = 0 OR v = 5 OR v = 9 OR (v = 2 AND nr = 0) OR (v = 4 AND nn = 0) OR (v = 3 AND na = 0)
+    WHERE v = 0 OR v = 5 OR v = 9 OR (v = 1 AND ne = n AND n > 0) OR (v = 2 AND nr = 0) OR (v = 4 AND nn = 0) OR (v = 3 AND na = 0)
     """,
 )
 def requested_column_relax(spark, sf):
@@ -432,7 +470,7 @@ def requested_column_relax(spark, sf):
     _, tasks, gold, pred = _frames(spark, sf)
     drop = "filter(cells, c -> c.name <> 'linestatus')"
     reduced = gold.drop("prep").withColumn("cells", F.expr(drop))
-    narrow = pred.drop("prep").withColumn("cells", F.expr(drop)).where("not exists(cells, c -> c.name = 'rev')")
+    narrow = pred.drop("prep").withColumn("cells", F.expr(drop))
     sizes = narrow.groupBy(*KEY).agg(F.count(F.lit(1)).alias("pred_rows"))
     pairs = _mapping_pairs(tasks, gold, sizes).join(sizes, KEY).where("gold_rows = pred_rows")
     out = R.try_mappings(K.signed(reduced), narrow, pairs.drop("pred_rows"))
@@ -491,21 +529,62 @@ def task_verdict(spark, sf):
 
 @query(
     "error_label",
-    BASE
-    + """
-    SELECT run_id, CASE v WHEN 7 THEN 'empty_prediction' WHEN 8 THEN 'missing_prediction'
-                          ELSE 'compared' END AS label, count(*)::BIGINT AS n
-    FROM p GROUP BY ALL
+    """
+    WITH l AS (
+        SELECT ['passed', 'rubric_pending', 'missing_prediction', 'missing_answer', 'empty_prediction', 'format_error',
+                'scoring_exception', 'gold_sql_execution_error', 'ambiguous_column_mapping', 'failed'][s_suppkey % 10 + 1] AS label,
+               ['None', 'empty string'][s_suppkey // 10 % 2 + 1] AS kind FROM supplier)
+    SELECT label, CASE label
+               WHEN 'rubric_pending' THEN 'Rubric scoring requires a judge evaluator (not yet implemented)'
+               WHEN 'missing_prediction' THEN 'No prediction found for task'
+               WHEN 'missing_answer' THEN 'Prediction row missing predicted_answer/answer'
+               WHEN 'empty_prediction' THEN 'Agent produced no prediction (' || kind || ')'
+               WHEN 'format_error' THEN 'Set answer must be a list'
+               WHEN 'scoring_exception' THEN 'Answer is no readable JSON'
+               WHEN 'gold_sql_execution_error' THEN 'statement of the task did not run'
+               WHEN 'ambiguous_column_mapping' THEN 'Prediction has extra columns and more than one column mapping reproduces the gold values; gold column names do not resolve it'
+           END AS message, count(*)::BIGINT AS n
+    FROM l GROUP BY ALL
     """,
 )
 def error_label(spark, sf):
-    lines, tasks, gold, pred = _frames(spark, sf)
-    gold_head = K.answer_heads(gold, tasks.select("task_id"), ["task_id"])
-    pred_head = K.answer_heads(pred, _answered(tasks), KEY)
-    pairs = G.joined(tasks, gold_head, pred_head, RUNS)
-    method = G.method_class(F.col("scoring_method"), F.col("answer_type"))
-    label = F.coalesce(G.error_before_compare(method, F.col("raw")), F.lit("compared"))
-    return pairs.groupBy("run_id", label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    """One task per supplier, answered in ten ways; eight of them end in a label.
+
+    The gold answer has two rows of seven columns, each holding the balance and its negative. An ambiguous answer has eight columns with
+    the same values, no seven of which make the gold rows.
+    """
+    s = table(spark, sf, "supplier")
+    way = F.col("s_suppkey") % 10
+    tasks = s.select(
+        F.concat(F.lit("S"), "s_suppkey").alias("task_id"),
+        F.when(way == 1, "Rubric").otherwise("Set-Match").alias("scoring_method"),
+        F.lit("Rows").alias("answer_type"),
+        F.lit(None).cast("string").alias("value_tolerance"),
+    )
+    one = F.abs("s_acctbal").cast("decimal(12,2)") + 1
+    row = lambda firsts, width, x, y: F.concat_ws(",", *[F.concat(F.lit(f'"c{i}":'), x if i < firsts else y) for i in range(width)])
+    rows = lambda firsts, width: F.concat(F.lit("[{"), row(firsts, width, one, -one), F.lit("},{"), row(firsts, width, -one, one), F.lit("}]"))
+    answer = (
+        F.when(way == 4, F.when((F.col("s_suppkey") / 10).cast("long") % 2 == 0, "null").otherwise('""'))
+        .when(way == 5, F.concat(F.lit('"'), "s_name", F.lit('"')))
+        .when(way == 6, F.lit('[{"c0": 1'))
+        .when(way == 8, rows(2, 8))
+        .when(way == 9, rows(3, 6))
+        .otherwise(rows(4, 7))
+    )
+    key = F.concat(F.lit("S"), "s_suppkey").alias("task_id")
+    gold = s.select(key, F.concat(F.lit('{"answer":'), rows(4, 7), F.lit("}")).alias("rec"))
+    field = F.when(way == 3, "note").otherwise("answer")
+    sent = s.where(way != 2).select(F.lit("0").alias("run_id"), key, F.concat(F.lit('{"'), field, F.lit('":'), answer, F.lit("}")).alias("rec"))
+    failures = s.where(way == 7).select(
+        F.lit(None).cast("string").alias("run_id"), key, F.lit("gold_sql_execution_error").alias("error_type"),
+        F.lit("statement of the task did not run").alias("error_message"),
+    )
+    gold_head, gold_rows = A.parse_answers(gold, ["task_id"], ("answer",))
+    pred_head, pred_rows = A.parse_answers(sent, KEY)
+    scores = G.score_tasks(tasks, gold_head, gold_rows, pred_head, pred_rows, ["0"], failures=failures)
+    label = F.coalesce("error_type", F.when(F.col("passed"), "passed").otherwise("failed"))
+    return scores.groupBy(label.alias("label"), F.col("error_message").alias("message")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _existence(spark, sf):

@@ -14,7 +14,8 @@ SMALL = ("region", "nation", "supplier", "part")
 def _stat_sql(t: str, c: str, numeric: bool) -> str:
     rows = [("count", f"count({c})"), ("count_distinct", f"count(DISTINCT {c})")]
     if numeric:
-        rows.append(("sum", f"sum({c}::DECIMAL(24,4))::DECIMAL(34,4)"))
+        whole = c.endswith("key") or c.endswith("number")
+        rows.append(("sum", f"sum({c})" if whole else f"sum({c}::VARCHAR::DECIMAL(38,12))"))
     zero = " + 0" if numeric else ""
     rows += [("min", f"min({c}{zero})"), ("max", f"max({c}{zero})")]
     return " UNION ALL ".join(
@@ -59,7 +60,7 @@ def table_profile(spark, sf):
     WITH b AS (SELECT c_acctbal AS x, CASE WHEN c_mktsegment = 'MACHINERY' THEN c_acctbal * 2 ELSE c_acctbal END AS y FROM customer),
     s AS (
         SELECT 'count_distinct' AS stat, count(DISTINCT x)::VARCHAR AS left_value, count(DISTINCT y)::VARCHAR AS right_value FROM b
-        UNION ALL SELECT 'sum', sum(x::DECIMAL(24,4))::DECIMAL(34,4)::VARCHAR, sum(y::DECIMAL(24,4))::DECIMAL(34,4)::VARCHAR FROM b
+        UNION ALL SELECT 'sum', sum(x::VARCHAR::DECIMAL(38,12))::VARCHAR, sum(y::VARCHAR::DECIMAL(38,12))::VARCHAR FROM b
         UNION ALL SELECT 'min', min(x)::VARCHAR, min(y)::VARCHAR FROM b
         UNION ALL SELECT 'max', max(x)::VARCHAR, max(y)::VARCHAR FROM b)
     SELECT 'customer' AS "table", 'c_acctbal' AS "column", stat, left_value, right_value FROM s WHERE left_value <> right_value
@@ -268,7 +269,7 @@ def set_ops(spark, sf):
 @query(
     "gini",
     """
-    WITH r AS (SELECT c_acctbal::DECIMAL(20,4)::DOUBLE AS x, row_number() OVER (ORDER BY c_acctbal) AS i FROM customer WHERE c_acctbal > 0)
+    WITH r AS (SELECT c_acctbal AS x, row_number() OVER (ORDER BY c_acctbal) AS i FROM customer WHERE c_acctbal > 0)
     SELECT count(*)::BIGINT AS n, round(2 * sum(i * x) / (count(*) * sum(x)) - (count(*) + 1) / count(*), 6) AS gini FROM r
     """,
 )

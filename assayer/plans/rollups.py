@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from assayer.operators import rollup as U
+from assayer.operators.ordering import quantiles
 from assayer.plans.registry import query
 from assayer.session import table
 
@@ -472,15 +473,9 @@ def meter_reconciliation(spark, sf):
     """,
 )
 def median_latency(spark, sf):
-    """Exact median; the aggregate keeps one count per distinct value, not one entry per row."""
-    return (
-        table(spark, sf, "events")
-        .groupBy("event_type")
-        .agg(
-            F.round(F.percentile("value", 0.5), 6).alias("median_value"),
-            F.count(F.lit(1)).alias("n"),
-        )
-    )
+    """Exact median, whatever the number of values of a type."""
+    out = quantiles(table(spark, sf, "events").select("event_type", "value"), ["event_type"], "value", {"median_value": 0.5})
+    return out.withColumn("median_value", F.round("median_value", 6))
 
 
 def _verdicts(spark, sf, shift):

@@ -8,7 +8,7 @@ from assayer.functions import calendar as cal
 from assayer.functions import finance as fin
 from assayer.operators import families as W
 from assayer.operators import temporal as T
-from assayer.operators.ordering import running_sum
+from assayer.operators.ordering import quantiles, running_sum
 from assayer.plans.registry import query
 from assayer.session import table
 
@@ -604,10 +604,9 @@ def percentiles(spark, sf):
     """,
 )
 def percentile_values(spark, sf):
-    q = lambda p: F.round(F.percentile("p_retailprice", p), 6)
-    return table(spark, sf, "part").groupBy("p_brand").agg(
-        q(0.25).alias("q1"), q(0.5).alias("q2"), q(0.9).alias("p90")
-    )
+    prices = table(spark, sf, "part").select("p_brand", "p_retailprice")
+    out = quantiles(prices, ["p_brand"], "p_retailprice", {"q1": 0.25, "q2": 0.5, "p90": 0.9})
+    return out.select("p_brand", *[F.round(c, 6).alias(c) for c in ("q1", "q2", "p90")])
 
 
 @query(

@@ -227,12 +227,14 @@ def parse_answers(
 ) -> tuple[DataFrame, DataFrame]:
     """(head, rows) of the answers found under the first present field of ``rec``.
 
-    A list, a record, a list of scalars, a single scalar, ``[]`` and ``null`` all stay apart.
+    A list, a record, a list of scalars, a single scalar, ``[]`` and ``null`` all stay apart. A record that is no JSON
+    (cut off, nested too deep, a key given twice, ``NaN``) has the raw kind ``unreadable`` and no rows; it fails no other.
     """
     first_of = lambda pick: F.coalesce(*[F.when(F.col("field") == f, pick(f)) for f in fields])
     base = (
         records.select(
             *keys,
+            F.try_parse_json("rec").isNull().alias("unreadable"),
             F.json_object_keys("rec").alias("present"),
             F.from_json("rec", ", ".join(f"`{f}` string" for f in fields)).alias("as_text"),
             F.from_json("rec", ", ".join(f"`{f}` variant" for f in fields)).alias("as_variant"),
@@ -243,6 +245,7 @@ def parse_answers(
         )
         .select(
             *keys,
+            "unreadable",
             "field",
             first_of(lambda f: F.col("as_text")[f]).alias("text"),
             F.coalesce(
@@ -270,7 +273,8 @@ def parse_answers(
 
     head = base.withColumn(
         "raw",
-        F.when(F.col("field").isNull(), "missing_answer")
+        F.when(F.col("unreadable"), "unreadable")
+        .when(F.col("field").isNull(), "missing_answer")
         .when(F.col("schema") == "VOID", "null")
         .when((F.col("schema") == "STRING") & (F.col("text") == ""), "empty_text")
         .when(F.col("schema").startswith("ARRAY"), "list")

@@ -67,3 +67,31 @@ def test_as_of_carries_over_empty_buckets(spark):
         ("a", 0): None, ("a", 1): 10.0, ("a", 24): 10.0, ("a", 25): 11.0, ("a", 95): 11.0,
         ("b", 39): None, ("c", 5): None,
     }
+
+
+def test_quantiles_of_uneven_groups(spark):
+    import numpy as np
+
+    from assayer.operators.ordering import quantiles
+
+    r = np.random.default_rng(4)
+    groups = {"hot": r.integers(0, 7, 500), "even": r.normal(size=40), "one": np.array([3.5]), None: np.array([1.0, 2.0])}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("hot", None), ("none", None)]
+    shares = {"q0": 0.0, "q1": 0.25, "q2": 0.5, "q9": 0.9, "q10": 1.0}
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    got = {x.k: x for x in quantiles(df, ["k"], "v", shares).collect()}
+    assert set(got) == {*groups, "none"} and got["none"].n == 0 and got["none"].q2 is None
+    for k, vs in groups.items():
+        assert got[k].n == len(vs)
+        assert np.allclose([got[k][s] for s in shares], np.quantile(vs, list(shares.values())))
+
+
+def test_chains_of_deep_trees_and_loops(spark):
+    from assayer.operators.families import chain_paths
+
+    deep = [(i, i - 1 if i else None, f"n{i}") for i in range(200)]
+    rows = deep + [(1000, 1001, "a"), (1001, 1000, "b"), (1002, 1002, "self"), (1003, 1000, "below"), (1004, 77777, "lost"), (2000, None, "root")]
+    got = {x.id: x.chain for x in chain_paths(spark.createDataFrame(rows, "id long, up double, name string"), "id", "up", "name").collect()}
+    assert set(got) == {*range(200), 2000}
+    assert all(got[i] == " > ".join(f"n{k}" for k in range(i + 1)) for i in range(200))
+    assert chain_paths(spark.createDataFrame([], "id long, up long, name string"), "id", "up", "name").collect() == []
