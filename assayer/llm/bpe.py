@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from assayer.llm.base import with_fields
 
 #: Words that a task keeps in each of its two tables.
-REMEMBERED = 250_000
+REMEMBERED = 50_000
+#: Texts whose ids and decoded text a task holds at a time.
+AT_A_TIME = 500
 # The word pattern of the vocabulary file, spelled for the regex module. White space
 # is listed by code point, since the two libraries differ on the separators U+001C to U+001F.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -215,16 +217,19 @@ def encode_ids(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = codec(path)
         for part in parts:
-            rows = []
-            for t in part:
-                ids, back = bpe.both(t or "")
-                numbers = np.array(ids.split(), np.int32)
-                rows.append((numbers, len(numbers), _sha256(ids), _sha256(back)))
-            yield pd.DataFrame(rows, columns=names)
+            found = [_numbers(bpe, part.iloc[a : a + AT_A_TIME]) for a in range(0, len(part), AT_A_TIME)]
+            yield pd.concat(found, ignore_index=True) if found else _numbers(bpe, part)
 
     return with_fields(df, run(F.col(text)), names)
 
 
+def _numbers(bpe: WordBpe, texts: pd.Series) -> pd.DataFrame:
+    both = [bpe.both(t or "") for t in texts]
+    numbers = [np.array(ids.split(), np.int32) for ids, _ in both]
+    digests = {"ids_sha256": [_sha256(ids) for ids, _ in both], "decoded_sha256": [_sha256(back) for _, back in both]}
+    return pd.DataFrame({"token_ids": pd.Series(numbers, dtype=object), "n_tokens": pd.Series([len(n) for n in numbers], dtype="int64"), **digests})
+
+
 def _sha256(text: str) -> str:
     return hashlib.sha256(text.encode("utf-8")).hexdigest()
 
