@@ -1,13 +1,14 @@
 """Constraint checks over JSON documents that emit a violations frame.
 
-``documents`` has (row_id, doc). Every check is row-local: one projection and one explode per
-document, no shuffle, so it runs unchanged on a batch, a stream or 100 TB of files. The result is
-(row_id, rule, path, observed, expected); an empty result means valid.
+``documents`` has (row_id, doc). A family of rules is an array of violations as a column over the parsed document, so any
+number of families is one scan, one parse and one explode (``violations``). Every check is row-local, without a shuffle,
+and runs unchanged on a batch or a stream. The result is (row_id, rule, path, observed, expected); an empty result
+means valid.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -112,22 +113,51 @@ def field_checks(field: Field) -> list[Column]:
     return out
 
 
-def check_fields(documents: DataFrame, fields: Sequence[Field]) -> DataFrame:
-    """Type, required, enum, pattern, length and range rules of a list of fields."""
-    parents = {f.parent for f in fields if f.required and f.parent} - {f.path for f in fields}
-    paths = [f.path for f in fields] + sorted(parents)
-    parsed = documents.select("row_id", F.expr("try_parse_json(doc)").alias("_d"))
+@dataclass(frozen=True)
+class Family:
+    """Rules over one parsed document: ``found``, a function that gives the array of violations, and the paths whose type
+    and text it reads from the columns ``_t_<path>`` and ``_x_<path>``."""
+
+    found: Callable[[], Column]
+    paths: tuple[str, ...] = ()
+
+
+def violations(documents: DataFrame, families: Sequence[Family], keep: Sequence[str] = ()) -> DataFrame:
+    """What all ``families`` find; each document is read and parsed once. ``keep``: further columns that they read."""
+    paths = list(dict.fromkeys(p for f in families for p in f.paths))
+    parsed = documents.select("row_id", *keep, F.expr("try_parse_json(doc)").alias("_d"))
     seen = parsed.select(
-        "row_id",
+        "row_id", *keep, "_d",
         *[_schema(_get("_d", p)).alias(f"_t_{p}") for p in paths],
         *[_get("_d", p, "string").alias(f"_x_{p}") for p in paths],
     )
-    return _emit(seen, [c for f in fields for c in field_checks(f)])
+    none = F.array().cast(f"array<{VIOLATION}>")
+    found = F.concat(*[F.coalesce(f.found(), none) for f in families])
+    return seen.select("row_id", F.explode(found).alias("v")).select("row_id", "v.*")
+
+
+def _those(checks: Sequence[Column]) -> Column:
+    """The violations among ``checks``."""
+    return F.filter(F.array(*checks), lambda v: v.isNotNull())
 
 
-def _emit(df: DataFrame, checks: list[Column]) -> DataFrame:
-    found = F.filter(F.array(*checks), lambda v: v.isNotNull())
-    return df.select("row_id", F.explode(found).alias("v")).select("row_id", "v.*")
+def _each(items: Column, checks: Callable[[Column], Sequence[Column]]) -> Column:
+    """The violations of every element of an array."""
+    return F.flatten(F.transform(items, lambda x: _those(checks(x))))
+
+
+def _field(v: Column, name: str, typ: str) -> Column:
+    return F.try_variant_get(v, f"$.{name}" if name else "$", typ)
+
+
+def field_rules(fields: Sequence[Field]) -> Family:
+    """Type, required, enum, pattern, length and range rules of a list of fields."""
+    parents = {f.parent for f in fields if f.required and f.parent} - {f.path for f in fields}
+    return Family(lambda: _those([c for f in fields for c in field_checks(f)]), (*[f.path for f in fields], *sorted(parents)))
+
+
+def check_fields(documents: DataFrame, fields: Sequence[Field]) -> DataFrame:
+    return violations(documents, [field_rules(fields)])
 
 
 def _undeclared(path: str):
@@ -140,68 +170,67 @@ def _undeclared(path: str):
     )
 
 
-def check_unexpected(documents: DataFrame, closed: dict[str, Sequence[str]]) -> DataFrame:
+def closed_rules(closed: dict[str, Sequence[str]]) -> Family:
     """Fields of a closed object that are not declared."""
-    checks = []
-    for path, allowed in closed.items():
-        full = "$" if not path else f"$.{path}"
-        keys = F.json_object_keys(F.get_json_object("doc", full) if path else F.col("doc"))
-        extra = F.array_except(keys, F.array(*[F.lit(a) for a in allowed]))
-        checks.append(F.transform(extra, _undeclared(path)))
-    none = F.array().cast(f"array<{VIOLATION}>")
-    found = F.flatten(F.array(*[F.coalesce(c, none) for c in checks]))
-    return documents.select("row_id", F.explode(found).alias("v")).select("row_id", "v.*")
+
+    def found() -> Column:
+        none = F.array().cast(f"array<{VIOLATION}>")
+        out = []
+        for path, allowed in closed.items():
+            extra = F.array_except(F.map_keys(_get("_d", path, "map<string,variant>")), F.array(*[F.lit(a) for a in allowed]))
+            out.append(F.coalesce(F.transform(extra, _undeclared(path)), none))
+        return F.concat(*out)
+
+    return Family(found)
+
+
+def check_unexpected(documents: DataFrame, closed: dict[str, Sequence[str]]) -> DataFrame:
+    return violations(documents, [closed_rules(closed)])
 
 
-def check_map_values(
-    documents: DataFrame, path: str, types: Sequence[str], minimum: float, maximum: float
-) -> DataFrame:
+def map_value_rules(path: str, types: Sequence[str], minimum: float, maximum: float) -> Family:
     """Every value of an open object obeys one type and range."""
-    entries = F.map_entries(_get("_d", path, "map<string,variant>"))
-    rows = (
-        documents.select("row_id", F.expr("try_parse_json(doc)").alias("_d"))
-        .select("row_id", F.explode(entries).alias("e"))
-        .select(
-            "row_id",
-            F.concat(F.lit(f"{path}."), F.col("e.key")).alias("path"),
-            _schema(F.col("e.value")).alias("kind"),
-            F.expr("try_variant_get(e.value, '$', 'string')").alias("text"),
-        )
-    )
-    right = _is(F.col("kind"), types)
-    number = F.col("text").try_cast("double")
-    at = F.col("path")
-    return _emit(
-        rows,
-        [
-            _violation(~right, "type", at, F.col("kind"), "/".join(types)),
-            _violation(right & (number < minimum), "minimum", at, F.col("text"), str(minimum)),
-            _violation(right & (number > maximum), "maximum", at, F.col("text"), str(maximum)),
-        ],
-    )
 
+    def checks(e: Column) -> list[Column]:
+        at, kind, text = F.concat(F.lit(f"{path}."), e["key"]), _schema(e["value"]), _field(e["value"], "", "string")
+        right, number = _is(kind, types), text.try_cast("double")
+        return [
+            _violation(~right, "type", at, kind, "/".join(types)),
+            _violation(right & (number < minimum), "minimum", at, text, str(minimum)),
+            _violation(right & (number > maximum), "maximum", at, text, str(maximum)),
+        ]
 
-def check_items(documents: DataFrame, path: str, types: Sequence[str]) -> DataFrame:
+    return Family(lambda: _each(F.map_entries(_get("_d", path, "map<string,variant>")), checks))
+
+
+def check_map_values(documents: DataFrame, path: str, types: Sequence[str], minimum: float, maximum: float) -> DataFrame:
+    return violations(documents, [map_value_rules(path, types, minimum, maximum)])
+
+
+def item_rules(path: str, types: Sequence[str]) -> Family:
     """Every item of an array has one of the types; the path carries the index."""
-    items = _get("_d", path, "array<variant>")
-    rows = (
-        documents.select("row_id", F.expr("try_parse_json(doc)").alias("_d"))
-        .select("row_id", F.posexplode(items).alias("i", "item"))
-        .select("row_id", "i", _schema(F.col("item")).alias("kind"))
-    )
-    at = F.concat(F.lit(f"{path}["), F.col("i").cast("string"), F.lit("]"))
-    wrong = ~_is(F.coalesce("kind", F.lit("VOID")), types)
-    return _emit(rows, [_violation(wrong, "items", at, F.col("kind"), "/".join(types))])
 
+    def checks(item: Column, i: Column) -> list[Column]:
+        at = F.concat(F.lit(f"{path}["), i.cast("string"), F.lit("]"))
+        kind = _schema(item)
+        return [_violation(~_is(F.coalesce(kind, F.lit("VOID")), types), "items", at, kind, "/".join(types))]
 
-def check_identity(documents: DataFrame, stem: str) -> DataFrame:
-    """The entry id equals the stem of the file the document came from."""
-    entry = F.get_json_object("doc", "$.entry_id")
+    return Family(lambda: F.flatten(F.transform(_get("_d", path, "array<variant>"), lambda x, i: _those(checks(x, i)))))
+
+
+def check_items(documents: DataFrame, path: str, types: Sequence[str]) -> DataFrame:
+    return violations(documents, [item_rules(path, types)])
+
+
+def identity_rule(stem: str) -> Family:
+    """The entry id equals the stem of the file (column ``stem``) the document came from."""
+    entry = _get("_d", "entry_id", "string")
     name = F.regexp_replace(F.regexp_extract(F.col(stem), "([^/]+)$", 1), r"\.json$", "")
-    return _emit(
-        documents.select("row_id", entry.alias("e"), name.alias("s")),
-        [_violation(~F.col("e").eqNullSafe(F.col("s")), "identity", F.lit("entry_id"), F.col("e"), "file stem")],
-    )
+    return Family(lambda: _those([_violation(~entry.eqNullSafe(name), "identity", F.lit("entry_id"), entry, "file stem")]))
+
+
+def check_identity(documents: DataFrame, stem: str) -> DataFrame:
+    return violations(documents, [identity_rule(stem)], [stem])
 
 
 def metrics(documents: DataFrame, results: str = "results", skip=("by_tier", "by_session")) -> DataFrame:
@@ -239,31 +268,36 @@ def run_std(runs: Column) -> Column:
     return F.when(F.size(known) > 1, F.sqrt(squares(run_mean(runs)) / (F.size(known) - 1)))
 
 
-def check_metrics(documents: DataFrame, std_too: bool = False) -> DataFrame:
+def metric_rules(std_too: bool = False, results: str = "results", skip: Sequence[str] = ("by_tier", "by_session")) -> Family:
     """Published mean, run count and reason of every metric against its own runs."""
-    m = metrics(documents).withColumn("of_runs", run_mean(F.col("runs")))
-    at = F.concat(F.lit("results."), F.col("metric"))
-    has = F.size("runs") > 0
-    slack = F.greatest(F.lit(5e-4), F.lit(1e-3) * F.abs("mean"))
-    checks = [
-        _violation(
-            has & (F.abs(F.col("of_runs") - F.col("mean")) > slack),
-            "mean_of_runs", at, F.col("mean"), "mean of runs",
-        ),
-        _violation(
-            has & F.col("mean").isNotNull() & (F.size("runs") != F.col("declared_runs")),
-            "run_count", at, F.size("runs"), "protocol.runs",
-        ),
-        _violation(
-            F.col("mean").isNull() & (F.coalesce("reason", F.lit("")) == ""),
-            "null_reason", at, F.lit(None), "unavailable_reason",
-        ),
-    ]
-    if std_too:
-        m = m.withColumn("of_std", run_std(F.col("runs")))
-        off = F.abs(F.col("of_std") - F.col("std")) > F.greatest(F.lit(5e-4), F.lit(1e-3) * F.abs("std"))
-        checks.append(_violation(off, "std_of_runs", at, F.col("std"), "sample std of runs"))
-    return _emit(m, checks)
+
+    def checks(e: Column) -> list[Column]:
+        v, at = e["value"], F.concat(F.lit(f"{results}."), e["key"])
+        mean, runs = _field(v, "mean", "double"), _field(v, "runs", "array<double>")
+        has = F.size(runs) > 0
+        near = lambda c: F.greatest(F.lit(5e-4), F.lit(1e-3) * F.abs(c))
+        out = [
+            _violation(has & (F.abs(run_mean(runs) - mean) > near(mean)), "mean_of_runs", at, mean, "mean of runs"),
+            _violation(
+                has & mean.isNotNull() & (F.size(runs) != _get("_d", "protocol.runs", "bigint")),
+                "run_count", at, F.size(runs), "protocol.runs",
+            ),
+            _violation(
+                mean.isNull() & (F.coalesce(_field(v, "unavailable_reason", "string"), F.lit("")) == ""),
+                "null_reason", at, F.lit(None), "unavailable_reason",
+            ),
+        ]
+        if std_too:
+            std = _field(v, "std", "double")
+            out.append(_violation(F.abs(run_std(runs) - std) > near(std), "std_of_runs", at, std, "sample std of runs"))
+        return out
+
+    kept = lambda e: ~e["key"].isin(*skip)
+    return Family(lambda: _each(F.filter(F.map_entries(_get("_d", results, "map<string,variant>")), kept), checks))
+
+
+def check_metrics(documents: DataFrame, std_too: bool = False) -> DataFrame:
+    return violations(documents, [metric_rules(std_too)])
 
 
 METRIC_FIELDS = ("mean", "std", "runs", "n", "unavailable_reason")  # fixed values
@@ -339,62 +373,48 @@ SESSION_RULES = (
 )
 
 
-def check_objects(documents: DataFrame, path: str, rules, skip: Sequence[str] = ()) -> DataFrame:
+def object_rules(path: str, rules, skip: Sequence[str] = ()) -> Family:
     """Every value of an open object is itself an object with the given closed set of fields."""
-    entries = F.map_entries(_get("_d", path, "map<string,variant>"))
-    rows = (
-        documents.select("row_id", F.expr("try_parse_json(doc)").alias("_d"))
-        .select("row_id", F.explode(entries).alias("e"))
-        .where(~F.col("e.key").isin(*skip) if skip else F.lit(True))
-        .select(
-            "row_id",
-            F.concat(F.lit(f"{path}."), F.col("e.key")).alias("at"),
-            _schema(F.col("e.value")).alias("kind"),
-            F.map_keys(F.expr("try_variant_get(e.value, '$', 'map<string,variant>')")).alias("keys"),
-            *[
-                _schema(F.expr(f"try_variant_get(e.value, '$.{n}', 'variant')")).alias(f"_t_{n}")
-                for n, *_ in rules
-            ],
-            *[
-                F.expr(f"try_variant_get(e.value, '$.{n}', 'double')").alias(f"_x_{n}")
-                for n, *_ in rules
-            ],
-        )
-    )
-    is_object = F.col("kind").startswith("OBJECT")
-    allowed = F.array(*[F.lit(n) for n, *_ in rules])
-    extra = F.array_except("keys", allowed)
-    checks = [
-        _violation(~is_object, "type", F.col("at"), F.col("kind"), "object"),
-        _violation(
-            F.size(extra) > 0, "unexpected", F.col("at"), F.array_join(extra, ","), "declared field"
-        ),
+    allowed = [n for n, *_ in rules]
+
+    def checks(e: Column) -> list[Column]:
+        base, kind = F.concat(F.lit(f"{path}."), e["key"]), _schema(e["value"])
+        is_object = kind.startswith("OBJECT")
+        extra = F.array_except(F.map_keys(_field(e["value"], "", "map<string,variant>")), F.array(*[F.lit(n) for n in allowed]))
+        out = [
+            _violation(~is_object, "type", base, kind, "object"),
+            _violation(F.size(extra) > 0, "unexpected", base, F.array_join(extra, ","), "declared field"),
+        ]
+        for name, types, required, low in rules:
+            own, at, number = _schema(_field(e["value"], name, "variant")), F.concat(base, F.lit(f".{name}")), _field(e["value"], name, "double")
+            out.append(_violation(own.isNotNull() & ~_is(own, types), "type", at, own, "/".join(types)))
+            if required:
+                out.append(_violation(is_object & own.isNull(), "required", at, own, "present"))
+            if low is not None:
+                out.append(_violation(number < low, "minimum", at, number, str(low)))
+        return out
+
+    kept = lambda e: ~e["key"].isin(*skip) if skip else F.lit(True)
+    return Family(lambda: _each(F.filter(F.map_entries(_get("_d", path, "map<string,variant>")), kept), checks))
+
+
+def check_objects(documents: DataFrame, path: str, rules, skip: Sequence[str] = ()) -> DataFrame:
+    return violations(documents, [object_rules(path, rules, skip)])
+
+
+def entry_rules(stem: str | None = None) -> list[Family]:
+    """All rules of an entry."""
+    out = [
+        field_rules(ENTRY_FIELDS),
+        closed_rules(ENTRY_CLOSED),
+        map_value_rules("results.by_tier", ("number",), 0.0, 1.0),
+        object_rules("results", METRIC_RULES, ("by_tier", "by_session")),
+        object_rules("results.by_session", SESSION_RULES),
+        metric_rules(),
     ]
-    for name, types, required, low in rules:
-        kind = F.col(f"_t_{name}")
-        at = F.concat(F.col("at"), F.lit(f".{name}"))
-        checks.append(
-            _violation(kind.isNotNull() & ~_is(kind, types), "type", at, kind, "/".join(types))
-        )
-        if required:
-            checks.append(_violation(is_object & kind.isNull(), "required", at, kind, "present"))
-        if low is not None:
-            checks.append(
-                _violation(F.col(f"_x_{name}") < low, "minimum", at, F.col(f"_x_{name}"), str(low))
-            )
-    return _emit(rows, checks)
+    return [*out, identity_rule(stem)] if stem else out
 
 
 def check_entries(documents: DataFrame, stem: str | None = None) -> DataFrame:
-    """All rules of an entry document; row-local, so it also runs on a stream."""
-    out = check_fields(documents, ENTRY_FIELDS)
-    out = out.unionByName(check_unexpected(documents, ENTRY_CLOSED))
-    out = out.unionByName(check_map_values(documents, "results.by_tier", ("number",), 0.0, 1.0))
-    out = out.unionByName(
-        check_objects(documents, "results", METRIC_RULES, ("by_tier", "by_session"))
-    )
-    out = out.unionByName(check_objects(documents, "results.by_session", SESSION_RULES))
-    out = out.unionByName(check_metrics(documents))
-    if stem:
-        out = out.unionByName(check_identity(documents, stem))
-    return out
+    """All rules of an entry document, in one scan; row-local, so it also runs on a stream."""
+    return violations(documents, entry_rules(stem), [stem] if stem else [])

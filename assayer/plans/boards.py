@@ -366,10 +366,9 @@ def check_pattern(spark, sf):
 
 @query("check_range", _defects("4 | 'protocol.runs'", "13 | 'results.by_tier.0'"))
 def check_range(spark, sf):
-    docs = documents(spark, sf)
-    return _rule(spark, sf, "minimum").unionByName(
-        R.check_map_values(docs, "results.by_tier", ("number",), 0.0, 1.0).select("row_id", "path")
-    )
+    families = [R.field_rules(R.ENTRY_FIELDS), R.map_value_rules("results.by_tier", ("number",), 0.0, 1.0)]
+    found = R.violations(documents(spark, sf), families)
+    return found.where("rule = 'minimum' or startswith(path, 'results.by_tier.')").select("row_id", "path")
 
 
 @query("check_items", _defects("19 | 'results.tokens.runs[1]'"))

@@ -131,3 +131,12 @@ def test_every_violation_is_kept_whole(spark, tmp_path):
     path = str(refused.value).split("all in ")[1].split(";")[0]
     found = [r["observed"] for r in spark.read.parquet(path).collect()]
     assert {f"{long}{i}" for i in range(9)} <= {f.strip('"') for f in found}
+
+
+def test_all_rules_are_one_scan_and_one_parse(spark, tmp_path):
+    spark.createDataFrame([("r", "{}")], "row_id string, doc string").write.parquet(str(tmp_path / "d"))
+    found = R.check_entries(spark.read.parquet(str(tmp_path / "d")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parseJson") <= 1
+    assert {r.rule for r in found.collect()} == {"required"}
