@@ -41,26 +41,43 @@ def entry_stream(spark, sf):
     return found.groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _arrive_in_order(parts, label, files: int = 4):
+    """Write frames one after the other, each as ``files`` files, and read them as a stream, a frame a batch."""
+    path, spark = fresh_path(parts[0].sparkSession, label), parts[0].sparkSession
+    for part in parts:
+        part.repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 @query(
     "prediction_stream",
-    "SELECT event_type AS run_id, count(*)::BIGINT AS first, count(*) FILTER (WHERE user_id % 5 = 0)::BIGINT AS repeated FROM events GROUP BY 1",
+    """
+    WITH e AS (SELECT event_type AS run_id, event_id, user_id, epoch_ms(ts) AS ms FROM events),
+    p AS (SELECT *, CASE WHEN event_id % 20 = 0 THEN 2 ELSE 3 * (ms - min(ms) OVER ()) // (max(ms) OVER () - min(ms) OVER () + 1) END AS part FROM e),
+    w AS (SELECT *, (SELECT max(ms) - 7200000 FROM p b WHERE b.part < p.part) AS oldest FROM p),
+    r AS (SELECT run_id, coalesce(ms < oldest, FALSE) AS late, CASE WHEN user_id % 5 = 0 THEN 2 ELSE 1 END AS copies FROM w)
+    SELECT run_id, count(*) FILTER (WHERE NOT late)::BIGINT AS first,
+           coalesce(sum(copies - 1) FILTER (WHERE NOT late), 0)::BIGINT AS repeated, coalesce(sum(copies) FILTER (WHERE late), 0)::BIGINT AS late
+    FROM r GROUP BY run_id
+    """,
 )
 def prediction_stream(spark, sf):
-    """Events are predictions; those of every fifth user are sent twice."""
+    """Events are predictions that arrive in three parts by time; those of every fifth user are sent twice, and every twentieth comes with the last part."""
     e = table(spark, sf, "events").select(
         F.col("event_type").alias("run_id"),
         F.col("event_id").cast("string").alias("task_id"),
         F.col("ts").cast("timestamp").alias("sent_at"),
-        (F.col("user_id") % 5 == 0).alias("again"),
-    )
-    sent = e.unionByName(e.where("again"))
-    stream = _arrive(sent, "predictions")
-    first = live.first_predictions(stream, "sent_at", "2 hours")
-    kept = first.groupBy("run_id").agg(F.count(F.lit(1)).alias("first"))
-    total = sent.groupBy("run_id").agg(F.count(F.lit(1)).alias("sent"))
-    return kept.join(total, "run_id").select(
-        "run_id", "first", (F.col("sent") - F.col("first")).alias("repeated")
+        F.when(F.col("user_id") % 5 == 0, 2).otherwise(1).alias("copies"),
+        (F.col("event_id") % 20 == 0).alias("held"),
     )
+    ms = F.unix_millis("sent_at")
+    low, high = e.agg(F.min(ms), F.max(ms)).first()
+    third = F.when(F.col("held"), 2).otherwise(F.expr(f"3 * (unix_millis(sent_at) - {low or 0}) div {(high or 0) - (low or 0) + 1}"))
+    sent = e.withColumn("part", third).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+    parts = [sent.where(F.col("part") == i).select("run_id", "task_id", "sent_at") for i in range(3)]
+    found = live.arrivals(_arrive_in_order(parts, "predictions"), "sent_at", "2 hours")
+    count = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).alias(kind)
+    return found.groupBy("run_id").agg(count("first"), count("repeated"), count("late"))
 
 
 @query(

@@ -46,12 +46,45 @@ def entry_violations(documents: DataFrame) -> DataFrame:
     return run_available(documents, "entry-violations", each=R.check_entries).drop("batch")
 
 
-def first_predictions(predictions: DataFrame, time: str, delay: str) -> DataFrame:
-    """First prediction per (run, task); later copies inside the delay are dropped."""
-    first = predictions.withWatermark(time, delay).dropDuplicatesWithinWatermark(
-        ["run_id", "task_id"]
-    )
-    return run_available(first, "first-predictions").drop("batch")
+ARRIVALS = "run_id string, task_id string, kind string, n long, newest long"
+
+
+def arrivals(predictions: DataFrame, time: str, delay: str, at: str | None = None) -> DataFrame:
+    """(run_id, task_id, kind, n, newest, batch): what arrived as ``first``, as ``repeated`` and as too ``late``.
+
+    A row is late if it is older than the newest time of earlier batches less ``delay`` (an interval as text); it is counted and changes
+    nothing. The first other row of a (run, task) is its prediction, all further ones repeat it, in whatever batch they come.
+
+    The state is the result itself, a folder per batch. A batch reads the folders of earlier batches only and overwrites its own, so one
+    that is run again after a failure, whether or not it had been written, changes nothing. Tasks that were seen are joined with those of the
+    batch; that table grows with the tasks, not with the rows.
+    """
+    spark = predictions.sparkSession
+    at = at or fresh_path(spark, "arrivals")
+    out, key = f"{at}/batches", ["run_id", "task_id"]
+    stored = lambda: spark.read.schema(f"{ARRIVALS}, batch int").parquet(out)
+
+    def write(batch: DataFrame, number: int) -> None:
+        timed = batch.select(*key, F.unix_millis(time).alias("ms"))
+        if number:
+            earlier = stored().where(F.col("batch") < number)
+            known = earlier.where("kind = 'first'").select(*key, F.lit(True).alias("seen"))
+            newest = F.timestamp_millis(F.lit(earlier.agg(F.max("newest")).first()[0]).cast("long"))
+            oldest = F.unix_millis(newest - F.expr(f"interval {delay}"))
+        else:
+            known = spark.createDataFrame([], "run_id string, task_id string, seen boolean")
+            oldest = F.lit(None).cast("long")
+        late = F.coalesce(F.col("ms") < oldest, F.lit(False))
+        counts = timed.groupBy(*key).agg(F.count_if(~late).alias("timely"), F.count_if(late).alias("late"), F.max("ms").alias("newest"))
+        first = ((F.col("timely") > 0) & F.col("seen").isNull()).cast("long")
+        kinds = {"first": first, "repeated": F.col("timely") - first, "late": F.col("late")}
+        kinds = F.array(*[F.struct(F.lit(k).alias("kind"), n.alias("n")) for k, n in kinds.items()])
+        found = counts.join(known, key, "left").select(*key, F.explode(kinds).alias("k"), "newest").select(*key, "k.*", "newest")
+        found.where("n > 0").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = predictions.writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+    return stored()
 
 
 def session_progress(scores: DataFrame) -> DataFrame:
