@@ -667,9 +667,10 @@ def always_empty_floor(spark, sf):
     tasks, gold = _existence(spark, sf)
     pairs = tasks.select(F.lit("0").alias("run_id"), "task_id")
     none = K.answer_rows(pairs.where("false").withColumn("x", F.lit(1)), KEY)
-    verdict = K.set_match(K.signed(gold), K.signed(none), pairs)
-    return verdict.agg(
+    head = K.answer_heads(none, pairs.withColumn("raw", F.lit("list")), KEY)
+    gold_head = K.answer_heads(gold, tasks.select("task_id"), ["task_id"])
+    return G.score_tasks(tasks, gold_head, gold, head, none, ["0"]).agg(
         F.count(F.lit(1)).alias("tasks"),
-        F.count_if("exact").alias("passed"),
-        F.round(F.count_if("exact") / F.count(F.lit(1)), 6).alias("floor_rate"),
+        F.count_if("passed").alias("passed"),
+        F.round(F.count_if("passed") / F.count(F.lit(1)), 6).alias("floor_rate"),
     )
