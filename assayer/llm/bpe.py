@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from assayer.llm.base import with_fields
 
 #: Words that a task keeps in each of its two tables.
-REMEMBERED = 50_000
+REMEMBERED = 100_000
 #: Texts whose ids and decoded text a task holds at a time.
 AT_A_TIME = 500
 # The word pattern of the vocabulary file, spelled for the regex module. White space
