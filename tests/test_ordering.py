@@ -91,7 +91,7 @@ def test_chains_of_deep_trees_and_loops(spark):
 
     deep = [(i, i - 1 if i else None, f"n{i}") for i in range(200)]
     rows = deep + [(1000, 1001, "a"), (1001, 1000, "b"), (1002, 1002, "self"), (1003, 1000, "below"), (1004, 77777, "lost"), (2000, None, "root")]
-    got = {x.id: x.chain for x in chain_paths(spark.createDataFrame(rows, "id long, up double, name string"), "id", "up", "name").collect()}
+    got = {x.id: x.chain for x in chain_paths(spark.createDataFrame(rows, "id long, up long, name string"), "id", "up", "name").collect()}
     assert set(got) == {*range(200), 2000}
     assert all(got[i] == " > ".join(f"n{k}" for k in range(i + 1)) for i in range(200))
     assert chain_paths(spark.createDataFrame([], "id long, up long, name string"), "id", "up", "name").collect() == []
