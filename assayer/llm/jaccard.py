@@ -7,17 +7,18 @@
    shingle, line or passage brings nothing together by itself: all of a segment has to agree. Segments
    are counted for the largest sizes of a class, so smaller sets have to agree in more of them.
 3. *Groups.* Every such node joins the group of the node it shares most segments with, of those that
-   are the smallest of a segment. Members are checked against that node first; those that link to it are
+   meet most others in a segment. Members are checked against that node first; those that link to it are
    connected from then on, whatever the size of the group.
 4. *Token-group matrix.* A row per group, a column per slice of the hash range: the columns that
    the group's members use, or-ed together. For a query and a group with which it shares enough
    segments, but not yet its component, the query's columns that the group lacks are shingles that it lacks. If they
    are more than the threshold allows, no member can be similar and the group stays closed.
-5. Members of opened groups that share enough segments with the query are checked exactly.
+5. *Differences.* Query and members of an opened group are told apart by what each differs in from the group's
+   first node. Similar ones that do not both link to that node have some of these differences in common, so they meet in
+   the rarest of them only (``alike``), and are checked exactly.
 
 Links thus found have the components of all links. Nothing is capped; no group is gathered in one
-task. Sets that are near to each other but do not link must all be compared, which is the cost of
-an exact join.
+task. Sets that are near to each other but do not link are compared where they share differences that are rare in their group.
 
 Texts without words have no set and link with nothing. A null key is a key of its own; a component takes
 its smallest key that is not null. Rows of equal key and text are told apart nowhere and get equal results.
@@ -180,9 +181,12 @@ def shared_segments(features: DataFrame) -> DataFrame:
 
 
 def grouped(segments: DataFrame) -> DataFrame:
-    """(node, n, g): the group of every node."""
-    smallest = written(segments.groupBy("sig").agg(F.min("node").alias("g")), "smallest")
-    near = segments.join(smallest, "sig").groupBy("node", "n", "g").agg(F.count(F.lit(1)).alias("c"))
+    """(node, n, g): the group of every node. The centre of a segment is its node that meets most others in all of its segments."""
+    met = segments.groupBy("sig").agg(F.count(F.lit(1)).alias("m"))
+    common = segments.join(met, "sig").groupBy("node").agg(F.sum("m").alias("met"))
+    first = F.max_by("node", F.struct("met", (-F.col("node")).alias("_")))
+    centres = written(segments.join(common, "node").groupBy("sig").agg(first.alias("g")), "centres")
+    near = segments.join(centres, "sig").groupBy("node", "n", "g").agg(F.count(F.lit(1)).alias("c"))
     best = F.max_by("g", F.struct("c", (-F.col("g")).alias("_")))
     return written(near.groupBy("node", "n").agg(best.alias("g")), "groups")
 
@@ -229,6 +233,79 @@ def checked(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -
     return written(met.mapInArrow(run, "a long, b long"), "links")
 
 
+def differences(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """(node, g, n, x, short, long, near, parts) of the ``pairs`` (node, g).
+
+    ``parts`` are the ``x`` shingles that only one of the sets of ``node`` and ``g`` holds, ``near`` tells whether the sets are
+    similar. ``short`` and ``long``: so many of the parts, in any order, hold one that a similar set has in common (see
+    ``alike``), if that differs from ``g`` in at least, or at most, ``x`` shingles.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            rows, parts = [], []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                p, q = (shingles(hashed([t], known)[0], size) for t in (x, y))
+                own = np.setxor1d(p, q, assume_unique=True)
+                n, m, x, both = len(p), len(q), len(own), num + den
+                near = both * x <= (den - num) * (n + m)
+                least = (both * x + (den - num) * (m - n)) // (2 * both) if near else num * x // both
+                most = n * (den - num) // num
+                rows.append((n, x, min(x - least, most // 2 + 1), min(x, most + 1), near))
+                parts.append(own.view(np.int64))
+            if rows:
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(p) for p in parts]), pa.int32()), pa.array(np.concatenate(parts), pa.int64()))
+                kinds = [pa.int64()] * 4 + [pa.bool_()]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[:2], *(pa.array(c, k) for c, k in zip(zip(*rows), kinds)), lists],
+                    names=["node", "g", "n", "x", "short", "long", "near", "parts"],
+                )
+
+    one = texts.select("node", F.col("t").alias("ta"))
+    two = texts.select(F.col("node").alias("g"), F.col("t").alias("tb"))
+    met = pairs.select("node", "g").join(two, "g").join(one, "node").select("node", "g", "ta", "tb")
+    kinds = "node long, g long, n long, x long, short long, long long, near boolean, parts array<long>"
+    return written(met.mapInArrow(run, kinds), "differences")
+
+
+def alike(asked: DataFrame, groups: DataFrame, parts: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Links of the (node, g) ``asked`` to the centres ``g``, and pairs (a, b) of them and members of ``g`` that may be similar.
+
+    Two sets a and b differ in what differs between their differences from the centre. If not both are similar to the centre, similar sets
+    have some of these differences in common, and of the set with fewer of them about half. With the rarest of the group first,
+    ``short`` of the one's and ``long`` of the other's hold a common one. So copies of a text with changes of their own do not meet,
+    however many they are.
+    """
+    members = groups.select("node", "g").join(asked.select("g").distinct(), "g").where("node <> g")
+    both = asked.select("node", "g", F.lit(True).alias("asks"), F.lit(False).alias("member"))
+    both = both.unionByName(members.select("node", "g", F.lit(False).alias("asks"), F.lit(True).alias("member")))
+    both = written(both.where("node <> g").groupBy("node", "g").agg(F.max("asks").alias("asks"), F.max("member").alias("member")), "compared")
+    found = differences(both, texts, size, num, den)
+
+    each = found.select("node", "g", F.explode("parts").alias("e"))
+    often = each.groupBy("g", "e").agg(F.count(F.lit(1)).alias("f"))
+    # a difference of one node alone is as rare as can be and meets nothing, so only its number counts
+    some = F.collect_list(F.when(F.col("f") > 1, F.struct("f", "e")))
+    held = each.join(often, ["g", "e"]).groupBy("node", "g").agg(F.sort_array(some).alias("held"))
+    held = found.drop("parts").join(held, ["node", "g"]).join(both, ["node", "g"]).join(parts, "node")
+    alone = F.col("x") - F.size("held")
+    held = held.withColumn("first", F.slice("held", 1, F.greatest(F.lit(0), F.col("long") - alone).cast("int"))).withColumn("alone", alone)
+    rows = held.select("g", "node", "n", "x", "part", "asks", "member", "short", "alone", F.posexplode("first").alias("at", "e"))
+    rows = written(rows.withColumn("e", F.col("e.e")).withColumn("brief", F.col("alone") + F.col("at") < F.col("short")).drop("alone", "at", "short"), "rare")
+
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "x", "part", "asks", "member")]
+    left = rows.where("brief").select("g", "e", *side("a"))
+    right = rows.select("g", "e", *side("b"))
+    fewer = F.struct("x_a", "node_a") < F.struct(F.col("x_b").alias("x_a"), F.col("node_b").alias("node_a"))
+    close = (F.col("x_b") - F.col("x_a")) * (num + den) <= (F.col("n_a") + F.col("n_b")) * (den - num)
+    sized = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
+    asking = (F.col("asks_a") & F.col("member_b")) | (F.col("asks_b") & F.col("member_a"))
+    pairs = left.join(right, ["g", "e"]).where(fewer & close & sized & asking & (F.col("part_a") != F.col("part_b")))
+    pairs = pairs.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
+    return found.where("near").select(F.col("node").alias("a"), F.col("g").alias("b")), pairs
+
+
 def columns_of(texts: DataFrame, groups: DataFrame, size: int) -> DataFrame:
     """(node, g, w, bits): the matrix columns that each node uses, 64 to a row, at the width of group ``g``."""
 
@@ -273,22 +350,24 @@ def links(docs: DataFrame, features: DataFrame, key: str, text: str, size: int,
     stars = checked(groups.where("node <> g").select(F.col("node").alias("a"), F.col("g").alias("b")), texts, size, num, den)
 
     placed = segments.join(groups.select("node", "g"), "node").join(components(stars), "node", "left")
-    placed = written(placed.select("sig", "node", "n", "g", F.coalesce("label", "node").alias("part")), "placed")
-    met = placed.select("sig", F.col("g").alias("h"), F.col("part").alias("other")).distinct()
-    asked = placed.join(met, "sig").where("part <> other").select("sig", "node", "n", F.col("h").alias("g")).distinct()
-    asked = asked.groupBy("node", "n", "g", of_class).agg(F.count(F.lit(1)).alias("shared"))
+    placed = placed.join(stars.select(F.col("a").alias("node"), F.lit(True).alias("near")), "node", "left")
+    near = F.coalesce("near", F.col("node") == F.col("g")).alias("near")
+    placed = written(placed.select("sig", "node", "n", "g", near, F.coalesce("label", "node").alias("part")), "placed")
+    met = placed.groupBy("sig", F.col("g").alias("h")).agg(*[
+        of(F.when(F.col("near") == side, F.col("part"))).alias(f"{name}_{side}".lower())
+        for side in (True, False) for name, of in (("low", F.min), ("high", F.max))
+    ])
+    # of two nodes one asks: the one that is not similar to its centre, else the one of the smaller group
+    others = lambda side: F.coalesce((F.col("part") != F.col(f"low_{side}")) | (F.col("part") != F.col(f"high_{side}")), F.lit(False))
+    asks = F.when(F.col("near"), (F.col("g") < F.col("h")) & others("true")).otherwise(others("true") | (F.col("g") <= F.col("h")) & others("false"))
+    asked = placed.join(met, "sig").where(asks).select("node", "n", F.col("h").alias("g"), of_class)
+    asked = asked.groupBy("node", "n", "g", "c").agg(F.count(F.lit(1)).alias("shared"))
     asked = asked.where(F.col("shared") >= sizes.shared(F.col("c"), F.col("n"))).select("node", "n", "g").distinct()
-    open_ = opened(written(asked, "asked"), groups, texts, size, num, den)
-
-    left = placed.select("sig", F.col("node").alias("a"), F.col("n").alias("an"), F.col("part").alias("ap"))
-    left = left.join(open_.select(F.col("node").alias("a"), F.col("g").alias("h")), "a")
-    right = placed.select("sig", F.col("node").alias("b"), F.col("n").alias("bn"), F.col("part").alias("bp"), F.col("g").alias("h"))
-    small, large = F.least("an", "bn"), F.greatest("an", "bn")
-    pairs = left.join(right, ["sig", "h"]).where((F.col("ap") != F.col("bp")) & (small * den >= large * num))
-    pairs = pairs.groupBy("a", "b", "an", "bn", of_class).agg(F.count(F.lit(1)).alias("shared"))
-    pairs = pairs.where(F.col("shared") >= sizes.shared(F.col("c"), F.col("an"), F.col("bn")))
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    return stars.union(checked(pairs, texts, size, num, den))
+    open_ = written(opened(written(asked, "asked"), groups, texts, size, num, den), "opened")
+
+    parts = placed.select("node", "part").distinct()
+    near, pairs = alike(open_, groups, parts, texts, size, num, den)
+    return stars.union(near).union(checked(pairs, texts, size, num, den))
 
 
 def joined(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 3, num: int = 90, den: int = 100) -> DataFrame:

@@ -110,6 +110,26 @@ def test_jaccard_components(frame, size, num):
     assert sorted(map(tuple, got)) == sorted(plain_components(rows, size, num, 100))
 
 
+@pytest.mark.parametrize(("size", "num"), [(3, 90), (5, 80)])
+def test_copies_with_changes_of_their_own_are_not_compared_with_each_other(frame, monkeypatch, size, num):
+    rng = random.Random(size)
+    base, compared = [f"w{i}" for i in range(150)], []
+    rows = [(5000, " ".join(base))]
+    for k in range(160):
+        own = list(base)
+        for at in rng.sample(range(len(own)), rng.randint(1, 9)):
+            own[at] = f"x{k}-{at}"
+        rows.append((k, " ".join(own)))
+        if k % 10 == 0:  # links only to its like
+            own[rng.randrange(len(own))] = "y"
+            rows.append((1000 + k, " ".join(own)))
+    checked = jaccard.checked
+    monkeypatch.setattr(jaccard, "checked", lambda pairs, *a: compared.append(pairs.count()) or checked(pairs, *a))
+    got = jaccard.joined(frame(rows), size=size, num=num, den=100).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(plain_components(rows, size, num, 100))
+    assert sum(compared) <= 4 * len(rows)
+
+
 def test_jaccard_of_repeated_rows_and_null_keys(frame):
     rows = [(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (7, "A b c  d"), (8, "x")]
     got = jaccard.joined(frame(rows)).collect()
