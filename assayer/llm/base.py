@@ -41,14 +41,14 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+def written(df: DataFrame, label: str, keep: bool = False, **options: str) -> DataFrame:
     """``df`` written to the shared folder and read back: later reads survive lost executors.
 
     Inside a ``scratch`` block the table goes at the block's end; with ``keep`` it goes with the block
-    around it, if there is one.
+    around it, if there is one. ``options`` are those of the writer.
     """
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     if _OPEN[: -1 if keep else None]:
         _OPEN[-2 if keep else -1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -50,6 +50,8 @@ ITEMS, TERMS, TOGETHER = 2048, 1 << 17, 2048
 HELD = 100_000
 #: Groups into which the rows of an item are dealt before they are ranked.
 DEALT = 64
+#: A row of the index holds hundreds of KB, so pages and row groups end by size, not after the usual 100 rows.
+LARGE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "2", "parquet.block.size.row.check.min": "4"}
 
 _PLAIN = bytes(c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
 
@@ -166,7 +168,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         if writer is not None:
             yield from writer.rest()
 
-    return written(slim.mapInArrow(write, kinds), "lexical-index")
+    return written(slim.mapInArrow(write, kinds), "lexical-index", **LARGE_ROWS)
 
 
 @dataclass

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,3 +208,12 @@ def test_bounds_are_never_below_scores():
     bounds = wanted.bounds(bits, sizes, lexical.sliced(bits, arrays))
     exact = np.array([wanted.scores(t, list(range(5))) for t in texts]).T
     assert (bounds >= exact).all() and (bounds == exact).mean() > 0.2
+
+
+def test_index_rows_do_not_pile_up_in_one_row_group(spark):
+    rng = random.Random(5)
+    rows = [(k, " ".join(f"{rng.getrandbits(48):x}" for _ in range(26_000))) for k in range(100)]
+    index = lexical.build_index(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    files = [pq.ParquetFile(f.removeprefix("file:")) for f in index.inputFiles()]
+    assert sum(f.metadata.num_rows for f in files) > 20
+    assert max(f.metadata.row_group(i).total_byte_size for f in files for i in range(f.metadata.num_row_groups)) < 24 << 20
