@@ -5,7 +5,8 @@
    (a + b)(1 - t)/(1 + t) shingles. Shingles are dealt over one segment more than that by their hash, so
    similar sets agree in a whole segment. Only nodes that share a segment with another go on. A frequent
    shingle, line or passage brings nothing together by itself: all of a segment has to agree. Segments
-   are counted for the largest sizes of a class, so smaller sets have to agree in more of them.
+   are counted for the largest sizes of a class, so smaller sets have to agree in more of them. A segment without
+   shingles counts as agreed; it is looked up only for a set with so many of them that nothing else might agree.
 3. *Groups.* Every such node joins the group of the node it shares most segments with, of those that
    meet most others in a segment. Members are checked against that node first; those that link to it are
    connected from then on, whatever the size of the group.
@@ -26,6 +27,7 @@ its smallest key that is not null. Rows of equal key and text are told apart now
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,7 +75,9 @@ class Sizes:
         while self.low[-1] <= LARGEST:
             low = self.low[-1]
             high = max(low, int(low * RATIO))
-            self.parts.append(2 * high * (den - num) // (den + num) + 1)
+            parts = 2 * high * (den - num) // (den + num) + 1
+            # so many more that the segments without shingles are not all that sets agree in
+            self.parts.append(parts + round(4 * parts * math.exp(-high / parts)) if parts > 1 else 1)
             self.low.append(high + 1)
 
     def of(self, n: int) -> Iterator[int]:
@@ -84,21 +88,20 @@ class Sizes:
                 yield c
             c += 1
 
-    def shared(self, c: Column, n: Column, m: Column | None = None) -> Column:
-        """Segments of class ``c`` in which similar sets of ``n`` and ``m`` shingles agree at least.
+    def shared(self, c: int, n: int) -> int:
+        """Segments of class ``c`` in which a set of ``n`` shingles agrees at least with any similar one."""
+        total = n + min(self.low[c + 1] - 1, n * self.den // self.num)
+        return self.parts[c] - total * (self.den - self.num) // (self.den + self.num)
 
-        Without ``m``, of ``n`` and any size similar to it.
-        """
-        parts, high = (F.element_at(F.array(*[F.lit(x) for x in v]), c + 1) for v in (self.parts, [x - 1 for x in self.low[1:]]))
-        total = n + (F.least(high, F.floor(n * self.den / self.num)) if m is None else m)
-        return parts - (total - 2 * F.ceil(total * self.num / (self.den + self.num)))
+    def segments(self, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+        """In each class that the set belongs to, a hash of every segment's shingles, and in how many of them similar sets agree at least.
 
-    def signatures(self, tokens: np.ndarray) -> np.ndarray:
-        """A hash of every segment's shingles, in each class that the set belongs to."""
-        out = []
+        Of two similar sets, both or none can do without the segments that have no shingles: if all that they agree in were
+        such segments, neither would have fewer of them than it agrees in with similar sets at least.
+        """
         mixed = mix(tokens + _Q) if len(tokens) else tokens
         for c in self.of(len(tokens)):
-            k = self.parts[c]
+            k, shared = self.parts[c], self.shared(c, len(tokens))
             part = ((tokens >> _32) * np.uint64(k) >> _32).astype(np.int64)
             # sums of halves stay exact in doubles
             low = np.bincount(part, weights=(mixed & _LOW).astype(np.float64), minlength=k).astype(np.uint64)
@@ -106,8 +109,14 @@ class Sizes:
             with np.errstate(over="ignore"):
                 place = np.arange(k, dtype=np.uint64) + (np.uint64(c) << _32)
                 # the last bits name the class
-                out.append(mix(mix(low) + high * _P + mix(place + _P)) & ~_CLASS | np.uint64(c))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+                sigs = mix(mix(low) + high * _P + mix(place + _P)) & ~_CLASS | np.uint64(c)
+            held = np.bincount(part, minlength=k) > 0
+            empty = k - int(held.sum())
+            yield sigs[held] if empty < shared else sigs, max(1, shared - empty)
+
+    def signatures(self, tokens: np.ndarray) -> np.ndarray:
+        """The hashes of ``segments``, of all classes."""
+        return np.concatenate([np.zeros(0, np.uint64), *(s for s, _ in self.segments(tokens))])
 
 
 def node_of(tokens: np.ndarray) -> int:
@@ -117,28 +126,35 @@ def node_of(tokens: np.ndarray) -> int:
 
 
 def featured(docs: DataFrame, key: str, text: str, size: int, sizes: Sizes) -> DataFrame:
-    """(d, th, n, node, sigs) of every row: key, hash of the text, set size, hash of the set, signatures."""
+    """(d, th, n, node, sigs, least) of every row: key, hash of the text, set size, hash of the set, signatures.
+
+    ``least`` holds for each signature in how many of those of its class similar sets agree at least.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            n, node, sigs = [], [], []
+            n, node, sigs, least = [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+            ends = [0]
             for t in batch.column(2).to_pylist():
                 tokens = shingles(hashed([t], known)[0], size)
                 n.append(len(tokens))
                 node.append(node_of(tokens) if len(tokens) else None)
-                sigs.append(sizes.signatures(tokens).view(np.int64))
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.cumsum([0] + [len(s) for s in sigs]), pa.int32()), pa.array(np.concatenate(sigs) if sigs else [], pa.int64())
+                own = list(sizes.segments(tokens))
+                sigs += [s for s, _ in own]
+                least += [np.full(len(s), x, np.int32) for s, x in own]
+                ends.append(ends[-1] + sum(len(s) for s, _ in own))
+            lists = (
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v)) for v in (np.concatenate(sigs).view(np.int64), np.concatenate(least))
             )
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists],
-                names=["d", "th", "n", "node", "sigs"],
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), *lists],
+                names=["d", "th", "n", "node", "sigs", "least"],
             )
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(f"`{key}`").alias("d"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("t"))
-    return rows.mapInArrow(run, f"d {kind}, th long, n long, node long, sigs array<long>")
+    return rows.mapInArrow(run, f"d {kind}, th long, n long, node long, sigs array<long>, least array<int>")
 
 
 def marks(df: DataFrame, value: Column, size: int) -> np.ndarray:
@@ -156,7 +172,7 @@ def is_marked(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def shared_segments(features: DataFrame) -> DataFrame:
-    """(sig, node, n) of the segments in which different sets agree.
+    """(sig, node, n, least) of the segments in which different sets agree.
 
     All signatures are moved once, to find those of more than one set. Then only rows that pass a
     filter of ``SEGMENTS`` bits are moved, and the join drops those that pass by chance.
@@ -172,11 +188,12 @@ def shared_segments(features: DataFrame) -> DataFrame:
             sig = lists.flatten().to_numpy(zero_copy_only=False)
             kept = is_marked(sig >> 6, table)
             row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))[kept]
+            least = batch.column(3).flatten().filter(pa.array(kept))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sig[kept]), *(batch.column(i).take(pa.array(row)) for i in (0, 1))], names=["sig", "node", "n"]
+                [pa.array(sig[kept]), *(batch.column(i).take(pa.array(row)) for i in (0, 1)), least], names=["sig", "node", "n", "least"]
             )
 
-    some = features.where("n > 0").select("node", "n", "sigs").mapInArrow(passing, "sig long, node long, n long")
+    some = features.where("n > 0").select("node", "n", "sigs", "least").mapInArrow(passing, "sig long, node long, n long, least int")
     return written(some.join(repeated, "sig").distinct(), "segments")
 
 
@@ -352,7 +369,7 @@ def links(docs: DataFrame, features: DataFrame, key: str, text: str, size: int,
     placed = segments.join(groups.select("node", "g"), "node").join(components(stars), "node", "left")
     placed = placed.join(stars.select(F.col("a").alias("node"), F.lit(True).alias("near")), "node", "left")
     near = F.coalesce("near", F.col("node") == F.col("g")).alias("near")
-    placed = written(placed.select("sig", "node", "n", "g", near, F.coalesce("label", "node").alias("part")), "placed")
+    placed = written(placed.select("sig", "node", "n", "least", "g", near, F.coalesce("label", "node").alias("part")), "placed")
     met = placed.groupBy("sig", F.col("g").alias("h")).agg(*[
         of(F.when(F.col("near") == side, F.col("part"))).alias(f"{name}_{side}".lower())
         for side in (True, False) for name, of in (("low", F.min), ("high", F.max))
@@ -360,9 +377,9 @@ def links(docs: DataFrame, features: DataFrame, key: str, text: str, size: int,
     # of two nodes one asks: the one that is not similar to its centre, else the one of the smaller group
     others = lambda side: F.coalesce((F.col("part") != F.col(f"low_{side}")) | (F.col("part") != F.col(f"high_{side}")), F.lit(False))
     asks = F.when(F.col("near"), (F.col("g") < F.col("h")) & others("true")).otherwise(others("true") | (F.col("g") <= F.col("h")) & others("false"))
-    asked = placed.join(met, "sig").where(asks).select("node", "n", F.col("h").alias("g"), of_class)
-    asked = asked.groupBy("node", "n", "g", "c").agg(F.count(F.lit(1)).alias("shared"))
-    asked = asked.where(F.col("shared") >= sizes.shared(F.col("c"), F.col("n"))).select("node", "n", "g").distinct()
+    asked = placed.join(met, "sig").where(asks).select("node", "n", "least", F.col("h").alias("g"), of_class)
+    asked = asked.groupBy("node", "n", "least", "g", "c").agg(F.count(F.lit(1)).alias("shared"))
+    asked = asked.where("shared >= least").select("node", "n", "g").distinct()
     open_ = written(opened(written(asked, "asked"), groups, texts, size, num, den), "opened")
 
     parts = placed.select("node", "part").distinct()

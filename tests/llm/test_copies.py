@@ -130,6 +130,36 @@ def test_copies_with_changes_of_their_own_are_not_compared_with_each_other(frame
     assert sum(compared) <= 4 * len(rows)
 
 
+@pytest.mark.parametrize(("size", "num"), [(3, 90), (5, 80)])
+def test_different_texts_do_not_meet_in_segments_without_shingles(frame, size, num):
+    rng = random.Random(size)
+    rows = [(k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(60, 600)))) for k in range(200)]
+    features = jaccard.featured(frame(rows), "doc_id", "text", size, jaccard.Sizes(num, 100)).localCheckpoint()
+    assert jaccard.shared_segments(features).select("node").distinct().count() <= 20
+
+
+@pytest.mark.parametrize("num", [90, 80, 60])
+def test_similar_sets_agree_in_as_many_segments_as_counted(num):
+    import numpy as np
+
+    rng, sizes = np.random.default_rng(num), jaccard.Sizes(num, 100)
+    met = 0
+    for _ in range(400):
+        n = int(rng.integers(2, 250))
+        a = rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2)
+        for gone in range(n):  # as different as similar sets can be
+            both = n - gone
+            more = both * 100 // num - n
+            if more >= 0 and rng.random() < 0.2:
+                b = np.r_[a[gone:], rng.integers(0, 2**63, more).astype(np.uint64) * np.uint64(2)]
+                if gone + more:
+                    one, two = ({int(s[0]) & 63: (set(s.tolist()), x) for s, x in sizes.segments(np.sort(v)) if len(s)} for v in (a, b))
+                    shared = {c: len(one[c][0] & two[c][0]) for c in one if c in two}
+                    assert any(m >= one[c][1] and m >= two[c][1] for c, m in shared.items())
+                    met += 1
+    assert met > 1000
+
+
 def test_jaccard_of_repeated_rows_and_null_keys(frame):
     rows = [(None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (7, "A b c  d"), (8, "x")]
     got = jaccard.joined(frame(rows)).collect()
