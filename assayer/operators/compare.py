@@ -185,6 +185,10 @@ def _classes(rows: DataFrame, keys: list[str], side: str) -> DataFrame:
     return one.select(*keys, "sig", f"{side}_left", "first", "prep", _part(F.col("prep")).alias("part"), _peak(F.col("prep")).alias("peak"))
 
 
+#: So many pairs at most are sent to every executor, so that rows need not move to meet them.
+FEW = 50_000
+
+
 def tolerant_edges(gold: DataFrame, pred: DataFrame, pairs: DataFrame) -> DataFrame:
     """(run, task, g, g_left, p, p_left): classes of rows that are equal within the tolerance.
 
@@ -194,14 +198,18 @@ def tolerant_edges(gold: DataFrame, pred: DataFrame, pairs: DataFrame) -> DataFr
     """
     key = ["run_id", "task_id"]
     want = pairs.select(*key, "abs_tol", "rel_tol", "in_order")
+    if want.limit(FEW + 1).count() <= FEW:
+        want, tasks, answers = F.broadcast(want), F.broadcast(want.select("task_id").distinct()), F.broadcast(want.select(*key))
+    else:
+        tasks, answers = want.select("task_id").distinct(), want.select(*key)
     place = lambda side: F.struct(F.when(F.col("in_order"), F.col("first")).alias("pos"), F.col("sig")).alias(side)
     value = F.col("peak")
-    g = _classes(gold.join(want.select("task_id").distinct(), "task_id", "left_semi"), ["task_id"], "g").join(want, "task_id")
+    g = _classes(gold.join(tasks, "task_id", "left_semi"), ["task_id"], "g").join(want, "task_id")
     reach = _reach(F.col("prep"), value, F.col("abs_tol"), F.col("rel_tol"))
     g = g.withColumn("scale", F.ceil(F.log10(2 * reach)).cast("int"))
     cell = F.floor(value / F.pow(F.lit(10.0), F.col("scale").cast("double")))
     g = g.select(*key, "part", "scale", place("g"), "g_left", F.col("prep").alias("gp"), "abs_tol", "rel_tol", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    p = _classes(pred.join(want.select(*key), key, "left_semi"), key, "p").join(want.select(*key, "in_order"), key)
+    p = _classes(pred.join(answers, key, "left_semi"), key, "p").join(want.select(*key, "in_order"), key)
     scales = g.select(*key, "part", "scale").distinct()
     p = p.join(scales, [*key, "part"]).select(*key, "part", "scale", place("p"), "p_left", F.col("prep").alias("pp"), cell.alias("cell"))
     same = C.rows_equal(F.col("gp"), F.col("pp"), F.col("abs_tol"), F.col("rel_tol"))
@@ -224,6 +232,7 @@ def greedy_assignment(gold: DataFrame, pred: DataFrame, pairs: DataFrame) -> Dat
     them end with every step.
     """
     key = ["run_id", "task_id"]
+    pairs = cut_lineage(pairs)  # read several times
     edges, taken, step = cut_lineage(tolerant_edges(gold, pred, pairs)), [], 0
     while not edges.isEmpty():
         if step >= 2:

@@ -334,7 +334,6 @@ def greedy_large(spark, sf):
         (F.col("l_orderkey") % 10 == 0).alias("tenth"),
         (net * F.lit("0.0001").cast("decimal(5,4)")).alias("amount"),
     )
-    lines = cut_lineage(lines)
     gold = K.answer_rows(lines.select("task_id", F.bround("amount", 0).cast("long").alias("amount")), ["task_id"])
     sent = lambda run, rows: rows.select(F.lit(run).alias("run_id"), "task_id", F.col("amount").cast("decimal(24,8)").alias("amount"))
     spoilt = F.when(F.col("tenth"), F.col("amount") + 100_000).otherwise(F.col("amount"))

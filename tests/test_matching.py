@@ -62,3 +62,15 @@ def test_many_copies_against_many_partners_take_few_jobs(spark):
         assert len(tracker.getJobIdsForGroup("many-copies")) < 60
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_rows_do_not_move_to_meet_few_pairs(spark, capsys):
+    rows = spark.range(1000).select((F.col("id") % 2).cast("string").alias("run_id"), (F.col("id") % 2).cast("string").alias("task_id"), (F.col("id") % 7).alias("v"))
+    pairs = [(i, i, C.ABS_TOL, C.REL_TOL, False) for i in "01"]
+    pairs = spark.createDataFrame(pairs, "run_id string, task_id string, abs_tol double, rel_tol double, in_order boolean")
+    pairs = pairs.localCheckpoint()  # of unknown size to the planner
+    edges = K.tolerant_edges(K.answer_rows(rows.drop("run_id"), ["task_id"]), K.answer_rows(rows, KEY), pairs)
+    assert {(r.g_left, r.p_left) for r in edges.collect()} == {(71, 71), (72, 72)}
+    edges.explain()
+    semi = [line for line in capsys.readouterr().out.splitlines() if "LeftSemi" in line]
+    assert len(semi) >= 2 and all("BroadcastHashJoin" in line for line in semi)
