@@ -21,16 +21,16 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm.base import with_fields
+from assayer.llm.words import pieces
 
 #: Words that a task keeps in each of its two tables.
 REMEMBERED = 100_000
-#: Texts whose ids and decoded text a task holds at a time.
-AT_A_TIME = 500
 # The word pattern of the vocabulary file, spelled for the regex module. White space
 # is listed by code point, since the two libraries differ on the separators U+001C to U+001F.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -213,21 +213,23 @@ def encode_ids(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Add ``token_ids`` (numbers), ``n_tokens`` and the SHA-256 of ids and decoded text."""
     names = ["token_ids", "n_tokens", "ids_sha256", "decoded_sha256"]
 
-    @F.pandas_udf("token_ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("token_ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = codec(path)
         for part in parts:
-            found = [_numbers(bpe, part.iloc[a : a + AT_A_TIME]) for a in range(0, len(part), AT_A_TIME)]
-            yield pd.concat(found, ignore_index=True) if found else _numbers(bpe, part)
+            for texts in pieces(part):
+                yield _numbers(bpe, texts)
 
     return with_fields(df, run(F.col(text)), names)
 
 
-def _numbers(bpe: WordBpe, texts: pd.Series) -> pd.DataFrame:
+def _numbers(bpe: WordBpe, texts: list[str | None]) -> pa.Array:
     both = [bpe.both(t or "") for t in texts]
     numbers = [np.array(ids.split(), np.int32) for ids, _ in both]
-    digests = {"ids_sha256": [_sha256(ids) for ids, _ in both], "decoded_sha256": [_sha256(back) for _, back in both]}
-    return pd.DataFrame({"token_ids": pd.Series(numbers, dtype=object), "n_tokens": pd.Series([len(n) for n in numbers], dtype="int64"), **digests})
+    many = np.array([len(n) for n in numbers], np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)], pa.int32()), pa.array(np.concatenate(numbers)))
+    digests = [pa.array([_sha256(pair[k]) for pair in both], pa.string()) for k in (0, 1)]
+    return pa.StructArray.from_arrays([lists, pa.array(many), *digests], ["token_ids", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def _sha256(text: str) -> str:

@@ -19,13 +19,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm.base import with_columns
-from assayer.llm.words import chunks
+from assayer.llm.words import pieces
 
 #: Labelled texts of either kind used at most, words in a window and between windows.
 SAMPLE, SPAN, STEP = 800, 24, 12
@@ -34,6 +34,8 @@ VECTOR, STATE, ATTEND, WORD_BITS, GRAM_BITS = 16, 8, 8, 14, 15
 #: Passes, windows in a batch, rate; windows scored at a time, words that a task remembers.
 PASSES, BATCH, RATE = 4, 3000, 0.01
 TOGETHER, REMEMBERED = 4096, 150_000
+#: New words looked up at a time.
+LOOKED_UP = 8192
 GRAMS = (3, 4, 5)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PUNCTUATION = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -116,16 +118,15 @@ class Network:
     def vectors(self, word: np.ndarray, gram: np.ndarray, owner: np.ndarray) -> np.ndarray:
         return self.p["word"][word] + summed(self.p["gram"][gram], owner, len(word))
 
-    def projected(self, vectors: np.ndarray) -> np.ndarray:
-        """Input part of the gates of both directions, once per distinct word."""
-        return np.concatenate([vectors @ self.p[f"x{d}"] + self.p[f"b{d}"] for d in "fb"], axis=1)
+    def projected(self, vectors: np.ndarray) -> dict[str, np.ndarray]:
+        """Input part of the gates of either direction, once per distinct word."""
+        return {d: vectors @ self.p[f"x{d}"] + self.p[f"b{d}"] for d in "fb"}
 
     def read(self, gates: np.ndarray, at: np.ndarray, inside: np.ndarray, d: str, kept: list | None = None) -> np.ndarray:
         """States (SPAN x windows x STATE) of one direction over the words ``at`` of the table ``gates``."""
         h = np.zeros((len(at), STATE), np.float32)
         states = np.empty((SPAN, len(at), STATE), np.float32)
-        own = slice(0, 3 * STATE) if d == "f" else slice(3 * STATE, None)
-        recurrent, gates = self.p[f"h{d}"], np.ascontiguousarray(gates[:, own])
+        recurrent = self.p[f"h{d}"]
         for t in range(SPAN) if d == "f" else range(SPAN - 1, -1, -1):
             x, u, m = gates[at[:, t]], h @ recurrent, inside[:, t : t + 1]
             zr = sigmoid(x[:, : 2 * STATE] + u[:, : 2 * STATE])
@@ -145,15 +146,15 @@ class Network:
         c = np.einsum("tw,twk->wk", w, states)
         return a, w, c, c @ self.p["out"] + self.p["out_b"][0]
 
-    def logits(self, gates: np.ndarray, at: np.ndarray, inside: np.ndarray) -> np.ndarray:
-        states = np.concatenate([self.read(gates, at, inside, d) for d in "fb"], axis=2)
+    def logits(self, gates: dict[str, np.ndarray], at: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        states = np.concatenate([self.read(gates[d], at, inside, d) for d in "fb"], axis=2)
         return self.pooled(states, inside)[3]
 
     def gradients(self, vectors: np.ndarray, at: np.ndarray, inside: np.ndarray, text: np.ndarray, label: np.ndarray) -> tuple[dict, np.ndarray, float]:
         """Gradients of the mean loss over texts, those of the word vectors, and the loss."""
         p, g, gates = self.p, {}, self.projected(vectors)
         kept: dict[str, list] = {"f": [], "b": []}
-        states = np.concatenate([self.read(gates, at, inside, d, kept[d]) for d in "fb"], axis=2)
+        states = np.concatenate([self.read(gates[d], at, inside, d, kept[d]) for d in "fb"], axis=2)
         a, w, c, logit = self.pooled(states, inside)
         whole = together(logit, text, len(label))
         score = sigmoid(whole)
@@ -197,42 +198,52 @@ def together(logit: np.ndarray, text: np.ndarray, many: int) -> np.ndarray:
 
 
 class Scorer:
-    """Scores texts, remembering the words it has met."""
+    """Scores texts, remembering the words it has met in tables that are made once."""
 
     def __init__(self, net: Network):
         self.net, self.rows = net, {}
-        self.gates = np.zeros((0, 6 * STATE), np.float32)
+        self.gates = self.table(0)
+
+    def table(self, least: int) -> dict[str, np.ndarray]:
+        return {d: np.zeros((max(REMEMBERED, least, 1), 3 * STATE), np.float32) for d in "fb"}
+
+    def learn(self, fresh: list[bytes]) -> None:
+        for i in range(0, len(fresh), LOOKED_UP):
+            new = fresh[i : i + LOOKED_UP]
+            first = len(self.rows)
+            for d, gates in self.net.projected(self.net.vectors(word_buckets(new), *gram_buckets(new))).items():
+                self.gates[d][first : first + len(new)] = gates
+            self.rows |= {w: first + k for k, w in enumerate(new)}
 
     def places(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         split = [words(t) for t in texts]
         fresh = {w for s in split for w in s if w not in self.rows}
         if len(self.rows) + len(fresh) > REMEMBERED:
-            self.rows, self.gates = {}, self.gates[:0]
+            self.rows = {}
             fresh = {w for s in split for w in s}
+            if len(fresh) > len(self.gates["f"]) or len(self.gates["f"]) > REMEMBERED:
+                self.gates = self.table(len(fresh))
         if fresh:
-            new = sorted(fresh)
-            self.rows |= {w: len(self.rows) + i for i, w in enumerate(new)}
-            vectors = self.net.vectors(word_buckets(new), *gram_buckets(new))
-            self.gates = np.concatenate([self.gates, self.net.projected(vectors)])
+            self.learn(sorted(fresh))
         rows = self.rows
         flat = np.array([rows[w] for s in split for w in s], np.int64)
         return flat, np.cumsum([0] + [len(s) for s in split])
 
-    def logits(self, texts: list[str | None]) -> np.ndarray:
-        flat, ends = self.places(texts)
+    def logits(self, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Logits of the texts at ``places``."""
         at, inside, text = windows(ends)
-        flat, gates = (flat, self.gates) if len(flat) else (np.zeros(1, np.int64), np.zeros((1, 6 * STATE), np.float32))
-        at = flat[at]
+        at = (flat if len(flat) else np.zeros(1, np.int64))[at]
         parts = [
-            self.net.logits(gates, at[i : i + TOGETHER], inside[i : i + TOGETHER]) for i in range(0, len(at), TOGETHER)
+            self.net.logits(self.gates, at[i : i + TOGETHER], inside[i : i + TOGETHER]) for i in range(0, len(at), TOGETHER)
         ]
-        return together(np.concatenate(parts), text, len(texts))
+        return together(np.concatenate(parts), text, len(ends) - 1)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        out = np.zeros(len(texts))
-        for a, b in chunks(texts):
-            out[a:b] = sigmoid(self.logits(texts[a:b]).astype(np.float64) - self.net.shift)
-        out[[not words(t) for t in texts]] = 0
+        if not texts:
+            return np.zeros(0)
+        flat, ends = self.places(texts)
+        out = sigmoid(self.logits(flat, ends).astype(np.float64) - self.net.shift)
+        out[np.diff(ends) == 0] = 0
         return out
 
 
@@ -292,7 +303,8 @@ def train(texts: list[str | None], labels: list[int], seed: int = 1) -> Network
                 second[k] = 0.99 * second[k] + 0.01 * v * v
                 net.p[k] -= RATE * (first[k] / (1 - 0.9**tick)) / (np.sqrt(second[k] / (1 - 0.99**tick)) + 1e-6)
     held = np.flatnonzero(judged)
-    logit = Scorer(net).logits([texts[i] for i in held])
+    scorer = Scorer(net)
+    logit = scorer.logits(*scorer.places([texts[i] for i in held]))
     net.shift = decision_point(logit, label[held])
     return net
 
@@ -328,11 +340,12 @@ def scored(
     if net is None:
         return with_columns(docs, {"score": F.lit(0.0), "predicted": F.lit(0)})
 
-    @F.pandas_udf("double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(net)
         for part in parts:
-            yield pd.Series(scorer.scores(part.tolist()))
+            for texts in pieces(part):
+                yield pa.array(scorer.scores(texts))
 
     value = docs.withColumn("_score", score(F.col(f"`{text}`")))
     return with_columns(value, {"score": F.col("_score"), "predicted": (F.col("_score") >= 0.5).cast("int")}).drop("_score")

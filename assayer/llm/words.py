@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Words that a task remembers before it starts anew.
 REMEMBERED = 400_000
 #: Characters that are worked on at a time.
 CHUNK = 2_000_000
+#: Texts, and bytes of them, that are taken out of an Arrow column at a time.
+TEXTS, BYTES = 500, 500_000
 
 
 class WordHashes(dict):
@@ -48,3 +52,16 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
             start, size = i + 1, 0
     if start < len(texts):
         yield start, len(texts)
+
+
+def pieces(texts: pa.Array) -> Iterator[list[str | None]]:
+    """A column in lists of ``TEXTS`` texts at most, cut where they have about ``BYTES`` bytes."""
+    size = np.array(pc.binary_length(texts).fill_null(0), np.int64)
+    start = total = 0
+    for i, n in enumerate(size.tolist(), 1):
+        total += n
+        if total >= BYTES or i - start == TEXTS:
+            yield texts.slice(start, i - start).to_pylist()
+            start, total = i, 0
+    if start < len(texts):
+        yield texts.slice(start).to_pylist()

@@ -4,14 +4,18 @@ import base64
 import hashlib
 import io
 import random
+import tracemalloc
 import zipfile
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from assayer.llm import resample, toxicity, warczip
+from assayer.llm import bpe, resample, toxicity, warczip
+from assayer.llm.words import pieces
 from assayer.session import fresh_path
 
 
@@ -163,6 +167,51 @@ def test_toxicity_without_labels(frame, spark):
     assert toxicity.scored(frame([]), one).collect() == []
 
 
+def test_scoring_holds_little_at_a_time():
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.getrandbits(32):x}" for _ in range(250)) for _ in range(900)]  # 2 MB, no word twice
+    scorer = toxicity.Scorer(toxicity.Network(1))
+    tracemalloc.start()
+    parts = [scorer.scores(part) for part in pieces(pa.array(texts))]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 150e6
+    few = [*range(0, 900, 100)]
+    alone = [toxicity.Scorer(scorer.net).scores([texts[i]])[0] for i in few]
+    assert np.concatenate(parts)[few] == pytest.approx(alone, abs=1e-6)
+
+
+def test_words_beyond_the_table(monkeypatch):
+    monkeypatch.setattr(toxicity, "REMEMBERED", 20)
+    monkeypatch.setattr(toxicity, "LOOKED_UP", 7)
+    long = " ".join(f"w{i}" for i in range(90))
+    texts = [" ".join(f"v{i}" for i in range(k, k + 15)) for k in range(0, 90, 5)] + [long, None, "", "a b", *["a b c"] * 3]
+    scorer = toxicity.Scorer(toxicity.Network(2))
+    got = np.concatenate([scorer.scores([t]) for t in texts])
+    together = toxicity.Scorer(scorer.net).scores(texts)
+    assert got == pytest.approx(together, abs=1e-6) and got[19] == got[20] == 0 < got[18]
+    assert got[-1] == got[-2] == got[-3] and len(scorer.gates["f"]) == 20
+
+
+def test_columns_are_cut_in_order():
+    texts = [None, "", "é" * 300_000, "a", *["b" * 1000] * 1200, None]
+    found = list(pieces(pa.array(texts).slice(1)))
+    assert [t for part in found for t in part] == texts[1:] and max(len(part) for part in found) == 500
+    assert list(pieces(pa.array([], pa.string()))) == []
+
+
+def test_ids_of_many_texts(frame):
+    texts = [None, "", "  ", "Hello, world!"] + [f"text {i} of many, ünïcode {i * i}" * (i % 4) for i in range(1300)]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    got = {r.doc_id: r for r in bpe.encode_ids(frame(list(enumerate(texts))).coalesce(1), path).collect()}
+    codec = bpe.WordBpe(path)
+    for i, t in enumerate(texts):
+        ids = codec.encode(t or "")
+        assert (got[i].token_ids, got[i].n_tokens) == (ids, len(ids))
+        assert got[i].ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(codec.decode(ids).encode()).hexdigest()
+
+
 def test_log_weights_are_those_of_the_counts(frame):
     docs = frame([(1, "a b a"), (2, None), (3, ""), (4, "c c"), (5, "a b a")])
     target = frame([(1, "a b a")])
