@@ -31,6 +31,8 @@ from assayer.llm.words import pieces
 
 #: Words that a task keeps in each of its two tables.
 REMEMBERED = 100_000
+#: Texts, and about as many characters of them, whose ids and decoded text a task holds at a time.
+AT_A_TIME = 500, 500_000
 # The word pattern of the vocabulary file, spelled for the regex module. White space
 # is listed by code point, since the two libraries differ on the separators U+001C to U+001F.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -217,7 +219,7 @@ def encode_ids(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = codec(path)
         for part in parts:
-            for texts in pieces(part):
+            for texts in pieces(part, *AT_A_TIME):
                 yield _numbers(bpe, texts)
 
     return with_fields(df, run(F.col(text)), names)

@@ -118,9 +118,11 @@ class Network:
     def vectors(self, word: np.ndarray, gram: np.ndarray, owner: np.ndarray) -> np.ndarray:
         return self.p["word"][word] + summed(self.p["gram"][gram], owner, len(word))
 
-    def projected(self, vectors: np.ndarray) -> dict[str, np.ndarray]:
-        """Input part of the gates of either direction, once per distinct word."""
-        return {d: vectors @ self.p[f"x{d}"] + self.p[f"b{d}"] for d in "fb"}
+    def projected(self, vectors: np.ndarray, d: str, out: np.ndarray | None = None) -> np.ndarray:
+        """Input part of the gates of one direction, once per distinct word."""
+        gates = np.matmul(vectors, self.p[f"x{d}"], out=out)
+        gates += self.p[f"b{d}"]
+        return gates
 
     def read(self, gates: np.ndarray, at: np.ndarray, inside: np.ndarray, d: str, kept: list | None = None) -> np.ndarray:
         """States (SPAN x windows x STATE) of one direction over the words ``at`` of the table ``gates``."""
@@ -152,7 +154,7 @@ class Network:
 
     def gradients(self, vectors: np.ndarray, at: np.ndarray, inside: np.ndarray, text: np.ndarray, label: np.ndarray) -> tuple[dict, np.ndarray, float]:
         """Gradients of the mean loss over texts, those of the word vectors, and the loss."""
-        p, g, gates = self.p, {}, self.projected(vectors)
+        p, g, gates = self.p, {}, {d: self.projected(vectors, d) for d in "fb"}
         kept: dict[str, list] = {"f": [], "b": []}
         states = np.concatenate([self.read(gates[d], at, inside, d, kept[d]) for d in "fb"], axis=2)
         a, w, c, logit = self.pooled(states, inside)
@@ -208,12 +210,14 @@ class Scorer:
         return {d: np.zeros((max(REMEMBERED, least, 1), 3 * STATE), np.float32) for d in "fb"}
 
     def learn(self, fresh: list[bytes]) -> None:
+        vectors = np.empty((len(fresh), VECTOR), np.float32)
         for i in range(0, len(fresh), LOOKED_UP):
             new = fresh[i : i + LOOKED_UP]
-            first = len(self.rows)
-            for d, gates in self.net.projected(self.net.vectors(word_buckets(new), *gram_buckets(new))).items():
-                self.gates[d][first : first + len(new)] = gates
-            self.rows |= {w: first + k for k, w in enumerate(new)}
+            vectors[i : i + len(new)] = self.net.vectors(word_buckets(new), *gram_buckets(new))
+        first = len(self.rows)
+        for d, gates in self.gates.items():
+            self.net.projected(vectors, d, gates[first : first + len(fresh)])
+        self.rows |= {w: first + i for i, w in enumerate(fresh)}
 
     def places(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         split = [words(t) for t in texts]

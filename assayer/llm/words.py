@@ -13,8 +13,6 @@ import xxhash
 REMEMBERED = 400_000
 #: Characters that are worked on at a time.
 CHUNK = 2_000_000
-#: Texts, and bytes of them, that are taken out of an Arrow column at a time.
-TEXTS, BYTES = 500, 500_000
 
 
 class WordHashes(dict):
@@ -54,13 +52,13 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def pieces(texts: pa.Array) -> Iterator[list[str | None]]:
-    """A column in lists of ``TEXTS`` texts at most, cut where they have about ``BYTES`` bytes."""
-    size = np.array(pc.binary_length(texts).fill_null(0), np.int64)
+def pieces(texts: pa.Array, many: int | None = None, characters: int = CHUNK) -> Iterator[list[str | None]]:
+    """A column in lists of ``many`` texts at most, cut where they have about so many ``characters``."""
+    size = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
     start = total = 0
-    for i, n in enumerate(size.tolist(), 1):
+    for i, n in enumerate(size, 1):
         total += n
-        if total >= BYTES or i - start == TEXTS:
+        if total >= characters or i - start == many:
             yield texts.slice(start, i - start).to_pylist()
             start, total = i, 0
     if start < len(texts):
