@@ -221,6 +221,15 @@ def _float_token(text: Column) -> Column:
     )
 
 
+def _decimal_token(text: Column, scale: int) -> Column:
+    """``number_token`` of the text of a decimal column: most have the shape ``[-]d.d`` and only zeros to trim."""
+    whole = F.substring_index(text, ".", 1)
+    bare = F.when(whole == "0", "").when(whole == "-0", "-").otherwise(whole)
+    fraction = F.rtrim(F.substring_index(text, ".", -1), F.lit("0")) if scale > 0 else F.lit("")
+    odd = text.contains("E") | (F.length(text) > WRITTEN_OUT)
+    return F.when(odd, number_token(text)).otherwise(F.concat(bare, F.lit("."), fraction))
+
+
 def _token(kind: Column, text: Column, number: Column) -> Column:
     lowered = F.lower(F.trim(text))
     return (
@@ -247,30 +256,40 @@ def cell_token(c: Column) -> Column:
     return token(c["kind"], c["text"])
 
 
+def _fields(c: Column, number: Column) -> Column:
+    return F.struct(
+        c["kind"].alias("kind"),
+        c["text"].alias("text"),
+        F.lower(F.trim(c["text"])).alias("low"),
+        _token(c["kind"], c["text"], number).alias("tok"),
+        number.try_cast("decimal(38,18)").alias("num"),
+        number.try_cast("double").alias("dbl"),
+        decimal_places(number).alias("places"),
+    )
+
+
 def prepare(cells: Column) -> Column:
     """Parse each cell once: kind, text, lowered text, token, number (exact and double), places.
 
     Names are left out, so two prepared rows compare by value alone.
     """
 
-    def fields(c: Column, number: Column) -> Column:
-        return F.struct(
-            c["kind"].alias("kind"),
-            c["text"].alias("text"),
-            F.lower(F.trim(c["text"])).alias("low"),
-            _token(c["kind"], c["text"], number).alias("tok"),
-            number.try_cast("decimal(38,18)").alias("num"),
-            number.try_cast("double").alias("dbl"),
-            decimal_places(number).alias("places"),
-        )
-
     def one(c: Column) -> Column:
         number = F.when(c["kind"].isin("num", "str"), number_text(c["text"]))
-        return let(number, lambda n: fields(c, n))
+        return let(number, lambda n: _fields(c, n))
 
     return F.transform(cells, one)
 
 
+def prepare_again(cells: Column, places: Column) -> Column:
+    """The prepared cells of a row of which only the cells and the places were kept; a cell without places is no number.
+
+    Bytes that spell nan or inf get the token that text has; they are equal to the same cells either way.
+    """
+    one = lambda c, k: let(F.when(k.isNotNull(), number_text(c["text"])), lambda n: _fields(c, n))
+    return F.zip_with(cells, places, one)
+
+
 def prepared_columns(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, Column, Column]:
     """(frame with text columns, cells, prepared cells) of typed columns.
 
@@ -307,10 +326,9 @@ def prepared_columns(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame,
                 F.length(text) - F.instr(text, ".")
             )
         elif kind == "num":
-            tok = F.concat(F.lit("num:"), number_token(text))
-            exact, double, places = (
-                text.try_cast("decimal(38,18)"), text.cast("double"), decimal_places(text)
-            )
+            tok = F.concat(F.lit("num:"), _decimal_token(text, dtype.scale))
+            exact, double = F.col(f"`{c}`").try_cast("decimal(38,18)"), F.col(f"`{c}`").cast("double")
+            places = F.when(text.contains("E"), decimal_places(text)).otherwise(max(dtype.scale, 0))
         elif c in numbers:
             number = F.col(f"{n}_n")
             tok = _token(F.lit("str"), text, number)

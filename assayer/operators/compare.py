@@ -140,9 +140,8 @@ def _part(prep: Column) -> Column:
     """What equal rows share: width, number of nulls and the texts that equal only themselves."""
     fixed = F.filter(prep, lambda c: (c["kind"] == "other") | ((c["kind"] == "str") & c["dbl"].isNull()))
     nulls = F.filter(prep, lambda c: c["kind"] == "null")
-    return F.to_json(
-        F.struct(F.size(prep).alias("w"), F.size(nulls).alias("n"), F.array_sort(F.transform(fixed, lambda c: c["low"])).alias("t"))
-    )
+    shared = F.struct(F.size(prep).alias("w"), F.size(nulls).alias("n"), F.array_sort(F.transform(fixed, lambda c: c["low"])).alias("t"))
+    return F.coalesce(F.to_json(shared), F.lit(""))  # never null, so that no join works it out twice to see that
 
 
 def _numbers(prep: Column) -> Column:
@@ -168,7 +167,8 @@ def _reach(prep: Column, peak: Column, abs_tol: Column, rel_tol: Column) -> Colu
     share = F.when(rel_tol < 0.5, rel_tol / (1 - rel_tol)).otherwise(F.lit(1e300))  # of the larger of both numbers
 
     def ends(c: Column) -> Column:
-        rounding = F.coalesce(F.pow(F.lit(10.0), -c["places"]), F.lit(0.0)) + F.abs(c["v"]) * 1e-15
+        # a little more than one half, since the last place of a double is not exact
+        rounding = F.coalesce(0.51 * F.pow(F.lit(10.0), -c["places"]), F.lit(0.0)) + F.abs(c["v"]) * 1e-15
         r = F.least(abs_tol + share * (F.abs(c["v"]) + 1) + rounding, F.lit(1e305))
         return F.struct((c["v"] - r).alias("low"), (c["v"] + r).alias("high"))
 
@@ -178,9 +178,19 @@ def _reach(prep: Column, peak: Column, abs_tol: Column, rel_tol: Column) -> Colu
 
 
 def _classes(rows: DataFrame, keys: list[str], side: str) -> DataFrame:
-    """Rows of equal signature as one, with their number and first position."""
-    one = signed(rows).groupBy(*keys, "sig").agg(
-        F.count(F.lit(1)).alias(f"{side}_left"), F.min("row_pos").alias("first"), F.first("prep").alias("prep")
+    """Rows of equal signature as one, with their number and first position.
+
+    Rows of equal cells are counted first, by texts and places: hashing takes one look at a row, while a group that carries
+    prepared cells is sorted. Cells are prepared, and signatures written, once per distinct row.
+    """
+    if "prep" in rows.columns:
+        rows, by = rows.select(*keys, "row_pos", "cells", F.col("prep")["places"].alias("places")), ["cells", "places"]
+        prep = C.prepare_again(F.col("cells"), F.col("places"))
+    else:
+        by, prep = ["cells"], C.prepare(F.col("cells"))
+    same = rows.groupBy(*keys, *by).agg(F.count(F.lit(1)).alias("n"), F.min("row_pos").alias("first")).withColumn("prep", prep)
+    one = same.withColumn("sig", C.row_signature(F.col("prep"))).groupBy(*keys, "sig").agg(
+        F.sum("n").alias(f"{side}_left"), F.min("first").alias("first"), F.first("prep").alias("prep")
     )
     return one.select(*keys, "sig", f"{side}_left", "first", "prep", _part(F.col("prep")).alias("part"), _peak(F.col("prep")).alias("peak"))
 
@@ -189,12 +199,13 @@ def _classes(rows: DataFrame, keys: list[str], side: str) -> DataFrame:
 FEW = 50_000
 
 
-def tolerant_edges(gold: DataFrame, pred: DataFrame, pairs: DataFrame) -> DataFrame:
+def tolerant_edges(gold: DataFrame, pred: DataFrame, pairs: DataFrame, keep: bool = False) -> DataFrame:
     """(run, task, g, g_left, p, p_left): classes of rows that are equal within the tolerance.
 
-    Equal rows lie in the same part, and their largest numbers differ by less than ``10 ** scale``, which
-    follows from the places of all numbers of the gold row (``_reach``). So rows meet in cells of that
-    width, a gold row in three of them, and no answer is compared all with all.
+    Equal rows lie in the same part, and their largest numbers differ by no more than the gold row's ``reach``, which
+    follows from the places of all its numbers (``_reach``). So rows meet in cells of width ``10 ** scale``, a gold row in
+    three of them, no answer is compared all with all, and only rows within reach are compared cell by cell. With ``keep``
+    the gold classes are written, so that gold rows are read once.
     """
     key = ["run_id", "task_id"]
     want = pairs.select(*key, "abs_tol", "rel_tol", "in_order")
@@ -204,16 +215,23 @@ def tolerant_edges(gold: DataFrame, pred: DataFrame, pairs: DataFrame) -> DataFr
         tasks, answers = want.select("task_id").distinct(), want.select(*key)
     place = lambda side: F.struct(F.when(F.col("in_order"), F.col("first")).alias("pos"), F.col("sig")).alias(side)
     value = F.col("peak")
-    g = _classes(gold.join(tasks, "task_id", "left_semi"), ["task_id"], "g").join(want, "task_id")
-    reach = _reach(F.col("prep"), value, F.col("abs_tol"), F.col("rel_tol"))
-    g = g.withColumn("scale", F.ceil(F.log10(2 * reach)).cast("int"))
+    g = _classes(gold.join(tasks, "task_id", "left_semi"), ["task_id"], "g")
+    g = (cut_lineage(g) if keep else g).join(want, "task_id")
+    g = g.withColumn("reach", _reach(F.col("prep"), value, F.col("abs_tol"), F.col("rel_tol")))
+    g = g.withColumn("scale", F.coalesce(F.ceil(F.log10(1.25 * F.col("reach"))).cast("int"), F.lit(0)))
     cell = F.floor(value / F.pow(F.lit(10.0), F.col("scale").cast("double")))
-    g = g.select(*key, "part", "scale", place("g"), "g_left", F.col("prep").alias("gp"), "abs_tol", "rel_tol", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    g = g.select(
+        *key, "part", "scale", place("g"), "g_left", F.col("prep").alias("gp"), value.alias("gv"), "reach", "abs_tol", "rel_tol",
+        F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"),
+    )
     p = _classes(pred.join(answers, key, "left_semi"), key, "p").join(want.select(*key, "in_order"), key)
     scales = g.select(*key, "part", "scale").distinct()
-    p = p.join(scales, [*key, "part"]).select(*key, "part", "scale", place("p"), "p_left", F.col("prep").alias("pp"), cell.alias("cell"))
-    same = C.rows_equal(F.col("gp"), F.col("pp"), F.col("abs_tol"), F.col("rel_tol"))
-    return g.join(p, [*key, "part", "scale", "cell"]).where(same).select(*key, "g", "g_left", "p", "p_left")
+    p = p.join(scales, [*key, "part"]).select(*key, "part", "scale", place("p"), "p_left", F.col("prep").alias("pp"), value.alias("pv"), cell.alias("cell"))
+    near = F.abs(F.col("gv") - F.col("pv")) <= F.col("reach")
+    tolerance = F.col("abs_tol"), F.col("rel_tol")
+    single = C.values_equal(F.get("gp", F.lit(0)), F.get("pp", F.lit(0)), *tolerance)  # as generated code, unlike whole rows
+    same = F.when((F.size("gp") == 1) & (F.size("pp") == 1), single).otherwise(C.rows_equal(F.col("gp"), F.col("pp"), *tolerance))
+    return g.join(p, [*key, "part", "scale", "cell"]).where(near & same).select(*key, "g", "g_left", "p", "p_left")
 
 
 #: Edges of an answer up to which what is left of it is matched in one task.
@@ -225,15 +243,16 @@ def greedy_assignment(gold: DataFrame, pred: DataFrame, pairs: DataFrame) -> Dat
     rel_tol, in_order): distinct gold rows in order of position or signature, each taking
     the first predicted rows that fit and are left, as many as it has copies.
 
-    A gold class gets a stretch of predicted rows at a time (``_stretches``), so its number of copies and partners
-    does not matter. What two such steps leave are gold classes that compete for the same rows; these are
+    Gold classes that share no partner are done at once (``_alone``). Any other gets a stretch of predicted rows at
+    a time (``_stretches``), so its number of copies and partners does not matter. What two such steps leave are gold classes that compete for the same rows; these are
     matched one after the other, an answer in one task (``_in_sequence``). Only answers with more than ``SEQUENTIAL`` edges
     left go on with stretches; there the first gold class that is left and all that do not compete with one before
     them end with every step.
     """
     key = ["run_id", "task_id"]
     pairs = cut_lineage(pairs)  # read several times
-    edges, taken, step = cut_lineage(tolerant_edges(gold, pred, pairs)), [], 0
+    alone, edges = _alone(cut_lineage(tolerant_edges(gold, pred, pairs, keep=True)))
+    taken, step = [alone], 0
     while not edges.isEmpty():
         if step >= 2:
             big = edges.groupBy(*key).count().where(F.col("count") > SEQUENTIAL)
@@ -245,12 +264,23 @@ def greedy_assignment(gold: DataFrame, pred: DataFrame, pairs: DataFrame) -> Dat
         taken.append(moved)
         step += 1
     none = F.lit(0).cast("long")
-    if not taken:
-        return pairs.select(*key, none.alias("matched"))
     found = reduce(DataFrame.unionByName, taken).groupBy(*key).agg(F.sum("moved").alias("matched"))
     return pairs.select(*key).join(found, key, "left").select(*key, F.coalesce("matched", none).alias("matched"))
 
 
+def _alone(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What gold classes take of which no partner fits another one (run_id, task_id, moved), and the edges of all others.
+
+    Nothing else can take their partners, so the order does not matter and a sum tells what they take.
+    """
+    key = ["run_id", "task_id"]
+    shared = edges.groupBy(*key, "p").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key, "p")
+    rivals = cut_lineage(edges.join(shared, [*key, "p"], "left_semi").select(*key, "g").distinct())
+    sums = edges.join(rivals, [*key, "g"], "left_anti").groupBy(*key, "g", "g_left").agg(F.sum("p_left").alias("p_left"))
+    moved = sums.select(*key, F.least("g_left", "p_left").alias("moved"))
+    return cut_lineage(moved), cut_lineage(edges.join(rivals, [*key, "g"], "left_semi"))
+
+
 def _stretches(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One step: what every gold class takes (run_id, task_id, moved), and the edges that are left.
 

@@ -335,11 +335,10 @@ def greedy_large(spark, sf):
         (net * F.lit("0.0001").cast("decimal(5,4)")).alias("amount"),
     )
     gold = K.answer_rows(lines.select("task_id", F.bround("amount", 0).cast("long").alias("amount")), ["task_id"])
-    sent = lambda run, rows: rows.select(F.lit(run).alias("run_id"), "task_id", F.col("amount").cast("decimal(24,8)").alias("amount"))
-    spoilt = F.when(F.col("tenth"), F.col("amount") + 100_000).otherwise(F.col("amount"))
-    tenth = lines.where("tenth")
-    runs = [sent("0", lines), sent("1", lines.withColumn("amount", spoilt)), sent("2", tenth.unionByName(tenth))]
-    pred = K.answer_rows(runs[0].unionByName(runs[1]).unionByName(runs[2]), KEY)
+    runs = F.when(F.col("tenth"), F.array(*map(F.lit, "0122"))).otherwise(F.array(*map(F.lit, "01")))
+    sent = lines.select("task_id", "tenth", "amount", F.explode(runs).alias("run_id"))
+    amount = F.when(F.col("tenth") & (F.col("run_id") == "1"), F.col("amount") + 100_000).otherwise(F.col("amount"))
+    pred = K.answer_rows(sent.select("run_id", "task_id", amount.cast("decimal(24,8)").alias("amount")), KEY)
     sizes = gold.groupBy("task_id").agg(F.count(F.lit(1)).alias("gold_rows"))
     pairs = pred.groupBy(*KEY).agg(F.count(F.lit(1)).alias("pred_rows")).join(sizes, "task_id")
     limits = {"abs_tol": F.lit(C.ABS_TOL), "rel_tol": F.lit(C.REL_TOL), "in_order": F.lit(False)}

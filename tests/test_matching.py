@@ -1,5 +1,6 @@
 """Tolerant one-to-one matching against a plain loop over rows."""
 
+import datetime
 import random
 from decimal import Decimal
 
@@ -74,3 +75,44 @@ def test_rows_do_not_move_to_meet_few_pairs(spark, capsys):
     edges.explain()
     semi = [line for line in capsys.readouterr().out.splitlines() if "LeftSemi" in line]
     assert len(semi) >= 2 and all("BroadcastHashJoin" in line for line in semi)
+
+
+PAIRS = "run_id string, task_id string, abs_tol double, rel_tol double, in_order boolean"
+
+
+def test_rows_are_counted_by_hash_before_they_are_prepared(spark, capsys):
+    rows = spark.range(1000).select(F.lit("0").alias("run_id"), F.lit("t").alias("task_id"), (F.col("id") % 7).cast("decimal(12,4)").alias("v"))
+    pairs = spark.createDataFrame([("0", "t", C.ABS_TOL, C.REL_TOL, False)], PAIRS)
+    K.tolerant_edges(K.answer_rows(rows.drop("run_id"), ["task_id"]), K.answer_rows(rows, KEY), pairs).explain()
+    counts = [line for line in capsys.readouterr().out.splitlines() if "partial_count(1)" in line]
+    assert len(counts) == 2 and all("HashAggregate" in line for line in counts)
+
+
+def test_gold_classes_without_a_rival_need_no_order(spark, monkeypatch):
+    """25 copies of 10 and 30 of 20 against 40 numbers near the first and 20 near the second."""
+    monkeypatch.setattr(K, "_stretches", lambda edges: pytest.fail("nothing is left for it"))
+    gold = {"t": ["10"] * 25 + ["20"] * 30}
+    pred = {("a", "t"): [str(10 + i / 100) for i in range(40)] + [str(20 - i / 100) for i in range(20)], ("b", "t"): ["20.1"] * 31}
+    assert matched(spark, gold, pred, 0.0) == {("a", "t"): 45, ("b", "t"): 30}
+
+
+def test_a_rival_anywhere_keeps_the_order(spark):
+    """0 and 1 both fit 0.6; 50 is alone."""
+    gold, pred = {"t": ["0", "1", "1.5", "50"]}, {("a", "t"): ["0.6", "1.0", "1.4", "50.2", "49.9"]}
+    assert matched(spark, gold, pred, 1.0) == {k: greedy(gold["t"], v, 1.0) for k, v in pred.items()}
+
+
+def test_kept_cells_and_places_give_the_prepared_cells(spark):
+    number = [0, 1, -1, 10, 100, 12345, 10**8]
+    rows = [
+        (n, n / 7, n * 1e20, Decimal(n) / 1000, Decimal(n).scaleb(-9), Decimal(n) * 10**25, f" {n}e1 ", bytes(str(n), "ascii"), n > 0, datetime.date(2020, 1, 1))
+        for n in number
+    ]
+    rows += [(None,) * 10, (5, 0.0, -0.5, Decimal("-0.050"), Decimal("1E-9"), Decimal(-7), "NaN", b"7x", False, None)]
+    schema = "i long, d double, e double, f decimal(12,3), g decimal(20,9), h decimal(38,0), s string, b binary, o boolean, t date"
+    df = K.answer_rows(spark.createDataFrame(rows, schema), [])
+    low = lambda prep: F.transform(prep, lambda c: c.withField("low", F.lower(c["low"])))
+    again = C.prepare_again(F.col("cells"), F.col("prep")["places"])
+    found = df.select(low(F.col("prep")).alias("prep"), low(again).alias("again"), low(C.prepare(F.col("cells"))).alias("parsed")).collect()
+    assert [r.again for r in found] == [r.prep for r in found]
+    assert [r.parsed[3:6] for r in found] == [r.prep[3:6] for r in found]  # decimal columns, which are not parsed from text
